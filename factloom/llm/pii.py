@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -181,9 +182,7 @@ def _round(key: bytes, tag: str, r: int, half: int, modulus: int) -> int:
 def permute(key: bytes, tag: str, value: int, size: int, rounds: int = 8) -> int:
     """A keyed permutation of range(size): a Feistel network over two digits of base ceil(sqrt(size)), walked until the
     result is in range."""
-    base = 1
-    while base * base < size:
-        base += 1
+    base = math.isqrt(size - 1) + 1
     while True:
         left, right = divmod(value, base)
         for r in range(rounds):
