@@ -37,7 +37,7 @@ NUMBER_LABEL = re.compile(r"(?:合同编号|合同号|流水号|单号|订单号
 CN_DIGITS = "〇零一二三四五六七八九"
 
 WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20}
-HAS_WIDE = re.compile("[！-～　]")
+HAS_WIDE = re.compile("[\uff01-\uff5e\u3000]")
 EMAIL = re.compile(
     r"(?<![A-Za-z0-9._%+'-])[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9])?(?: ?@ ?| ?[(\[] ?at ?[)\]] ?)[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z]{2,}(?![A-Za-z0-9-])",
     re.I,

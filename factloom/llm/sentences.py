@@ -28,8 +28,8 @@ HARD = "。！？!?।॥؟｡۔‼⁇⁈⁉"
 GOES_ON = set("并而但且后之的等与和或及，,、；;：:。.！!？?…—–-")
 
 EVENT = re.compile(rf"[{re.escape(HARD)}.…．]+|[{re.escape(OPEN)}”»›」』》〉）)\]】〕］}}〗\"]|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
-NEWLINE = r"(?>\r\n|\n|\r|\x85| |\x0b|\x0c)"
-BLANK = re.compile(rf"{NEWLINE}(?:(?![\r\n\x85 \x0b\x0c])\s)*{NEWLINE}\s*| \s*")
+NEWLINE = r"(?>\r\n|\n|\r|\x85|\u2028|\x0b|\x0c)"
+BLANK = re.compile(rf"{NEWLINE}(?:(?![\r\n\x85\u2028\x0b\x0c])\s)*{NEWLINE}\s*|\u2029\s*")
 SPACES = re.compile(r"\s*")
 
 
