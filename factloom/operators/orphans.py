@@ -36,7 +36,7 @@ def orphan_references(children: DataFrame, parents: DataFrame) -> DataFrame:
     suspect = groups.where(
         ~F.col("only_parent") & (~F.col("found") | F.coalesce(F.col("begins") > F.col("first_use"), F.lit(False)) | F.coalesce(F.col("ends") <= F.col("last_use"), F.lit(False)))
     ).select(*KEY, "found", "begins", "ends")
-    r, s = refs.distinct().alias("r"), suspect.alias("s")
+    r, s = refs.alias("r"), suspect.alias("s")
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in KEY]
     kinds = F.array_compact(
         F.array(
@@ -45,7 +45,9 @@ def orphan_references(children: DataFrame, parents: DataFrame) -> DataFrame:
             F.when(F.col("s.ends") <= F.col("r.at"), "deleted"),
         )
     )
-    return r.join(s, same[0] & same[1] & same[2]).select("r.ref_field", "r.record_id", "r.key", "r.at", F.explode(kinds).alias("orphan_kind"))
+    found = r.join(s, same[0] & same[1] & same[2]).select("r.ref_field", "r.record_id", "r.key", "r.at", F.explode(kinds).alias("orphan_kind"))
+    # Orphans are few beside references, so repeated ones go here rather than before the shuffles.
+    return found.distinct()
 
 
 def orphans_by_period(orphans: DataFrame) -> DataFrame:

@@ -24,14 +24,15 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     for source, own in dict.fromkeys((r[0], r[1]) for r in REFERENCES):
         rows = table(spark, d, source)
         begins = rows.groupBy("package_id", F.col(own).alias("record_id")).agg(F.min("recorded_at").alias("at"))
-        named = [F.struct(F.lit(f"{source}.{c}").alias("ref_field"), F.lit(target).alias("target"), F.col(c).alias("ids")) for s, _, c, target, _ in REFERENCES if s == source]
-        refs = rows.select("package_id", F.col(own).alias("record_id"), F.inline(F.array(*named)))
-        refs = refs.select("package_id", "record_id", "ref_field", "target", F.explode("ids").alias("id")).select("package_id", "record_id", "ref_field", "target", normal_id(F.col("id")).alias("key"))
-        refs = refs.where(F.col("key").isNotNull()).distinct()
+        ids = lambda c: F.array_compact(F.array_distinct(F.transform(c, normal_id)))
+        named = [F.struct(F.lit(f"{source}.{c}").alias("ref_field"), F.lit(target).alias("target"), ids(F.col(c)).alias("ids")) for s, _, c, target, _ in REFERENCES if s == source]
+        # References travel to their record's time as one row of arrays and part only there.
+        refs = rows.select("package_id", F.col(own).alias("record_id"), F.array(*named).alias("named"))
         r, b = refs.alias("r"), begins.alias("b")
         one = r.join(b, F.col("r.package_id").eqNullSafe(F.col("b.package_id")) & F.col("r.record_id").eqNullSafe(F.col("b.record_id"))).select(
-            "r.ref_field", F.coalesce("r.record_id", F.lit("")).alias("record_id"), "r.target", F.col("r.package_id").alias("scope"), "r.key", "b.at"
+            F.coalesce("r.record_id", F.lit("")).alias("record_id"), F.col("r.package_id").alias("scope"), "b.at", F.inline("r.named")
         )
+        one = one.select("ref_field", "record_id", "target", "scope", F.explode("ids").alias("key"), "at")
         children = one if children is None else children.unionByName(one)
     for target, own in dict.fromkeys((r[3], r[4]) for r in REFERENCES):
         one = table(spark, d, target).select(F.lit(target).alias("target"), F.col("package_id").alias("scope"), normal_id(F.col(own)).alias("key"), F.col("recorded_at").alias("at"), F.col("deleted_at").alias("until"))
