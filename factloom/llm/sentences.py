@@ -127,7 +127,7 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
         return False
     if any(m in HARD for m in marks):
         ascii_only = marks.isascii()
-        if ascii_only and not gap and (ch.isalnum() and ch.isascii() or ch in "/_=&"):
+        if ascii_only and not gap and text[i - 1 : i].isascii() and (ch.isalnum() and ch.isascii() or ch in "/_=&"):
             return _capitalised(text, nxt)
         return not (ascii_only and gap and ch.islower() and _cased(text, start, i))
     if len(marks) > 1 or marks == "…":
@@ -135,7 +135,7 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
     if not gap:
         if i > start and text[i - 1].islower() and text[i - 2 : i - 1].isalpha() and _capitalised(text, nxt):
             return _abbreviation(text, start, i) is None
-        return ch in CLOSERS or (not ch.isascii() and ch.isalpha() and i > start and not text[i - 1].isascii())
+        return ch in CLOSERS or ch.isalnum() and i > start and text[i - 1].isalpha() and not text[i - 1].isascii() and text[i - 1].lower() == text[i - 1].upper()
     if ch in GOES_ON and ch not in "—–-":
         return False
     before = text[i - 1] if i > start else ""
