@@ -8,7 +8,7 @@ from factloom.operators.intervals import ancestors_of_day, dyadic_blocks
 ROOT = 1
 
 
-def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int = 200_000) -> DataFrame:
+def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int = 50_000, index_rows: int = 500) -> DataFrame:
     """(event_id, version_id, revision_no): versions in force on an event's day as recorded by the event's time.
 
     events(event_id, entity, day, at); revisions(entity, version_id, revision_no, valid struct<first, last>, recorded).
@@ -19,38 +19,44 @@ def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int =
     Entities with more than ``shard_rows`` rows are cut at quantiles of time into shards. Each shard gets, besides the
     revisions recorded in it, the best earlier revision of every version as carry-in, so it is complete by itself. In a
     shard a revision is the known one from its recording until a better one is recorded: a local merge of event times
-    with those spans. Hot entities also index validity by dyadic blocks, so that an event meets only versions in force.
+    with those spans. Entities with more than ``index_rows`` rows also index validity by dyadic blocks, so that an event
+    meets only versions in force on its day, not all versions of its entity.
     """
     e = events.where(F.col("event_id").isNotNull() & F.col("entity").isNotNull() & F.col("day").isNotNull() & F.col("at").isNotNull()).select("event_id", "entity", "day", "at").distinct()
     r = revisions.where(F.col("entity").isNotNull() & F.col("version_id").isNotNull() & F.col("revision_no").isNotNull() & F.col("recorded").isNotNull())
     r = r.select("entity", "version_id", "revision_no", "valid", "recorded").distinct()
 
     times = e.select("entity", "at").unionByName(r.select("entity", F.col("recorded").alias("at")))
-    hot = times.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
-    # Only hot entities have cuts, at most one for each shard_rows rows.
+    large = times.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(index_rows, shard_rows))
+    hot = large.where(F.col("n") > shard_rows)
+    # Only hot entities have cuts, about one for each shard_rows rows, chosen among 63 quantiles.
+    quantiles = F.array(*[F.lit(i / 64) for i in range(1, 64)])
+    share = F.greatest(F.lit(1), F.floor(F.lit(64) / F.ceil(F.max("n") / shard_rows)).cast("int"))
     cuts = (
         times.join(hot, "entity")
         .groupBy("entity")
-        .agg(F.percentile_approx(F.col("at").cast("double"), F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("cuts"))
+        .agg(F.percentile_approx(F.col("at").cast("double"), quantiles, F.lit(1000)).alias("all"), share.alias("share"))
+        .select("entity", F.filter("all", lambda x, i: (i + 1) % F.col("share") == 0).alias("cuts"))
         .select("entity", F.transform(F.array_distinct("cuts"), lambda x: F.timestamp_seconds(x)).alias("cuts"))
     )
-    e = e.join(cuts, "entity", "left").select("*", _shard(F.col("at")).alias("shard"))
-    r = r.join(cuts, "entity", "left").select("*", _shard(F.col("recorded")).alias("shard"))
+    large = large.join(cuts, "entity", "left").select("entity", "cuts", F.lit(True).alias("indexed"))
+    e = e.join(large, "entity", "left").select("*", _shard(F.col("at")).alias("shard"))
+    r = r.join(large, "entity", "left").select("*", _shard(F.col("recorded")).alias("shard"))
 
     best = F.struct("revision_no", "recorded", "valid")
     later = r.where(F.col("cuts").isNotNull() & (F.col("shard") < F.size("cuts"))).select(
         "entity", "version_id", best.alias("rev"), F.explode(F.sequence(F.col("shard") + 1, F.size("cuts"))).alias("shard")
     )
-    carried = later.groupBy("entity", "shard", "version_id").agg(F.max("rev").alias("rev")).select("entity", "shard", "version_id", "rev", F.lit(True).alias("hot"))
-    local = r.select("entity", "shard", "version_id", best.alias("rev"), F.col("cuts").isNotNull().alias("hot")).unionByName(carried)
+    carried = later.groupBy("entity", "shard", "version_id").agg(F.max("rev").alias("rev")).select("entity", "shard", "version_id", "rev", F.lit(True).alias("indexed"))
+    local = r.select("entity", "shard", "version_id", best.alias("rev"), F.col("indexed").isNotNull().alias("indexed")).unionByName(carried)
 
     better = W.partitionBy("entity", "shard", "version_id").orderBy(F.desc("rev")).rowsBetween(W.unboundedPreceding, -1)
-    spans = local.select("entity", "shard", "version_id", "rev.revision_no", "rev.valid", "rev.recorded", "hot", F.min("rev.recorded").over(better).alias("until")).where(
+    spans = local.select("entity", "shard", "version_id", "rev.revision_no", "rev.valid", "rev.recorded", "indexed", F.min("rev.recorded").over(better).alias("until")).where(
         F.col("valid").isNotNull() & (F.col("until").isNull() | (F.col("recorded") < F.col("until")))
     )
     # The root block stands for the whole domain where no index is wanted.
-    spans = spans.withColumn("block", F.explode(F.when(F.col("hot"), dyadic_blocks(F.col("valid.first"), F.col("valid.last"))).otherwise(F.array(F.lit(ROOT).cast("long")))))
-    asks = e.withColumn("block", F.explode(F.when(F.col("cuts").isNotNull(), ancestors_of_day(F.col("day"))).otherwise(F.array(F.lit(ROOT).cast("long")))))
+    spans = spans.withColumn("block", F.explode(F.when(F.col("indexed"), dyadic_blocks(F.col("valid.first"), F.col("valid.last"))).otherwise(F.array(F.lit(ROOT).cast("long")))))
+    asks = e.withColumn("block", F.explode(F.when(F.col("indexed"), ancestors_of_day(F.col("day"))).otherwise(F.array(F.lit(ROOT).cast("long")))))
     a, s = asks.alias("a"), spans.alias("s")
     met = a.join(
         s,
