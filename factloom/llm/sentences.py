@@ -24,8 +24,11 @@ CLOSE = {"“": "”", "„": "“”", "‟": "”", "«": "»", "‹": "›",
 CLOSERS = set("”“»›」』》〉）)]】〕］}〗\"'’")
 QUOTES = set("“„‟«‹「『\"")
 HARD = "。！？!?।॥؟｡۔‼⁇⁈⁉"
-#: A conjunction or particle after a closed quotation goes on with the sentence.
-GOES_ON = set("并而但且后之的等与和或及，,、；;：:。.！!？?…—–-")
+#: Marks after which nothing new begins, and conjunctions and particles that after a closed quotation go on with its sentence.
+PUNCTUATION = set("，,、；;：:。.！!？?…")
+GOES_ON = re.compile(r"[并而但且之的等与和或及—–-]|[后时][，,]")
+#: A file name may begin a sentence with a small letter.
+FILE_NAME = re.compile(r"[\w.-]+\.(?:txt|csv|xlsx?|docx?|pdf|eml|zip|md|log|png|jpe?g|json|xml|html?)(?![\w.])", re.A)
 
 EVENT = re.compile(rf"[{re.escape(HARD)}.…．]+|[{re.escape(OPEN)}”»›」』》〉）)\]】〕］}}〗\"]|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
 NEWLINE = r"(?>\r\n|\n|\r|\x85|\u2028|\x0b|\x0c)"
@@ -91,7 +94,7 @@ def _pairs(text: str, events: list) -> list[int]:
 def _after_quotation(text: str, start: int, opener: int, close: int, nxt: int) -> bool:
     """Whether the sentence ends behind a pair whose inside ends with a terminator. close: behind the closing mark."""
     ch, gap = text[nxt], nxt > close
-    if ch in GOES_ON or ch in CLOSERS and not gap:
+    if ch in PUNCTUATION or GOES_ON.match(text, nxt) or ch in CLOSERS and not gap:
         return False
     first = SPACES.match(text, start).end() == opener
     if text[opener] not in QUOTES:
@@ -103,15 +106,20 @@ def _after_quotation(text: str, start: int, opener: int, close: int, nxt: int) -
         return gap and ch.isupper() and not SPEECH.match(text, nxt)
     if ch.isupper() or gap and ch.isdigit():
         return True
-    if ch.islower() or "぀" <= ch <= "ヿ":
+    if "぀" <= ch <= "ヿ":
+        return False
+    inside = text[max(opener, close - 9) : close - 1].rstrip()
+    inner = inside[-1:]
+    if ch.islower() and not (inner in "。！？" and FILE_NAME.match(text, nxt)):
         return False
-    inner = text[max(opener, close - 9) : close - 1].rstrip()[-1:]
     return inner in "。！" and text[max(0, opener - 9) : opener].rstrip()[-1:] in "：:"
 
 
-def _cased(text: str, start: int, i: int) -> bool:
-    """Whether a small letter after the marks shows that the sentence goes on: it does in a script with cases, unless the
-    whole sentence so far was written without capitals."""
+def _cased(text: str, start: int, i: int, nxt: int) -> bool:
+    """Whether a small letter after the marks shows that the sentence goes on: it does in a script with cases, unless a file
+    name begins there or the whole sentence so far was written without capitals."""
+    if FILE_NAME.match(text, nxt):
+        return False
     ch = text[i - 1] if i > start else "."
     return (ch.isascii() or ch.lower() != ch.upper()) and text[start:i] != text[start:i].lower()
 
@@ -129,14 +137,14 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
         ascii_only = marks.isascii()
         if ascii_only and not gap and text[i - 1 : i].isascii() and (ch.isalnum() and ch.isascii() or ch in "/_=&"):
             return _capitalised(text, nxt)
-        return not (ascii_only and gap and ch.islower() and _cased(text, start, i))
+        return not (ascii_only and gap and ch.islower() and _cased(text, start, i, nxt))
     if len(marks) > 1 or marks == "…":
         return gap and ch.isupper()
     if not gap:
         if i > start and text[i - 1].islower() and text[i - 2 : i - 1].isalpha() and _capitalised(text, nxt):
             return _abbreviation(text, start, i) is None
         return ch in CLOSERS or ch.isalnum() and i > start and text[i - 1].isalpha() and not text[i - 1].isascii() and text[i - 1].lower() == text[i - 1].upper()
-    if ch in GOES_ON and ch not in "—–-":
+    if ch in PUNCTUATION:
         return False
     before = text[i - 1] if i > start else ""
     if not before or before.isspace():
@@ -150,7 +158,7 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
         word = re.match(r"\w+", text[nxt : nxt + 20])
         if word and (word.group() in ORDINAL_NEXT) and (w == start or text[w - 1].isspace()):
             return False
-        return not ch.islower()
+        return not (ch.islower() and _cased(text, start, i, nxt))
     kind = _abbreviation(text, start, i)
     alone = before.isalpha() and (i - 1 == start or not (text[i - 2].isalnum() or text[i - 2] in "._-"))
     if alone and before.isascii():
@@ -159,7 +167,7 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
             return False
     if kind == "never":
         return False
-    if ch.islower() and _cased(text, start, i):
+    if ch.islower() and _cased(text, start, i, nxt):
         return False
     if kind == "month":
         return not ch.isdigit()

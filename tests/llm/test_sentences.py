@@ -23,6 +23,8 @@ from factloom.llm.sentences import sentence_spans, sentences
         "لماذا لا يحمل أي تاريخ؟|المعدل هو 0.14 من الأجر.|قال: «لا تعد غدا!» ثم غادر.",
         "หัวหน้ากะขอเวลาอีก59วัน|ใบลงเวลาฉบับนี้|ยอดค้างจ่าย2.5เท่า",
         "an unclosed “quote stays. |But it shields nothing.",
+        "记录员注明：“原件无法核对。”|后来，他走了。|payslip_2.1.xlsx的第24行被涂改。",
+        "See no. 3 of the note.|badge_log.xlsx的第91行被涂改。|Asked e.g. shift.csv to go.",
         "cf. no. 69!|The bundle is kept.|the end.",
     ],
 )
