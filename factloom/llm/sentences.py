@@ -27,6 +27,8 @@ HARD = "。！？!?।॥؟｡۔‼⁇⁈⁉"
 #: Marks after which nothing new begins, and conjunctions and particles that after a closed quotation go on with its sentence.
 PUNCTUATION = set("，,、；;：:。.！!？?…")
 GOES_ON = re.compile(r"[并而但且之的等与和或及—–-]|[后时][，,]")
+#: No abbreviation outside the lists has so many small letters.
+LONG_WORD = 6
 #: A file name may begin a sentence with a small letter.
 FILE_NAME = re.compile(r"[\w.-]+\.(?:txt|csv|xlsx?|docx?|pdf|eml|zip|md|log|png|jpe?g|json|xml|html?)(?![\w.])", re.A)
 
@@ -117,7 +119,12 @@ def _after_quotation(text: str, start: int, opener: int, close: int, nxt: int) -
 
 def _cased(text: str, start: int, i: int, nxt: int) -> bool:
     """Whether a small letter after the marks shows that the sentence goes on: it does in a script with cases, unless a file
-    name begins there or the whole sentence so far was written without capitals."""
+    name begins there, the marks follow a word too long for an abbreviation, or the sentence so far has no capitals."""
+    w = i
+    while w > start and i - w < LONG_WORD and text[w - 1].islower():
+        w -= 1
+    if i - w == LONG_WORD:
+        return False
     if FILE_NAME.match(text, nxt):
         return False
     ch = text[i - 1] if i > start else "."
@@ -125,7 +132,8 @@ def _cased(text: str, start: int, i: int, nxt: int) -> bool:
 
 
 def _capitalised(text: str, at: int) -> bool:
-    return text[at].isupper() and text[at + 1 : at + 2].islower()
+    after = text[at + 1 : at + 2]
+    return text[at].isupper() and (after.islower() or text[at] in "AI" and after.isspace())
 
 
 def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
