@@ -170,6 +170,16 @@ def path_exists(value, path: str) -> bool:
     return True
 
 
+def snapshot(**fields):
+    """The snapshot hash of chosen fields, as a Column: their canonical JSON object, hashed. Null fields stay as null."""
+    return json_snapshot(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}))
+
+
+def identifier(prefix: str, **fields):
+    """A derived identifier, as a Column: the prefix and the first 24 upper-case digits of the fields' snapshot hash."""
+    return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(snapshot(**fields), 1, 24)))
+
+
 def snapshot_id(prefix: str, fields: dict) -> str:
     """An identifier: the prefix and the first 24 upper-case hex digits of the canonical form's hash."""
     return f"{prefix}-{hashlib.sha256(canonical(fields).encode()).hexdigest()[:24].upper()}"

@@ -126,3 +126,9 @@ def text_lines(c: Column) -> Column:
     """Lines of a text as Python's splitlines gives them: all its separators, no empty line at the end."""
     parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def is_sorted(array: Column, *, unique: bool = False) -> Column:
+    """Whether an array is in ascending order, and without repetition if ``unique``; a null array is."""
+    want = F.array_sort(F.array_distinct(array) if unique else array)
+    return array.eqNullSafe(want)

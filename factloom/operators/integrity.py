@@ -94,3 +94,23 @@ def strictest(rows: DataFrame, group: list[str], decision: str, priority: list[s
     rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(decision)), F.lit(0))
     worst = F.min(F.when(rank > 0, rank).otherwise(len(priority)))
     return rows.groupBy(*group).agg(F.element_at(F.array(*[F.lit(p) for p in priority]), worst.cast("int")).alias(decision))
+
+
+def binding_breaks(bindings: DataFrame, targets: DataFrame, key: list[str], bound: list[str]) -> DataFrame:
+    """Bindings with ``code``: TARGET_MISSING where no target has the key, BINDING_MISMATCH where the target's bound fields
+    differ; null equals null. A binding holds only where key and fields agree. Each target key occurs once."""
+    t = targets.select(*key, F.struct(*bound).alias("_there"), F.lit(True).alias("_known"))
+    code = F.when(F.col("_known").isNull(), "TARGET_MISSING").when(~F.col("_there").eqNullSafe(F.struct(*bound)), "BINDING_MISMATCH")
+    return bindings.join(t, key, "left").withColumn("code", code).where(F.col("code").isNotNull()).drop("_there", "_known")
+
+
+def allowlist_findings(rows: DataFrame, registry: DataFrame, *, publisher: str, url: str) -> DataFrame:
+    """Rows with ``code``: PUBLISHER_NOT_REGISTERED or TARGET_NOT_ALLOWLISTED where the URL may not be fetched from one of
+    the publisher's hosts. registry(publisher, host), a host once per publisher, in lower case."""
+    from factloom.functions.scalars import url_host
+
+    known = registry.select(F.col("publisher").alias(publisher)).distinct().withColumn("_known", F.lit(True))
+    pairs = registry.select(F.col("publisher").alias(publisher), F.col("host").alias("_host")).distinct().withColumn("_listed", F.lit(True))
+    joined = rows.withColumn("_host", url_host(F.col(url))).join(known, publisher, "left").join(pairs, [publisher, "_host"], "left")
+    code = F.when(F.col("_known").isNull(), "PUBLISHER_NOT_REGISTERED").when(F.col("_listed").isNull(), "TARGET_NOT_ALLOWLISTED")
+    return joined.withColumn("code", code).where(F.col("code").isNotNull()).select(*rows.columns, "code")

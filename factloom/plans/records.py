@@ -9,8 +9,11 @@ from factloom.operators import conflicts, folds, integrity, versions
 from factloom.operators.diffing import text_differences
 from factloom.operators.findings import collect_findings, finding, report
 from factloom.sources import manifest as M
-from factloom.sources.parsers import parsed
-from factloom.sources.tables import table
+from factloom.functions.schema import schema_findings
+from factloom.sources.parsers import bound_anchors, parsed
+from factloom.scratch import folder
+from factloom.sources.tables import table, table_stream
+from factloom.streaming import folds as stream_folds
 
 FACT_STATUSES = ["USER_ASSERTED", "EVIDENCE_LINKED", "DISPUTED"]
 CALCULATION = {"formula_id": "SUM_DECIMAL_INPUTS", "calculator_version": "1.0.0", "rounding_policy": "HALF_UP_2"}
@@ -289,6 +292,22 @@ def rate_limit_reservations(spark: SparkSession, d: str) -> DataFrame:
     return folds.reservations(e, min_interval_us=6 * HOUR_US).select("key", "request_id", "decision")
 
 
+def _drained(build, source: DataFrame) -> DataFrame:
+    """What a streaming operator gives for all rows that are there now, with state and output in the shared folder."""
+    path, fs = folder(source.sparkSession)
+    fs.deleteOnExit(path)
+    out = build(source)
+    query = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return source.sparkSession.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def stream_reservations(spark: SparkSession, d: str) -> DataFrame:
+    e = table_stream(spark, d, "events")
+    asked = e.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return _drained(lambda s: stream_folds.reservations(s, min_interval_us=6 * HOUR_US), asked).select("key", "request_id", "decision")
+
+
 # Reviews, sets and anchors.
 
 
@@ -316,10 +335,37 @@ def anchor_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def host_allowlist(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "legal_version").select("document_id", "source_url").distinct().withColumn("host", S.url_host(F.col("source_url")))
-    # A registry of two publishers by their host's last digit; a real one is a table of a few rows.
-    allowed = F.col("host").rlike(r"^rules-[0-9]*[02468]\.example\z")
-    return v.select("document_id", "source_url", F.coalesce(allowed, F.lit(False)).alias("allowlisted"))
+    v = table(spark, d, "legal_version").select("document_id", "source_url").distinct()
+    host = S.url_host(F.col("source_url"))
+    # Of each document's source the host's number tells the publisher; only even hosts are reviewed.
+    rows = v.withColumn("publisher", F.concat(F.lit("P"), F.regexp_extract(host, r"^rules-([0-9]+)", 1)))
+    registry = rows.where(host.rlike(r"^rules-[0-9]*[02468]\.")).select("publisher", host.alias("host")).distinct()
+    return integrity.allowlist_findings(rows, registry, publisher="publisher", url="source_url").select("document_id", "source_url", "code")
+
+
+def candidate_binding(spark: SparkSession, d: str) -> DataFrame:
+    fields = ["effective_from_candidate", "effective_to_candidate"]
+    bound = table(spark, d, "historical_selection").select("selection_id", F.inline("candidates")).distinct()
+    v = _revisions(spark, d).groupBy("version_id").agg(F.min(F.struct("revision_no", "recorded_at", *fields)).alias("r")).select("version_id", *[F.col(f"r.{f}").alias(f) for f in fields])
+    return integrity.binding_breaks(bound, v, ["version_id"], fields).select("selection_id", "version_id", "code")
+
+
+def sorted_references(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "facts").where(F.col("evidence_ids").isNotNull())
+    ids = F.array_compact("evidence_ids")
+    return f.groupBy("status").agg(F.count(F.lit(1)).alias("facts"), F.sum(S.is_sorted(ids).cast("int")).alias("ascending"), F.sum(S.is_sorted(ids, unique=True).cast("int")).alias("ascending_once"))
+
+
+def schema_violations(spark: SparkSession, d: str) -> DataFrame:
+    rule = {"type": "object", "additionalProperties": False, "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 79}}}
+    e = table(spark, d, "events").select(F.col("event_id").alias("record_id"), F.when(F.col("event_id") % 9 == 0, F.regexp_replace("props", "k", "q")).otherwise(F.col("props")).alias("text"))
+    return schema_findings(e, rule).groupBy("path", "keyword").agg(F.count(F.lit(1)).alias("records"))
+
+
+def bound_text_anchors(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("raw_id"), F.lit("a.txt").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    files = docs.select(F.lit("WORKSPACE-1").alias("workspace_id"), "raw_id", F.sha2("content", 256).alias("content_sha256"))
+    return bound_anchors(parsed(docs.withColumnRenamed("raw_id", "file_id")), files).select(F.col("file_id").cast("long").alias("doc_id"), "idx", "anchor_id")
 
 
 def host_multi_owner(spark: SparkSession, d: str) -> DataFrame:
@@ -408,8 +454,8 @@ QUERIES = {
         decimal_text_validity, sum_decimal_recompute, calc_result_mismatch,
         value_conflicts, value_conflict_classes, semantic_kind_conflicts, timeline_conflicts, changed_keys, dependency_change_kinds, revision_chain_check,
         historical_version_select, version_graph_cycle, edge_checks, relation_conflict,
-        freshness_status, monitor_fold, monitor_alerts, monitor_overall, error_budget_rolling, rate_limit_reservations,
-        status_rollup, set_coverage, anchor_replay, anchor_hashes, host_allowlist, host_multi_owner, text_line_anchors, parsed_documents, csv_cell_anchors, text_diff_ops,
+        freshness_status, monitor_fold, monitor_alerts, monitor_overall, error_budget_rolling, rate_limit_reservations, stream_reservations,
+        status_rollup, set_coverage, anchor_replay, anchor_hashes, host_allowlist, host_multi_owner, candidate_binding, sorted_references, schema_violations, bound_text_anchors, text_line_anchors, parsed_documents, csv_cell_anchors, text_diff_ops,
         jcs_snapshot, jcs_events, strict_json_input, integrity_report,
     )
 }

@@ -151,7 +151,19 @@ with b as (select distinct parse_id, fact_candidate_id, pos, anchor_id from (sel
 a as (select parse_id, anchor_id, max({'kind': kind, 'coordinate': coordinate}) as a from anchors group by all)
 select fact_candidate_id, pos::int as pos, b.anchor_id, coalesce(a.kind, 'MISSING') as kind, coalesce(a.coordinate, '') as coordinate from b left join a on a.parse_id = b.parse_id and a.anchor_id = b.anchor_id""",
     "anchor_hashes": "select kind, count(*) as anchors, sum((lower(text_sha256) = sha256(coalesce(text, '')))::int)::bigint as matching, sum((text_sha256 is null)::int)::bigint as without_hash from anchors group by all",
-    "host_allowlist": "select distinct document_id, source_url, coalesce(regexp_full_match(lower(source_url), 'https://rules-[0-9]*[02468]\\.example(:443)?([/?][^#]*)?'), false) as allowlisted from legal_version",
+    "host_allowlist": "select distinct document_id, source_url, 'PUBLISHER_NOT_REGISTERED' as code from legal_version where not coalesce(regexp_full_match(lower(source_url), 'https://rules-[0-9]*[02468]\\.example(:443)?([/?][^#]*)?'), false)",
+    "candidate_binding": f"""
+with b as (select distinct selection_id, c.version_id as version_id, c.effective_from_candidate as f, c.effective_to_candidate as t from (select selection_id, unnest(candidates) as c from historical_selection)),
+v as (select version_id, effective_from_candidate as f, effective_to_candidate as t from {_REV} qualify row_number() over (partition by version_id order by revision_no, recorded_at) = 1)
+select selection_id, b.version_id, case when v.version_id is null then 'TARGET_MISSING' else 'BINDING_MISMATCH' end as code from b left join v on v.version_id = b.version_id where v.version_id is null or b.f is distinct from v.f or b.t is distinct from v.t""",
+    "sorted_references": "select status, count(*) as facts, sum((a = list_sort(a))::int)::bigint as ascending, sum((a = list_sort(list_distinct(a)))::int)::bigint as ascending_once from (select status, list_filter(evidence_ids, lambda x: x is not null) as a from facts where evidence_ids is not null) group by all",
+    "schema_violations": """
+select path, keyword, count(*) as records from (
+  select '$' as path, 'required' as keyword from events where event_id % 9 = 0 union all select '$.q', 'additionalProperties' from events where event_id % 9 = 0
+  union all select '$.k', case when k < 10 then 'minimum' else 'maximum' end from (select event_id, cast(regexp_extract(props, '[0-9]+') as int) as k from events) where event_id % 9 <> 0 and (k < 10 or k > 79)) group by all""",
+    "bound_text_anchors": f"""
+with l as (select doc_id, sha256(text) as h, unnest(x) as l, generate_subscripts(x, 1) as i from (select doc_id, text, case when s[-1] = '' then s[:-2] else s end as x from (select doc_id, text, {_LINES} as s from documents)))
+select doc_id, i::int as idx, 'ANCHOR-' || upper(substr(sha256('{{"content_sha256":"' || h || '","coordinate":"line:' || i || '","kind":"TEXT_LINE","raw_id":"' || doc_id || '","text_sha256":"' || sha256(l) || '","workspace_id":"WORKSPACE-1"}}'), 1, 24)) as anchor_id from l""",
     "host_multi_owner": "select lower(regexp_extract(source_url, '^https://([^/?#@:\\s]+)', 1)) as host, count(distinct document_id) as owners from legal_version where regexp_matches(source_url, '^https://[^/?#@:\\s]+(:443)?([/?][^#]*)?$') group by all having count(distinct document_id) > 1",
     "text_line_anchors": f"select doc_id, 'line:' || i as coordinate, sha256(l) as text_sha256 from (select doc_id, unnest(x) as l, generate_subscripts(x, 1) as i from (select doc_id, case when s[-1] = '' then s[:-2] else s end as x from (select doc_id, {_LINES} as s from documents)))",
     "parsed_documents": f"select doc_id, case when doc_id % 50 = 7 then 'UNKNOWN' else 'UTF8_TEXT' end as detected_format, case when doc_id % 50 = 7 then 'PARSER_FORMAT_UNSUPPORTED' else '' end as refusal_code, case when doc_id % 50 = 7 then 0 else len(x) end as anchors, case when doc_id % 50 = 7 then 0 else coalesce(list_sum([length(l) for l in x]), 0) end::bigint as characters from (select doc_id, case when s[-1] = '' then s[:-2] else s end as x from (select doc_id, {_LINES} as s from documents))",
@@ -177,3 +189,4 @@ r as (select record_id, sum(n)::bigint as findings, sum(p0)::bigint as p0, strin
 select k.record_id, r.findings is null as allowed, coalesce(r.findings, 0) as findings, coalesce(r.p0, 0) as p0_findings, coalesce(r.codes, '') as codes
 from (select package_id as record_id from facts union select package_id from evidence) k left join r using (record_id) where k.record_id is not null""",
 }
+SQL["stream_reservations"] = SQL["rate_limit_reservations"]

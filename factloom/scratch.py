@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession):
+def folder(spark: SparkSession):
     """(Hadoop path, file system) of a new scratch table."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
@@ -29,7 +29,7 @@ def _folder(spark: SparkSession):
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder."""
     spark = df.sparkSession
-    path, fs = _folder(spark)
+    path, fs = folder(spark)
     df.write.parquet(path.toString())
     fs.deleteOnExit(path)
     kept = spark.read.schema(df.schema).parquet(path.toString())

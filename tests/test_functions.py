@@ -78,3 +78,49 @@ def test_paths():
     value = {"a": [{"b": None}], "c": {}}
     for path, there in (("$", True), ("$.a", True), ("$.a[0].b", True), ("$.a[1]", False), ("$.c.x", False), ("a", False), ("$.a[x]", False), ("$a", False)):
         assert path_exists(value, path) is there
+
+
+SCHEMA = {
+    "type": "object",
+    "required": ["id", "kind"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"$ref": "#/$defs/id"},
+        "kind": {"enum": ["a", "b", 1]},
+        "n": {"type": ["integer", "null"], "minimum": 0},
+        "list": {"type": "array", "minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"type": "string", "maxLength": 2}},
+        "day": {"type": "string", "format": "date"},
+        "free": {"additionalProperties": {"type": "boolean"}},
+        "either": {"oneOf": [{"type": "string"}, {"const": True}]},
+    },
+    "if": {"properties": {"kind": {"const": "b"}}},
+    "then": {"required": ["n"]},
+    "$defs": {"id": {"type": "string", "pattern": "^X-"}},
+}
+
+
+def test_schema(spark):
+    from factloom.functions.schema import schema_findings, violations
+
+    good = {"id": "X-1", "kind": "a", "n": None, "list": ["a"], "day": "2024-02-29", "free": {"q": True}, "either": True}
+    assert list(violations(good, SCHEMA)) == []
+    for change, want in (
+        ({"id": "y"}, ("$.id", "pattern")), ({"kind": True}, ("$.kind", "enum")), ({"n": True}, ("$.n", "type")), ({"n": -1}, ("$.n", "minimum")), ({"n": 2.0}, None), ({"list": []}, ("$.list", "minItems")),
+        ({"list": ["a", "a"]}, ("$.list", "uniqueItems")), ({"list": ["abc"]}, ("$.list[0]", "maxLength")), ({"day": "2023-02-29"}, ("$.day", "format")), ({"free": {"q": 1}}, ("$.free.q", "type")),
+        ({"either": 1}, ("$.either", "oneOf")), ({"more": 1}, ("$.more", "additionalProperties")),
+    ):
+        assert list(violations(good | change, SCHEMA)) == ([want] if want else [])
+    assert list(violations({"id": "X-", "kind": "b"}, SCHEMA)) == [("$", "required")]
+    with pytest.raises(ValueError):
+        list(violations({}, {"unknownWord": 1}))
+    rows = spark.createDataFrame([(1, json.dumps(good)), (2, "{"), (3, None), (4, "[]")], "record_id int, text string")
+    assert {tuple(r) for r in schema_findings(rows, SCHEMA).collect()} == {("2", "$", "json"), ("3", "$", "json"), ("4", "$", "type")}
+
+
+def test_sorted_arrays_and_identifiers(spark):
+    from factloom.functions.canonical import identifier, snapshot_id
+
+    arrays = [["a", "b"], ["b", "a"], ["a", "a"], [], None]
+    assert one(spark, arrays, S.is_sorted, "array<string>") == [True, False, True, True, True]
+    assert one(spark, arrays, lambda c: S.is_sorted(c, unique=True), "array<string>") == [True, False, False, True, True]
+    assert one(spark, ["é", None], lambda c: identifier("ID", b=c, a=F.lit(1))) == [snapshot_id("ID", {"a": 1, "b": x}) for x in ("é", None)]

@@ -151,3 +151,13 @@ def test_findings_and_report(spark):
     assert got == {"p": (False, 2, 1, "NULL:1,X:1"), "q": (False, 1, 1, "X:1"), "r": (True, 0, 0, "")}
     told = guided(found, spark.createDataFrame([("X", "信息", "fix")], "code string, message_zh string, remediation string"), "默认", "look")
     assert {(r.code, r.message_zh, r.remediation) for r in told.collect()} == {("X", "信息", "fix"), ("NULL", "默认", "look")}
+
+
+def test_bindings_and_allowlist(spark):
+    b = spark.createDataFrame([("s", "v1", "1"), ("s", "v2", None), ("s", "v3", "3"), ("s", "v9", "1"), ("s", None, "1")], "s string, k string, x string")
+    t = spark.createDataFrame([("v1", "1", "clash"), ("v2", None, "clash"), ("v3", "4", "clash")], "k string, x string, s string")
+    assert {(r.k, r.code) for r in integrity.binding_breaks(b, t, ["k"], ["x"]).collect()} == {("v3", "BINDING_MISMATCH"), ("v9", "TARGET_MISSING"), (None, "TARGET_MISSING")}
+    registry = spark.createDataFrame([("P", "a.test"), ("P", "a.test"), ("Q", "b.test")], "publisher string, host string")
+    rows = spark.createDataFrame([(1, "P", "https://A.test/x"), (2, "P", "https://b.test/"), (3, "R", "https://a.test/"), (4, None, "https://a.test/"), (5, "Q", "http://b.test/"), (6, "Q", None)], "id int, p string, u string")
+    got = {(r.id, r.code) for r in integrity.allowlist_findings(rows, registry, publisher="p", url="u").collect()}
+    assert got == {(2, "TARGET_NOT_ALLOWLISTED"), (3, "PUBLISHER_NOT_REGISTERED"), (4, "PUBLISHER_NOT_REGISTERED"), (5, "TARGET_NOT_ALLOWLISTED"), (6, "TARGET_NOT_ALLOWLISTED")}

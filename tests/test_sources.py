@@ -122,3 +122,14 @@ def test_manifest_and_store(spark, tmp_path):
     assert [r.code for r in M.store_differences(objects, changed).collect()] == ["OBJECT_HASH_MISMATCH"]
     assert [r.code for r in M.store_differences(objects.where("length(content) = 4"), stored).collect()] == ["OBJECT_UNKNOWN"]
     assert [r.code for r in M.store_differences(objects, stored.limit(0)).collect()] == ["OBJECT_MISSING"] * 2
+
+
+def test_bound_anchors(spark):
+    from factloom.functions.canonical import snapshot_id
+    from factloom.sources.parsers import bound_anchors
+
+    files = spark.createDataFrame([("W", "r1", "c1"), ("W", "r2", "c2"), ("W", "r2", "c3")], "workspace_id string, raw_id string, content_sha256 string")
+    out = bound_anchors(parsed(spark.createDataFrame([(r, "a.txt", b"x") for r in ("r1", "r2", "r9")], "file_id string, name string, content binary")), files)
+    got = {r.file_id: r.anchor_id for r in out.collect()}
+    sha = "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    assert got == {"r1": snapshot_id("ANCHOR", {"content_sha256": "c1", "coordinate": "line:1", "kind": "TEXT_LINE", "raw_id": "r1", "text_sha256": sha, "workspace_id": "W"}), "r2": None, "r9": None}
