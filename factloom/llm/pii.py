@@ -64,13 +64,14 @@ ADDRESS_ZH = re.compile(
 )
 ADDRESS_EN = re.compile(
     rf"(?<![\w.-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite) \d+[A-Za-z]?, )?\d+[A-Za-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{STREETS})(?!\w)(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: \d{{5}}(?!\d)| [A-Z]{{1,2}}\d[\dA-Z]? ?\d[A-Z]{{2}})?)?"
-    r"|(?<!\w)P\.? ?O\.? Box \d+(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: \d{5}(?!\d))?)?"
+    r"|(?<!\w)P\.? ?O\.? Box \d+(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: \d{5}(?!\d))?)?",
+    re.A,
 )
 _SUR = f"(?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}])"
 NAME_ZH = re.compile(rf"(?:(?<![{HAN}0-9])|(?<=[{NAME_BEFORE}]))({_SUR})( ?)([{HAN}]{{1,2}}?)(?=$|[^{HAN}]|{'|'.join(NAME_AFTER)})")
 _W = r"(?:O'|Mc|Mac|D')?[A-Z][a-z]+(?:-[A-Z][a-z]+)?"
-NAME_EN = re.compile(rf"(?<![\w'.@-])(?:(?P<gs>{_W} (?:[A-Z]\. ?)?{_W})|(?P<sg>{_W}, {_W}(?: [A-Z]\.)?)|(?P<is>(?:[A-Z]\. ?){{1,3}}{_W}))(?![\w@]|'[a-rt-z]|-\w|\.\w)")
-NAME_CAPS = re.compile(r"(?<![\w'.@-])(?:O')?[A-Z]{2,}(?:-[A-Z]+)? (?:[A-Z]\. )?(?:O')?[A-Z]{3,}(?:-[A-Z]{2,})?(?![\w@'-])")
+NAME_EN = re.compile(rf"(?<![\w'.@-])(?:(?P<gs>{_W} (?:[A-Z]\. ?)?{_W})|(?P<sg>{_W}, {_W}(?: [A-Z]\.)?)|(?P<is>(?:[A-Z]\. ?){{1,3}}{_W}))(?![\w@]|'[a-rt-z]|-\w|\.\w)", re.A)
+NAME_CAPS = re.compile(r"(?<![\w'.@-])(?:O')?[A-Z]{2,}(?:-[A-Z]+)? (?:[A-Z]\. )?(?:O')?[A-Z]{3,}(?:-[A-Z]{2,})?(?![\w@'-])", re.A)
 
 WEIGHTS, CHECK = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2), "10X98765432"
 

@@ -29,6 +29,7 @@ def found(text):
         ("Ticket 555-37 closed, batch 4748507945279", []),
         ("收件地址：月岫市晨苇区荷枫大道801号26栋1单元1197室，", [("月岫市晨苇区荷枫大道801号26栋1单元1197室", "ADDRESS")]),
         ("青岚路改道，班车停运", []),
+        ("门牌写的是6 Ostric Street, Felker 72882，找Bram Tarrow拿表", [("6 Ostric Street, Felker 72882", "ADDRESS"), ("Bram Tarrow", "NAME")]),
         ("Home address: Flat 13, 137 Felvik Close, Nevham 12345 or P.O. Box 23, Bradle", [("Flat 13, 137 Felvik Close, Nevham 12345", "ADDRESS"), ("P.O. Box 23, Bradle", "ADDRESS")]),
         ("据柏樾回忆，当晚值班的还有卞 沅等三人", [("柏樾", "NAME"), ("卞 沅", "NAME")]),
         ("张贴通知4份，补交了49张照片，王记面馆的发票", []),
