@@ -213,7 +213,7 @@ def _search_batches(shared, share: float):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.53, block_chars: int = 8_000_000) -> DataFrame:
     """One row per document and held-out item of which the document holds at least ``share`` in verbatim stretches.
 
     documents(doc_id long, text); items(item_id long, text). Columns: doc_id, item_id, covered and item_chars (letters of
@@ -221,7 +221,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str,
     (doc_start, doc_end, code points). Texts are compared as letters and digits, with cases and compatibility forms folded,
     an item without the stock prompt it begins with. A stretch counts from SHORT letters in scripts without word spaces and
     from LONG letters in others; beside such a stretch, close to its diagonal, half as many letters count, so that a lightly
-    altered copy keeps its cover. Null and empty texts match nothing, items without letters neither. Repeated rows of a
+    altered copy keeps its cover. Shared turns of phrase cover a little too, hence a ``share`` somewhat above a half. Null and empty texts match nothing, items without letters neither. Repeated rows of a
     document give repeated rows.
 
     Each batch of documents is cut, between documents, into shards of about SHARD_CHARS characters. A suffix array of the
