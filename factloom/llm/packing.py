@@ -66,10 +66,10 @@ def pack(sizes: DataFrame, *, capacity: int = 2048, shard_items: int = 100_000,
     given = sizes.where(F.col("n_tokens") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n"))
     whole = F.floor(F.col("n") / capacity).cast("int")
     parts = given.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") % capacity == 0, whole - 1).otherwise(whole))).alias("part"))
-    pieces = parts.select("doc_id", "part", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part") * capacity).alias("size"))
+    pieces = cut(parts.select("doc_id", "part", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part") * capacity).alias("size")))
     # Full pieces fill a container each and take no part in the search.
     full = pieces.where(F.col("size") == capacity).select("doc_id", "part", "size", F.concat(F.lit("f"), F.col("doc_id"), F.lit("."), F.col("part")).alias("container_id"))
-    rest = cut(pieces.where(F.col("size") < capacity))
+    rest = pieces.where(F.col("size") < capacity)
 
     def packed(items: DataFrame, n: int) -> DataFrame:
         shards = max(1, -(-n // shard_items))
