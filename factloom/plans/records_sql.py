@@ -67,12 +67,12 @@ def _f(table: str, when: str, code: str) -> str:
 
 SQL = {
     "manifest_raw_ids": f"select 'RAW-' || sha256(unhex(hex(encode(path)) || '00' || h)) as raw_id, path as relative_path, sha256(path) as path_sha256, h as content_sha256, n as size_bytes from {_DOC}",
-    "manifest_summary": f"select count(*) as file_count, coalesce(sum(n), 0) as total_bytes from {_DOC}",
+    "manifest_summary": f"select count(*) as file_count, coalesce(sum(n), 0)::bigint as total_bytes from {_DOC}",
     "manifest_limits": f"select unnest(list_filter([case when c > 500 then 'FILE_COUNT_EXCEEDED' end, case when m > 20000 then 'FILE_TOO_LARGE' end], lambda x: x is not null)) as code from (select count(*) as c, max(n) as m from {_DOC})",
     "media_sniff": f"select {_TYPE} as detected_media_type, {_TYPE} <> 'text/plain' as extension_media_type_mismatch, count(*) as files from documents group by all",
     "duplicate_content_members": "select doc_id, min(doc_id) over (partition by text) as class_id, count(*) over (partition by text) as copies from documents qualify copies > 1",
     "duplicate_content_groups": "select sha256(text) as identity_sha256, count(*) as occurrences from documents where text is not null group by all having count(*) > 1",
-    "workspace_dedup_summary": f"select sum(c * n) as logical_bytes, sum(n) as stored_bytes, count(*) as unique_objects from (select h, count(*) as c, max(n) as n from {_DOC} group by h)",
+    "workspace_dedup_summary": f"select sum(c * n)::bigint as logical_bytes, sum(n)::bigint as stored_bytes, count(*) as unique_objects from (select h, count(*) as c, max(n) as n from {_DOC} group by h)",
     "dangling_raw_files": "select distinct package_id, evidence_id, raw_id from evidence e where not exists (select 1 from raw_files r where r.package_id = e.package_id and r.raw_id = e.raw_id)",
     "dangling_refs": "select l_orderkey, count(*) as lines from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') group by all",
     "duplicate_identifiers": f"with {_IDS} select * from idf",
