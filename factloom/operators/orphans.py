@@ -52,5 +52,6 @@ def orphan_references(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def orphans_by_period(orphans: DataFrame) -> DataFrame:
     """Orphans counted per referring field, month of the referring record (UTC; '' without a time) and kind."""
-    period = F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")).alias("period")
+    utc = F.to_utc_timestamp("at", F.current_timezone())
+    period = F.coalesce(F.date_format(utc, "yyyy-MM"), F.lit("")).alias("period")
     return orphans.groupBy("ref_field", period, "orphan_kind").agg(F.count(F.lit(1)).alias("orphans"))

@@ -121,7 +121,7 @@ def date_interval_invalid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def utc_times(spark: SparkSession, d: str) -> DataFrame:
-    text = F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    text = F.date_format(F.to_utc_timestamp("recorded_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     f = table(spark, d, "facts").select("fact_id", "idx", text.alias("t"), F.col("recorded_at"))
     later = S.add_hours(S.utc_timestamp(F.col("t")), F.lit(48))
     return f.select("fact_id", "idx", F.unix_micros(later).alias("due_us"), S.utc_timestamp(F.regexp_replace("t", "Z$", "+00:00")).isNull().alias("offset_refused"))
