@@ -1,5 +1,6 @@
 """Personal data in free text: where it is, and typed placeholders with format-preserving pseudonyms."""
 
+import bisect
 import datetime as dt
 import hashlib
 import math
@@ -96,11 +97,12 @@ def resident_number(value: str) -> bool:
 
 
 class Found(list):
-    """Mentions (start, end, type) that do not overlap; the first detector to claim a stretch keeps it."""
+    """Mentions (start, end, type) in order that do not overlap; the first detector to claim a stretch keeps it."""
 
     def add(self, start: int, end: int, kind: str) -> None:
-        if all(end <= s or e <= start for s, e, _ in self):
-            self.append((start, end, kind))
+        at = bisect.bisect_left(self, (start,))
+        if (not at or self[at - 1][1] <= start) and (at == len(self) or end <= self[at][0]):
+            self.insert(at, (start, end, kind))
 
 
 def _english_name(m: re.Match, text: str) -> tuple[int, int] | None:
@@ -169,7 +171,7 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         words = [w.title() for w in re.findall(r"[A-Z][A-Z'-]*", m.group())]
         if not any(w in FIRM_WORDS or w in NOT_FIRST and w != "Grace" for w in words):
             found.add(*m.span(), "NAME")
-    return sorted(found)
+    return list(found)
 
 
 # Pseudonyms.

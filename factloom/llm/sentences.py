@@ -32,10 +32,11 @@ LONG_WORD = 6
 #: A file name may begin a sentence with a small letter.
 FILE_NAME = re.compile(r"[\w.-]+\.(?:txt|csv|xlsx?|docx?|pdf|eml|zip|md|log|png|jpe?g|json|xml|html?)(?![\w.])", re.A)
 
-EVENT = re.compile(rf"[{re.escape(HARD)}.…．]+|[{re.escape(OPEN)}”»›」』》〉）)\]】〕］}}〗\"]|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
+EVENT = re.compile(rf"[{re.escape(HARD)}.…．]+|[{re.escape(OPEN)}”»›」』》〉）)\]】〕］}}〗\"]|(?<=[฀-๿])\s++|(?<!\s)\s++(?=[฀-๿])")
 NEWLINE = r"(?>\r\n|\n|\r|\x85|\u2028|\x0b|\x0c)"
 BLANK = re.compile(rf"{NEWLINE}(?:(?![\r\n\x85\u2028\x0b\x0c])\s)*{NEWLINE}\s*|\u2029\s*")
 SPACES = re.compile(r"\s*")
+CAPITAL = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0370-\u03ab\u0400-\u042f]")
 
 
 def _trie(*classes: tuple[str, list[str]]) -> dict:
@@ -67,29 +68,29 @@ def _abbreviation(text: str, start: int, dot: int) -> str | None:
 
 
 def _pairs(text: str, events: list) -> list[int]:
-    """For each event the index of its closing partner, or -1; only outermost pairs that do close shield their inside."""
+    """For each event the index of its closing partner, or -1; only pairs that do close shield their inside."""
     partner, stack = [-1] * len(events), []
+    # How many openers on the stack each closing mark would close: one that closes none need not be sought.
+    waiting = dict.fromkeys(CLOSERS, 0)
     for n, m in enumerate(events):
         ch = m.group()
-        if len(ch) != 1:
+        if len(ch) != 1 or ch not in OPEN and ch not in CLOSERS:
             continue
         top = events[stack[-1]].group() if stack else ""
-        if ch == '"':
-            opens = '"' not in [events[k].group() for k in stack]
-        elif ch in OPEN:
-            opens = not (top and ch in CLOSE[top] and ch != top)
-        elif ch in CLOSERS:
-            opens = False
-        else:
-            continue
+        opens = not waiting['"'] if ch == '"' else ch in OPEN and not (top and ch in CLOSE[top] and ch != top)
         if opens:
             stack.append(n)
-            continue
-        for back in range(len(stack) - 1, -1, -1):
-            if ch in CLOSE[events[stack[back]].group()]:
-                partner[stack[back]] = n
-                del stack[back:]
-                break
+            for c in CLOSE[ch]:
+                waiting[c] = waiting.get(c, 0) + 1
+        elif waiting.get(ch, 0):
+            while True:
+                k = stack.pop()
+                mark = events[k].group()
+                for c in CLOSE[mark]:
+                    waiting[c] -= 1
+                if ch in CLOSE[mark]:
+                    partner[k] = n
+                    break
     return partner
 
 
@@ -128,7 +129,7 @@ def _cased(text: str, start: int, i: int, nxt: int) -> bool:
     if FILE_NAME.match(text, nxt):
         return False
     ch = text[i - 1] if i > start else "."
-    return (ch.isascii() or ch.lower() != ch.upper()) and text[start:i] != text[start:i].lower()
+    return (ch.isascii() or ch.lower() != ch.upper()) and CAPITAL.search(text, start, i) is not None
 
 
 def _capitalised(text: str, at: int) -> bool:
