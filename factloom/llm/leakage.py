@@ -13,6 +13,8 @@ SHARD_CHARS = 1_000_000
 #: Pairs with verbatim stretches over less of the item are not looked at further. Around a stretch, equal letters count
 #: within so many letters of its diagonal.
 SEED_SHARE, SLACK = 0.12, 12
+#: Beyond so many pairs of equal suffixes a shard is searched in halves, of its documents first and then of the items.
+MAX_PAIRS = 4_000_000
 MATCHES = "doc_id long, item_id long, covered long, item_chars long, longest long, doc_start long, doc_end long"
 
 
@@ -76,8 +78,8 @@ class SuffixArray:
             self.levels.append((ordered[begins], order, np.append(begins, len(key))))
             key = _pair(rank, depth)
 
-    def search(self, code: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """For the depths SHORT and LONG: pairs (suffix of ``code``, suffix of the shard) that share so many letters.
+    def search(self, code: np.ndarray, most: float = np.inf) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
+        """None where there are more than ``most`` pairs of a depth, else for the depths SHORT and LONG: pairs (suffix of ``code``, suffix of the shard) that share so many letters.
 
         Each suffix of ``code`` is sought by binary search among the distinct keys of each depth in turn.
         """
@@ -90,6 +92,8 @@ class SuffixArray:
             if depth >= SHORT:
                 q = np.flatnonzero(hit)
                 count = begins[at[q] + 1] - begins[at[q]]
+                if count.sum() > most:
+                    return None
                 inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 found[depth] = (np.repeat(q, count), order[np.repeat(begins[at[q]], count) + inner])
             key = _pair(rank, depth)
@@ -100,6 +104,7 @@ class Items:
     """Held-out texts without their stock prompts, as letters."""
 
     def __init__(self, ids: list[int], texts: list[str]):
+        self.texts = texts
         self.ids = np.array(ids, np.int64)
         self.code, self.number, _ = letters(texts)
         self.size = np.bincount(self.number[self.code > 0], minlength=len(texts))
@@ -116,7 +121,14 @@ def leaks(items: Items, doc_ids: np.ndarray, texts: list[str], share: float) ->
     code, number, place = letters(texts)
     if not len(items.ids) or not code.any():
         return []
-    found = SuffixArray(code).search(items.code)
+    halves = len(texts) > 1 or len(items.ids) > 1
+    found = SuffixArray(code).search(items.code, MAX_PAIRS if halves else np.inf)
+    if found is None and len(texts) > 1:
+        k = len(texts) // 2
+        return leaks(items, doc_ids[:k], texts[:k], share) + leaks(items, doc_ids[k:], texts[k:], share)
+    if found is None:
+        k, ids = len(items.ids) // 2, items.ids.tolist()
+        return leaks(Items(ids[:k], items.texts[:k]), doc_ids, texts, share) + leaks(Items(ids[k:], items.texts[k:]), doc_ids, texts, share)
     queries, places, depths = [], [], []
     for depth, (q, p) in found.items():
         ok = (items.depth[items.number[q]] == depth) & (items.left[q] >= depth)

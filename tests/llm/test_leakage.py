@@ -1,7 +1,8 @@
 import random
 
 import numpy as np
-from factloom.llm.leakage import LONG, SHORT, SuffixArray, leaked_items, letters, without_leaks
+from factloom.llm import leakage
+from factloom.llm.leakage import LONG, SHORT, Items, SuffixArray, leaked_items, leaks, letters, without_leaks
 
 WORDS = "mill lock barley ferry hoop guild ledger copper velvet lantern orchard pepper saddle quarry timber anchor walnut harbour candle bishop".split()
 
@@ -56,3 +57,12 @@ def test_leaks(spark):
         assert docs[10][r.doc_start : r.doc_end].strip() == items[1].strip() and r.covered == r.item_chars
     assert {r.doc_id for r in without_leaks(d, out).collect()} == {11, 13, 15, 16, 17}
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_a_shard_with_many_copies_is_searched_in_halves(monkeypatch):
+    rnd = random.Random(6)
+    items = Items([1, 2, 3], [sentence(rnd, 30) for _ in range(3)])
+    texts = [items.texts[i % 2] + " " + sentence(rnd, 20) if i % 3 else sentence(rnd, 40) for i in range(40)]
+    whole = leaks(items, np.arange(40), texts, 0.5)
+    monkeypatch.setattr(leakage, "MAX_PAIRS", 200)
+    assert sorted(leaks(items, np.arange(40), texts, 0.5)) == sorted(whole) and len(whole) == 26
