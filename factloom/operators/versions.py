@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.scalars import candidate_status
 from factloom.operators.intervals import ancestors_of_day, dyadic_blocks
+from factloom.scratch import cut, release
 
+#: Graphs of up to so many distinct edges are gathered, one to a group.
 MAX_EDGES = 1000
 
 
@@ -47,23 +49,67 @@ def _circular(sources: list, targets: list) -> bool:
     return gone < len(into)
 
 
-def graph_circles(edges: DataFrame, *, max_edges: int = MAX_EDGES) -> DataFrame:
+def graph_circles(edges: DataFrame, *, max_edges: int | None = None) -> DataFrame:
     """(graph, edges, circular) of each graph of edges(graph, source, target); null ends are no edge.
 
-    A graph holds at most ``max_edges`` distinct edges by contract; a larger one is refused, circular null, and never
-    gathered. Trees of any size are for ``hierarchy``, which finds circles without gathering a graph.
+    Graphs of any size are solved: up to MAX_EDGES distinct edges one by one, larger ones by ``_shrunk`` without ever being
+    gathered. Only where ``max_edges`` is given as a contract a larger graph is refused, circular null.
     """
     distinct = edges.dropna(subset=["graph", "source", "target"]).select("graph", "source", "target").distinct()
+    if max_edges is None:
+        distinct = cut(distinct)
     sizes = distinct.groupBy("graph").agg(F.count(F.lit(1)).alias("edges"))
-    small = distinct.join(sizes.where(F.col("edges") <= max_edges).select("graph"), "graph")
+    small = distinct.join(sizes.where(F.col("edges") <= (MAX_EDGES if max_edges is None else max_edges)).select("graph"), "graph")
+    solved = None
+    if max_edges is None:
+        solved, rest = _shrunk(distinct.join(sizes.where(F.col("edges") > MAX_EDGES).select("graph"), "graph"))
+        small = small.unionByName(rest)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"graph": [pdf["graph"].iloc[0]], "circular": [_circular(pdf["source"].tolist(), pdf["target"].tolist())]})
 
     found = small.groupBy("graph").applyInPandas(run, "graph string, circular boolean")
+    found = found if solved is None else found.unionByName(solved)
     return sizes.join(found, "graph", "left").select("graph", "edges", "circular")
 
 
+def _shrunk(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(graph, circular) of the graphs solved, and the edges that are left of the others, at most MAX_EDGES a graph.
+
+    Each round drops the edges from nodes that none leads into and those to nodes that none leaves. A graph without such
+    edges has a circle, as has one with an edge from a node to itself; one without other edges has none. Of the nodes with one
+    edge in and one out some, none next to another, are bridged, which keeps every circle. So a forest or chain takes
+    rounds by the logarithm of its size; other graphs at most half their longest path.
+    """
+    spark = edges.sparkSession
+    solved, rest = spark.createDataFrame([], "graph string, circular boolean"), spark.createDataFrame([], edges.schema)
+    state, turn = cut(edges), 0
+    while not state.isEmpty():
+        ends = state.select("graph", F.col("source").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
+            state.select("graph", F.col("target").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
+        )
+        coin = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        nodes = ends.groupBy("graph", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).select("graph", "node", "i", "o", ((F.col("i") == 1) & (F.col("o") == 1) & coin).alias("mid"))
+        s = nodes.select("graph", F.col("node").alias("source"), (F.col("i") == 0).alias("first"), F.col("mid").alias("from_mid"))
+        t = nodes.select("graph", F.col("node").alias("target"), (F.col("o") == 0).alias("last"), F.col("mid").alias("to_mid"))
+        marked = cut(state.join(s, ["graph", "source"]).join(t, ["graph", "target"]).select("graph", "source", "target", (~F.col("first") & ~F.col("last")).alias("stays"), "from_mid", "to_mid"))
+        n, stay = F.count(F.lit(1)), F.count_if("stays")
+        circular = F.when((stay == n) | F.bool_or(F.col("source") == F.col("target")), True).when(stay == 0, False)
+        shape = cut(marked.groupBy("graph").agg(circular.alias("circular"), stay.alias("left")))
+        solved = solved.unionByName(shape.where(F.col("circular").isNotNull()).select("graph", "circular"))
+        open_ = shape.where(F.col("circular").isNull())
+        kept = marked.where("stays")
+        rest = rest.unionByName(cut(kept.join(open_.where(F.col("left") <= MAX_EDGES).select("graph"), "graph").select("graph", "source", "target")))
+        on = kept.join(open_.where(F.col("left") > MAX_EDGES).select("graph"), "graph")
+        bridged = F.col("to_mid") & ~F.col("from_mid")
+        over = on.where(bridged).select("graph", F.col("target").alias("source"), F.col("source").alias("before"))
+        moved = on.where(~bridged).join(over, ["graph", "source"], "left").select("graph", F.coalesce("before", "source").alias("source"), "target").distinct()
+        last, state, turn = state, cut(moved), turn + 1
+        release(last, marked)
+    release(state)
+    return solved, rest
+
+
 def versions_on(events: DataFrame, versions: DataFrame) -> DataFrame:
     """(event_id, candidates, status): how many of its entity's versions hold each event's day, as now known.
 

@@ -92,6 +92,18 @@ def test_version_graphs(spark):
     assert {tuple(r) for r in versions.versions_on(ev, vs).collect()} == {("1", 2, "MULTIPLE_CANDIDATES"), ("2", 1, "UNIQUE_CANDIDATE"), ("3", 0, "NO_CANDIDATE"), ("4", 0, "NO_CANDIDATE")}
 
 
+def test_circles_of_graphs_too_large_to_gather(spark, monkeypatch):
+    monkeypatch.setattr(versions, "MAX_EDGES", 10)
+    chain = lambda g, n: [(g, f"{i:03d}", f"{i + 1:03d}") for i in range(n)]
+    dense = [("dense", f"{i:02d}", f"{j:02d}") for i in range(12) for j in range(i)]
+    edges = chain("line", 60) + chain("ring", 60) + [("ring", "060", "000")] + chain("tailed", 40) + [("tailed", "030", "020")] + chain("self", 40) + [("self", "030", "030")]
+    edges += [("tree", f"{i // 3:03d}", f"{i:03d}") for i in range(1, 60)] + dense + [(g.replace("dense", "woven"), s, t) for g, s, t in dense] + [("woven", "03", "07"), ("few", "a", "b"), ("pair", "a", "b"), ("pair", "b", "a")]
+    e = spark.createDataFrame(edges + edges[:50] + [("line", None, "000")], "graph string, source string, target string")
+    got = {r.graph: (r.edges, r.circular) for r in versions.graph_circles(e).collect()}
+    assert got["line"] == (60, False) and got["ring"] == (61, True)
+    assert {g: c for g, (_, c) in got.items()} == {"line": False, "ring": True, "tailed": True, "self": True, "tree": False, "dense": False, "woven": True, "few": False, "pair": True}
+
+
 def test_folds_against_plain_loops(spark):
     rnd = random.Random(4)
     asks = [(k, i, rnd.randrange(400) + i * 10) for i in range(200) for k in [rnd.randrange(4)]]
