@@ -13,6 +13,9 @@ SHARD_CHARS = 1_000_000
 #: Pairs with verbatim stretches over less of the item are not looked at further. Around a stretch, equal letters count
 #: within so many letters of its diagonal.
 SEED_SHARE, SLACK = 0.12, 12
+#: Turns of phrase are short stretches that so many items of a block have. Pairs whose cover is less than NEAR above the share
+#: are cases only with a stretch of a quarter of the item or a quarter of its letters outside such turns.
+MANY, NEAR, QUARTER = 4, 0.03, 0.25
 #: Beyond so many pairs of equal suffixes a shard is searched in halves, of its documents first and then of the items.
 MAX_PAIRS = 4_000_000
 MATCHES = "doc_id long, item_id long, covered long, item_chars long, longest long, doc_start long, doc_end long"
@@ -103,7 +106,7 @@ class SuffixArray:
 class Items:
     """Held-out texts without their stock prompts, as letters."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], common: np.ndarray | None = None):
         self.texts = texts
         self.ids = np.array(ids, np.int64)
         self.code, self.number, _ = letters(texts)
@@ -114,6 +117,29 @@ class Items:
         last = np.flatnonzero(self.code == 0)
         self.left = last[self.number] - np.arange(len(self.code))
         self.start = np.concatenate(([0], last[:-1] + 1)) if len(last) else np.zeros(0, np.int64)
+        self.common = self._common() if common is None else common
+
+    def _common(self) -> np.ndarray:
+        """Which letters lie in a stretch of half the depth that MANY items have."""
+        common, key = np.zeros(len(self.code), bool), _key4(self.code)
+        for run in (SHORT // 2, LONG // 2):
+            q = np.flatnonzero((self.depth[self.number] == run * 2) & (self.left >= run))
+            if not len(q):
+                continue
+            a, b, item = key[q], key[q + run - 4], self.number[q]
+            order = np.lexsort((item, b, a))
+            a, b, item = a[order], b[order], item[order]
+            fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            other = fresh | np.concatenate(([True], item[1:] != item[:-1]))
+            group = np.cumsum(fresh) - 1
+            hits = q[order][np.bincount(group, other)[group] >= MANY]
+            for k in range(run):
+                common[hits + k] = True
+        return common
+
+    def halves(self) -> tuple["Items", "Items"]:
+        k, ids = len(self.ids) // 2, self.ids.tolist()
+        return Items(ids[:k], self.texts[:k], self.common[: self.start[k]]), Items(ids[k:], self.texts[k:], self.common[self.start[k] :])
 
 
 def leaks(items: Items, doc_ids: np.ndarray, texts: list[str], share: float) -> list[tuple]:
@@ -127,8 +153,8 @@ def leaks(items: Items, doc_ids: np.ndarray, texts: list[str], share: float) ->
         k = len(texts) // 2
         return leaks(items, doc_ids[:k], texts[:k], share) + leaks(items, doc_ids[k:], texts[k:], share)
     if found is None:
-        k, ids = len(items.ids) // 2, items.ids.tolist()
-        return leaks(Items(ids[:k], items.texts[:k]), doc_ids, texts, share) + leaks(Items(ids[k:], items.texts[k:]), doc_ids, texts, share)
+        one, other = items.halves()
+        return leaks(one, doc_ids, texts, share) + leaks(other, doc_ids, texts, share)
     queries, places, depths = [], [], []
     for depth, (q, p) in found.items():
         ok = (items.depth[items.number[q]] == depth) & (items.left[q] >= depth)
@@ -159,20 +185,29 @@ def leaks(items: Items, doc_ids: np.ndarray, texts: list[str], share: float) ->
     for h in np.flatnonzero(seeds >= SEED_SHARE * size):
         lo, hi = heads[h], heads[h + 1] if h + 1 < len(heads) else len(group)
         d, i = divmod(int(group[lo]), len(items.ids))
-        covered = _beside(items.code[items.start[i] : items.start[i] + size[h]], code, limits[d - 1] + 1 if d else 0, limits[d], a[lo:hi] - items.start[i], b[lo:hi] - items.start[i], pa_[lo:hi], int(items.depth[i]) // 2)
-        if covered >= share * size[h]:
-            best = lo + int(np.argmax(b[lo:hi] - a[lo:hi]))
+        inside = slice(items.start[i], items.start[i] + size[h])
+        hit, diagonal = _beside(items.code[inside], code, limits[d - 1] + 1 if d else 0, limits[d], a[lo:hi] - items.start[i], b[lo:hi] - items.start[i], pa_[lo:hi], int(items.depth[i]) // 2)
+        best = lo + int(np.argmax(b[lo:hi] - a[lo:hi]))
+        covered, own = int(hit.sum()), ~items.common[inside]
+        case = covered >= (share + NEAR) * size[h]
+        if not case:
+            hit = _bridged(hit, diagonal, own, int(items.depth[i]) // 4)
+            covered = int(hit.sum())
+            case = covered >= share * size[h] and (b[best] - a[best] >= QUARTER * size[h] or (hit & own).sum() >= QUARTER * own.sum())
+        if case:
             out.append((int(doc_ids[d]), int(items.ids[i]), covered, int(size[h]), int(b[best] - a[best]), int(place[pa_[best]]), int(place[pb[best] - 1]) + 1))
     return out
 
 
-def _beside(item: np.ndarray, code: np.ndarray, first: int, end: int, a: np.ndarray, b: np.ndarray, at: np.ndarray, run: int) -> int:
-    """Letters of the item in the stretches [a, b) found at ``at``, and in ``run`` (4 or 8) equal letters within SLACK of such
-    a diagonal: an altered copy keeps its order, so what is equal between two alterations lies close to it."""
+def _beside(item: np.ndarray, code: np.ndarray, first: int, end: int, a: np.ndarray, b: np.ndarray, at: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which letters of the item lie in the stretches [a, b) found at ``at``, or in ``run`` (4 or 8) equal letters within SLACK of such
+    a diagonal, and on which diagonal: an altered copy keeps its order, so what is equal between two alterations lies close to it."""
     hit = np.zeros(len(item) + 1, np.int64)
     np.add.at(hit, a, 1)
     np.add.at(hit, b, -1)
-    covered = np.cumsum(hit)[:-1] > 0
+    covered, diagonal = np.cumsum(hit)[:-1] > 0, np.zeros(len(item), np.int64)
+    for x, y, d in zip(a, b, at - a):
+        diagonal[x:y] = d
     diagonals = np.unique(at - a)
     # Only the part of the document that the item could span from some diagonal.
     windows = [(max(first, int(x) - SLACK), min(end, int(x) + len(item) + SLACK)) for x in diagonals]
@@ -197,10 +232,24 @@ def _beside(item: np.ndarray, code: np.ndarray, first: int, end: int, a: np.ndar
         if run > 4:
             cell = (p - q) * np.int64(len(item) + 8) + q
             there = np.isin(cell + 4, cell)
-            q = q[there]
+            p, q = p[there], q[there]
+        fresh = ~covered
         for k in range(run):
             covered[q + k] = True
-    return int(covered.sum())
+        for k in range(run):
+            diagonal[(q + k)[fresh[q + k]]] = (p - q)[fresh[q + k]]
+    return covered, diagonal
+
+
+def _bridged(hit: np.ndarray, diagonal: np.ndarray, own: np.ndarray, least: int) -> np.ndarray:
+    """``hit`` with the letters changed between two aligned stretches, each with ``least`` letters that are no turn of phrase."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+    out, pairs = hit.copy(), edge.reshape(-1, 2)
+    for (a, x), (y, b) in zip(pairs[:-1].tolist(), pairs[1:].tolist()):
+        there = y - x + diagonal[y] - diagonal[x - 1]
+        if y - x <= SLACK and 0 <= there <= y - x + SLACK and own[a:x].sum() >= least and own[y:b].sum() >= least:
+            out[x:y] = True
+    return out
 
 
 def _search_batches(shared, share: float):
@@ -225,7 +274,7 @@ def _search_batches(shared, share: float):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.53, block_chars: int = 8_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
     """One row per document and held-out item of which the document holds at least ``share`` in verbatim stretches.
 
     documents(doc_id long, text); items(item_id long, text). Columns: doc_id, item_id, covered and item_chars (letters of
@@ -233,7 +282,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str,
     (doc_start, doc_end, code points). Texts are compared as letters and digits, with cases and compatibility forms folded,
     an item without the stock prompt it begins with. A stretch counts from SHORT letters in scripts without word spaces and
     from LONG letters in others; beside such a stretch, close to its diagonal, half as many letters count, so that a lightly
-    altered copy keeps its cover. Shared turns of phrase cover a little too, hence a ``share`` somewhat above a half. Null and empty texts match nothing, items without letters neither. Repeated rows of a
+    altered copy keeps its cover. Shared turns of phrase cover a little too: a pair less than NEAR above ``share`` is checked exactly. Letters
+    changed between two aligned stretches then count as held, and a quarter of the item must be held in one stretch or of
+    its letters outside turns of phrase (stretches that MANY items of a block have). Null and empty texts match nothing, items without letters neither. Repeated rows of a
     document give repeated rows.
 
     Each batch of documents is cut, between documents, into shards of about SHARD_CHARS characters. A suffix array of the

@@ -66,3 +66,23 @@ def test_a_shard_with_many_copies_is_searched_in_halves(monkeypatch):
     whole = leaks(items, np.arange(40), texts, 0.5)
     monkeypatch.setattr(leakage, "MAX_PAIRS", 200)
     assert sorted(leaks(items, np.arange(40), texts, 0.5)) == sorted(whole) and len(whole) == 26
+
+
+def test_half_of_an_item_is_a_case_and_shared_phrases_are_not():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    own = lambda n: " ".join(word() for _ in range(n))
+    phrases = ["where the gate book names many wooden", "around the old fair bailiffs sealed", "who must open the books on these"]
+    texts = [own(4) + " ".join(f" {p} {own(4)}" for p in phrases) for _ in range(8)]
+    items = Items(list(range(8)), texts)
+    flat = lambda t: t.replace(" ", "")
+    half = flat(texts[0])[: int(len(flat(texts[0])) * 0.515)]
+    # Every 24th letter of 53 % is changed, so equal letters cover less than a half.
+    part = list(flat(texts[1])[: int(len(flat(texts[1])) * 0.53)])
+    for k in range(20, len(part), 24):
+        part[k] = "9"
+    template = own(5) + " ".join(f" {p} {own(5)}" for p in phrases)
+    share = sum(len(flat(p)) for p in phrases) / len(flat(texts[2]))
+    docs = [own(30) + half + own(30), own(30) + "".join(part) + own(30), own(30) + template + own(30)]
+    assert {(d, i) for d, i, *_ in leaks(items, np.arange(3), docs, 0.5)} == {(0, 0), (1, 1)}
+    assert leaks(items, np.arange(3), docs[2:], share - 0.01) == []
