@@ -16,12 +16,26 @@ SURNAMES = (
     "王李张刘陈杨赵黄吴徐孙胡朱郭何罗梁宋郑谢韩唐冯邓曹彭曾肖田董潘袁蔡蒋余杜叶程魏苏吕丁任卢姚沈姜崔谭陆范汪廖贾韦傅邹孟熊秦邱侯尹薛闫雷龙黎史陶贺毛郝顾龚邵覃武钱戴严莫孔汤"
     "邬阮佟戚滕苗柏裘郁卞惠糜岑鲍蔺俞柳葛奚郎鲁昌凤酆费廉倪殷毕邬卜穆萧祁禹狄臧伏茅庞纪舒屈项祝阙蓝闵季麻娄梅盛刁钟骆樊凌霍虞柯昝管缪应宗宣贲嵇邢滑裴荣翁荀羊於甄曲封芮羿储靳汲邴松井段富巫乌焦巴弓牧隗山谷车宓蓬"
 )
+#: Common family names that are mostly ordinary words, the last three function words: a name only in a context, see ``_ordinary``.
+ORDINARY = "周马高林许金石夏方白江万付于向"
 DOUBLE_SURNAMES = "司徒 慕容 上官 欧阳 诸葛 夏侯 司马 东方 皇甫 尉迟 公孙 轩辕 令狐 宇文 长孙 鲜于 闾丘 端木 南宫 独孤 百里 呼延".split()
 #: What may stand directly before a Chinese name, and directly after one.
 NAME_BEFORE = "人者长是由找到名给了与和据有叫向请问被把同跟及工员"
 NAME_AFTER = "说 均 当天 当晚 替班 拿 名下 现住 与 和 及 把 等 并非 代为 代签 回忆 早班 晚班 同微信 是 在 的 于 向 对 称 表示 没有 认为 已 未 不 给 被 将 要 从 曾 也 还 都 先生 女士 签收 签字 到场 转 就 让 去 来".split()
 #: Words that look like a family name and a given name.
 NOT_NAMES = set("时间 金额 张贴 王记 陈述 陈列 应当 应补 余款 余额 程序 任何 任务 任意 范围 范本 管理 管道 毛病 钱款 钱数 田地 何时 何人 何地 曾经 曾任 许可 叶子 雷同 龙头 严重 严格 莫名 孔洞 史料 武器 单位 封面 封存 储存 段落 车间 车贴 山路 谷袋 牧场 井口 松开 富余 曲线 项目 项下 季度 盛放 管辖 应付 宣读 宣布 荣誉 纪要 纪律 祝贺 舒适 屈服 麻绳 蓝色 梅雨 钟表 凌晨 柳树 鲁莽 费用 顾客 顾问 戴帽 汤料 唐突 姚黄 卢布 丁方 程度 叶片 徐行 胡说 朱红 郭外 罗列 罗盘 梁柱 宋体 谢谢 韩语 邓某 曹某 肖像 董事 潘某 袁某 蒋某 杜绝 魏碑 苏打 贾某 傅某 邹某 秦某 侯选".split())
+#: Words that begin with one of ORDINARY.
+NOT_NAMES |= set(
+    "周末 周期 周边 周围 周年 周转 周岁 周全 周密 周知 周内 周到 周薪 周报 周休 周工 马上 马路 马达 马虎 马车 马匹 马桶 马力 高度 高温 高级 高层 高峰 高中 高额 高管 高速 高铁 高校 高薪 高兴 高压 高空 高危 高新 高效 高考 高于 高低 高出 高达 高价 高档 高端 高院 高估 高声 "
+    "林业 林地 林区 林木 林场 林权 许多 许可 许久 许诺 许愿 金额 金融 金属 金钱 金牌 金库 金色 金条 石头 石磨 石油 石料 石材 石块 石灰 石板 石墙 石膏 夏天 夏季 夏令 夏装 夏至 方法 方面 方案 方式 方向 方才 方便 方可 方能 方圆 方形 方针 方言 "
+    "白天 白班 白色 白条 白酒 白纸 白领 白板 白银 白干 白做 白忙 白跑 江边 江南 江北 江水 江河 江苏 江西 江湖 江面 万元 万能 万事 万物 万人 万家 万余 万件 付款 付清 付给 付费 付出 付讫 付息 付薪 付钱 付工 付房 于是 于此 于今 于法 于理 于现 于公 于本 于其 于该 于昨 "
+    "向来 向前 向后 向上 向下 向外 向内 向公 向法 向单 向对 向他 向她 向我 向你 向其 向本 向该 向经 向主 向用 向劳 向仲 向被 向申".split()
+)
+#: What shows that one of ORDINARY begins a name: a label or role before it, a verb or title behind it.
+NAME_LABEL = re.compile(r"(?:姓名|名字|联系人|收件人|经办人|签收人|名叫|我叫|[他她]叫|我是)\s*[:：]?\s*$")
+NAME_ROLE = re.compile(r"[人者长员工叫找]\s*[:：]?\s*$")
+NAME_TITLE = re.compile("先生|女士|小姐|师傅")
+NAME_VERB = re.compile("说|表示|认为|回忆|称|先生|女士|小姐|师傅|签收|签字|代签|代为|替班|到场|现住|名下|早班|晚班|同微信")
 GIVEN_STOP = set("某的了在是有和与或等第年月日时分元天条页号份行张名位个项次第一二三四五六七八九十百千万零〇")
 STREETS = "Lane|Road|Street|Close|Avenue|Drive|Way|Court|Crescent|Terrace|Place|Square|Boulevard|Highway|Ave\\.|St\\.|Rd\\.|Dr\\.|Blvd\\.|Ln\\.|Ct\\."
 FIRM_WORDS = set(
@@ -68,7 +82,7 @@ ADDRESS_EN = re.compile(
     r"|(?<!\w)P\.? ?O\.? Box \d+(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: \d{5}(?!\d))?)?",
     re.A,
 )
-_SUR = f"(?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}])"
+_SUR = f"(?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}{ORDINARY}])"
 NAME_ZH = re.compile(rf"(?:(?<![{HAN}0-9])|(?<=[{NAME_BEFORE}]))({_SUR})( ?)([{HAN}]{{1,2}}?)(?=$|[^{HAN}]|{'|'.join(NAME_AFTER)})")
 _W = r"(?:O'|Mc|Mac|D')?[A-Z][a-z]+(?:-[A-Z][a-z]+)?"
 NAME_EN = re.compile(rf"(?<![\w'.@-])(?:(?P<gs>{_W} (?:[A-Z]\. ?)?{_W})|(?P<sg>{_W}, {_W}(?: [A-Z]\.)?)|(?P<is>(?:[A-Z]\. ?){{1,3}}{_W}))(?![\w@]|'[a-rt-z]|-\w|\.\w)", re.A)
@@ -123,6 +137,19 @@ def _english_name(m: re.Match, text: str) -> tuple[int, int] | None:
     return start, end
 
 
+def _ordinary(m: re.Match, text: str) -> bool:
+    """Whether the context shows that a candidate with one of ORDINARY is a name. A function word before another family name
+    is none, and elsewhere needs a label or a title."""
+    family, given = m.group(1), m.group(3)
+    before, after = text[max(0, m.start() - 8) : m.start()], m.end()
+    label = NAME_LABEL.search(before)
+    if family in "付于向":
+        if given[0] in SURNAMES + ORDINARY and not label:
+            return False
+        return bool(label or NAME_TITLE.match(text, after))
+    return bool(label or NAME_ROLE.search(before) or NAME_VERB.match(text, after))
+
+
 def mentions(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all personal data, in order; offsets in code points of the text as given."""
     plain = text.translate(WIDE) if HAS_WIDE.search(text) else text
@@ -153,9 +180,14 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
                 found.add(start, end, "PHONE")
     for m in SPELT_PHONE.finditer(plain):
         found.add(*m.span(), "PHONE")
-    for m in NAME_ZH.finditer(plain):
-        given = m.group(3)
-        if m.group(1)[0] + given[:1] in NOT_NAMES or m.group(1) + given in NOT_NAMES or any(c in GIVEN_STOP for c in given):
+    at = 0
+    while m := NAME_ZH.search(plain, at):
+        at, given = m.end(), m.group(3)
+        ordinary = m.group(1) in ORDINARY
+        if m.group(1)[0] + given[:1] in NOT_NAMES or m.group(1) + given in NOT_NAMES or any(c in GIVEN_STOP for c in given) or ordinary and not _ordinary(m, plain):
+            if ordinary:
+                # The word may stand before a name.
+                at = m.start() + 1
             continue
         found.add(*m.span(), "NAME")
     at = 0

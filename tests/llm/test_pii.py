@@ -75,3 +75,18 @@ def test_redaction_keeps_the_rest(spark):
     assert got == [("1", "NAME", 5, 7)] * 2 + [("1", "PHONE", 10, 21)] * 2 + [("4", "EMAIL", 200001, 200009)]
     assert {r.record_id: r.text for r in redacted(df).collect()}["2"] is None
     assert personal_data(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        *((f"联系人：{x}建国，当天", [f"{x}建国"]) for x in "周马高林许于金石夏付方白江万向"),
+        ("证人周明说没有，林晓燕女士签收，员工高磊当天替班", ["周明", "林晓燕", "高磊"]),
+        ("我叫向阳，找方敏拿钥匙", ["向阳", "方敏"]),
+        ("向王溪说明，由于高温，周末加班，马上付款", ["王溪"]),
+        ("员工高度认可，申请人向公司要求付清，白天于现场签收，方便时许可", []),
+        ("石磨，金额，万元，江边，夏天，林业", []),
+    ],
+)
+def test_family_names_that_are_ordinary_words(text, want):
+    assert [x for x, k in found(text) if k == "NAME"] == want
