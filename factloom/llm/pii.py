@@ -48,7 +48,10 @@ NOT_FIRST = set(
     "Counsel Employer Worker Applicant Respondent Supervisor Dispatcher Clerk Manager Mediator Witness Payroll Human Resources Tribunal Court Hearing Home Address Letters Please Parcel Call Reach Texts Registered Passport Order Batch Ticket Grace Period Row Total Roster Reply Fwd Re Cc Subject Date Message "
     "Mr Mrs Ms Miss Dr Prof Sir St Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Counsel Night Second Note Page Badge Bundle Difference Art Sec Fig Ex No Flat Unit Box Signed Overtime Timeline Background Summary Dear Hello Besides Around Rumour Long Once Let Say Short Suppose Consider Could Would Should Put List Work Read".split()
 )
-NUMBER_LABEL = re.compile(r"(?:合同编号|合同号|流水号|单号|订单号?|批号|批次|运单号?|编号|发票号|batch|order|ref(?:erence)?|contract|invoice|ticket|no)\.?\s*(?:no\.?|ref\.?)?\s*[:：#.]?\s*$", re.I)
+#: Labels of contracts, orders and batches as whole words; a bare 'no' or '编号', or that of a passport, identity card or phone, is none.
+NUMBER_LABEL = re.compile(
+    r"(?:合同|流水|单号|订单|批号|批次|运单|发票|(?<![A-Za-z])(?:batch|order|ref(?:erence)?|contract|invoice|ticket)(?![A-Za-z]))\.?\s*(?:编号|号码?|(?:no|nr|ref|number|id)(?![A-Za-z])\.?)?\s*[:：#.]?\s*$", re.I
+)
 CN_DIGITS = "〇零一二三四五六七八九"
 
 WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x3000: 0x20}
@@ -163,7 +166,7 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
             found.add(*m.span(), "ADDRESS")
         for m in ADDRESS_EN.finditer(plain):
             found.add(*m.span(), "ADDRESS")
-        labelled = lambda at: NUMBER_LABEL.search(plain[max(0, at - 14) : at])
+        labelled = lambda at: NUMBER_LABEL.search(plain[max(0, at - 24) : at])
         for pattern in (ID18, ID15):
             for m in pattern.finditer(plain):
                 if resident_number(m.group()) and not labelled(m.start()):

@@ -90,3 +90,15 @@ def test_redaction_keeps_the_rest(spark):
 )
 def test_family_names_that_are_ordinary_words(text, want):
     assert [x for x, k in found(text) if k == "NAME"] == want
+
+
+@pytest.mark.parametrize("label", ["Passport no. ", "ID no.: ", "身份证编号：", "Tel. no. ", "护照编号 ", "编号：", "no. ", "Border "])
+def test_labels_of_personal_numbers(label):
+    for value, kind in (("XE8350223", "IDENTITY"), (ID, "IDENTITY"), ("13800138000", "PHONE")):
+        assert found(label + value) == [(value, kind)]
+
+
+@pytest.mark.parametrize("label", ["合同编号：", "Order ref. ", "Contract number: ", "batch no. ", "订单号 ", "Order #", "运单编号：", "invoice ", "流水号："])
+def test_labels_of_contracts_orders_and_batches(label):
+    for value in ("XE8350223", ID, "13800138000"):
+        assert found(label + value) == []
