@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from factloom.scratch import cut
 
@@ -56,7 +56,8 @@ def pack(sizes: DataFrame, *, capacity: int = 2048, shard_items: int = 100_000,
     """(doc_id, part, token_from, token_to, container_id): where each document of sizes(doc_id, n_tokens) lies.
 
     A document longer than ``capacity`` is split into full parts and a rest, others are never split. Documents without
-    tokens need no container and give no row; null sizes likewise. A repeated doc_id is packed as often as it is given.
+    tokens need no container and give no row; null sizes likewise. A repeated doc_id is packed as often as it is given,
+    each copy in containers of its own name; a null doc_id is a document like others.
 
     Documents are dealt by a hash of their id into shards of about ``shard_items`` pieces, each packed alone by the
     sum-of-squares rule, so only ids and sizes are shuffled, and a task holds one shard. Bins that a shard leaves with more
@@ -67,8 +68,11 @@ def pack(sizes: DataFrame, *, capacity: int = 2048, shard_items: int = 100_000,
     whole = F.floor(F.col("n") / capacity).cast("int")
     parts = given.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") % capacity == 0, whole - 1).otherwise(whole))).alias("part"))
     pieces = cut(parts.select("doc_id", "part", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part") * capacity).alias("size")))
-    # Full pieces fill a container each and take no part in the search.
-    full = pieces.where(F.col("size") == capacity).select("doc_id", "part", "size", F.concat(F.lit("f"), F.col("doc_id"), F.lit("."), F.col("part")).alias("container_id"))
+    # Full pieces fill a container each and take no part in the search. Copies of a piece are numbered from the second on.
+    copy = F.row_number().over(W.partitionBy("doc_id", "part").orderBy("size"))
+    full = pieces.where(F.col("size") == capacity).withColumn("copy", copy)
+    known = F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("."), F.col("part"), F.when(F.col("copy") > 1, F.concat(F.lit("."), F.col("copy"))).otherwise(""))
+    full = full.select("doc_id", "part", "size", known.alias("container_id"))
     rest = pieces.where(F.col("size") < capacity)
 
     def packed(items: DataFrame, n: int) -> DataFrame:

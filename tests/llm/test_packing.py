@@ -59,3 +59,14 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "劳动" * 50_000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts(df).collect()}
     assert got[1] == 3 and got[2] == got[3] == 0 and got[4] > 10_000
+
+
+def test_copies_and_null_ids_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(1, 200), (1, 200), (1, 100), (None, 100), (None, 130)], "doc_id long, n_tokens long")
+    rows = pack(df, capacity=100).collect()
+    load = defaultdict(int)
+    for r in rows:
+        load[r.container_id] += r.token_to - r.token_from
+    assert None not in load and sorted(load.values()) == [30] + [100] * 7
+    assert {r.container_id for r in rows if r.doc_id == 1} == {"f1.0", "f1.0.2", "f1.0.3", "f1.1", "f1.1.2"}
+    assert sum(r.doc_id is None for r in rows) == 3
