@@ -2,7 +2,7 @@ import random
 from datetime import datetime as T, timedelta as D
 
 from factloom.functions.ids import OPEN_DAY, closed_interval
-from factloom.operators.asof import known_versions
+from factloom.operators.asof import SLOT, _slots, known_versions
 from factloom.operators.intervals import merged_periods, periods_and_gaps
 from pyspark.sql import functions as F
 
@@ -47,6 +47,23 @@ def test_dates(spark):
     assert got == [(738944, OPEN_DAY), None, None, None, None, None, (0, 3652058), None, None]
 
 
+def _slots_of(events, revisions, shard_rows):
+    rows = events.select("entity", "at", F.lit(None).cast("string").alias("version_id")).unionByName(revisions.select("entity", F.col("recorded").alias("at"), "version_id"))
+    rows = rows.dropna(subset=["entity", "at"]).withColumn("at", F.unix_micros("at"))
+    return _slots(rows.withColumn("slot", F.shiftright("at", SLOT)), shard_rows, 10**6)
+
+
+def test_a_hot_entity_is_cut_into_shards_without_limit(spark):
+    rows = spark.range(300_000).select(F.lit("hot").alias("entity"), F.timestamp_micros(F.when(F.col("id") % 3 == 0, 10**15 + F.col("id")).otherwise(F.col("id") * 10**9)).alias("at"), F.lit(None).cast("string").alias("version_id"))
+    counted = rows.withColumn("at", F.unix_micros("at")).withColumn("slot", F.shiftright("at", SLOT))
+    slots = _slots(counted, 1000, 10**6)
+    tick = F.shiftright("at", 20).bitwiseAND(4095)
+    big = slots.where("tick >= 0").select("slot", F.lit(True).alias("big")).distinct()
+    sizes = counted.join(big, "slot", "left").withColumn("tick", F.when(F.col("big"), tick).otherwise(-1)).join(slots, ["entity", "slot", "tick"]).groupBy("shard", "salts").agg(F.count("*").alias("n"), F.max("shards").alias("k")).collect()
+    assert sum(r.n for r in sizes) == 300_000 and len(sizes) == sizes[0].k > 200
+    assert all(r.n <= 1000 * r.salts for r in sizes)
+
+
 def test_known_versions_hot_and_cold_agree_with_brute_force(spark):
     rnd = random.Random(5)
     t0 = T(2020, 1, 1)
@@ -71,6 +88,14 @@ def test_known_versions_hot_and_cold_agree_with_brute_force(spark):
         want |= {(i, v, k[0]) for v, k in best.items() if k[2] and k[3][0] <= day <= k[3][1]}
     E = spark.createDataFrame(events, "event_id string, entity string, day long, at timestamp").withColumn("valid", F.lit("clash"))
     R = spark.createDataFrame(revs, "entity string, version_id string, revision_no int, valid struct<first: long, last: long>, recorded timestamp").withColumn("at", F.lit("clash"))
-    for rows, index in ((100, 10), (10**6, 10**6), (10**6, 50)):
-        assert {tuple(r) for r in known_versions(E, R, shard_rows=rows, index_rows=index).collect()} == want
+    for rows, lanes in ((1, 10**6), (20, 10**6), (32, 7), (10**6, 10**6)):
+        got = known_versions(E, R, shard_rows=rows, lane_versions=lanes).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    # All rows in one tick: its events are dealt over salts.
+    burst = [(e, v, no, valid, t0 + D(microseconds=i)) for i, (e, v, no, valid, _) in enumerate(revs)]
+    asked = [(i, e, day, t0 + D(seconds=0.5)) for i, e, day, at in events]
+    B, Q = spark.createDataFrame(burst, R.drop("at").schema), spark.createDataFrame(asked, E.drop("valid").schema)
+    assert {tuple(r) for r in known_versions(Q, B, shard_rows=4, lane_versions=5).collect()} == {tuple(r) for r in known_versions(Q, B, shard_rows=10**6).collect()}
+    placed = _slots_of(Q, B, 20)
+    assert placed.where("salts > 1").count() > 0
     assert known_versions(E.limit(0), R).count() == 0
