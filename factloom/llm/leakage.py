@@ -6,36 +6,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: A shard's suffixes are ordered by this many letters; matches are found from SHORT letters in scripts without word
-#: spaces and from LONG letters elsewhere.
+#: A verbatim stretch tells by itself from SHORT letters in scripts without word spaces and from LONG letters elsewhere; half
+#: as many do among others, see ``held``.
 SHORT, LONG = 8, 16
 SHARD_CHARS = 1_000_000
-#: Pairs with verbatim stretches over less of the item are not looked at further. Around a stretch, equal letters count
-#: within so many letters of its diagonal.
-SEED_SHARE, SLACK = 0.12, 12
-#: Turns of phrase are short stretches that so many items of a block have. Pairs whose cover is less than NEAR above the share
-#: are cases only with a stretch of a quarter of the item or a quarter of its letters outside such turns.
-MANY, NEAR, QUARTER = 4, 0.03, 0.25
-#: Beyond so many pairs of equal suffixes a shard is searched in halves, of its documents first and then of the items.
+#: Letters changed between two stretches are a light alteration up to so many.
+SLACK = 12
+#: Turns of phrase are stretches that so many items of a block have; a case needs so much of an item in one stretch or of its
+#: letters outside such turns.
+MANY, QUARTER = 4, 0.25
+#: A shard whose suffixes and documents meet in more pairs is searched in halves, of its documents first and then of the
+#: items; one document and one item are looked at in blocks of so many places.
 MAX_PAIRS = 4_000_000
 MATCHES = "doc_id long, item_id long, covered long, item_chars long, longest long, doc_start long, doc_end long"
 
 
-def _letters() -> np.ndarray:
-    """For each code point of the basic plane the letter or digit it stands for in a comparison, or 0: compatibility forms
-    and cases are folded, marks, punctuation and white space vanish, so reformatting changes nothing."""
-    table = np.zeros(0x10000, np.uint16)
+def folded(c: str) -> list[int]:
+    """What a character stands for in a comparison, as UTF-16 units: its letters and digits without marks, cases and
+    compatibility forms; nothing for punctuation and white space."""
+    base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    kept = "".join(x for x in unicodedata.normalize("NFKC", base).lower() if x.isalnum())
+    return np.frombuffer(kept.encode("utf-16-le"), np.uint16).tolist()
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the basic plane the one unit it stands for, or 0; and whether it stands for several."""
+    table, several = np.zeros(0x10000, np.uint16), np.zeros(0x10000, bool)
     for c in range(0x10000):
-        folded = unicodedata.normalize("NFKC", chr(c)).lower()
-        if len(folded) == 1 and folded.isalnum() and ord(folded) < 0x10000:
-            table[c] = ord(folded)
-    return table
+        units = folded(chr(c)) if not 0xD800 <= c < 0xE000 else []
+        several[c] = len(units) > 1
+        table[c] = units[0] if len(units) == 1 else 0
+    return table, several
 
 
-LETTERS = _letters()
-#: Letters of scripts that write no spaces between words.
+LETTERS, SEVERAL = _letters()
+#: Letters of scripts that write no spaces between words; those beyond the basic plane are nearly all Chinese.
 UNSPACED = np.zeros(0x10000, bool)
-for _a, _b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)):
+for _a, _b in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xD800, 0xDFFF), (0xF900, 0xFAFF)):
     UNSPACED[_a:_b] = True
 
 
@@ -44,14 +51,24 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))
-    code = LETTERS[np.minimum(raw, 0xFFFF)]
-    code[raw > 0xFFFF] = 0
-    ends = starts[1:] - 1
-    keep = code > 0
-    keep[ends] = True
-    at = np.flatnonzero(keep)
+    small = np.minimum(raw, 0xFFFF)
+    code, at = LETTERS[small], np.arange(len(raw))
+    rare = (raw > 0xFFFF) | SEVERAL[small]
+    if rare.any():
+        # Each of the rare characters stands for as many units as it has.
+        kinds, which = np.unique(raw[rare], return_inverse=True)
+        units = [folded(chr(c)) for c in kinds.tolist()]
+        n = np.ones(len(raw), np.int64)
+        n[rare] = np.array([len(u) for u in units])[which]
+        at = np.repeat(at, n)
+        code, few = code[at], rare[at]
+        code[few] = np.concatenate([np.array(units[k], np.uint16) for k in which.tolist()])
+    end = np.zeros(len(raw), bool)
+    end[starts[1:] - 1] = True
+    keep = (code > 0) | end[at]
+    at, code = at[keep], code[keep]
     number = np.searchsorted(starts, at, "right") - 1
-    return code[at], number, at - starts[number]
+    return code, number, at - starts[number]
 
 
 def _key4(code: np.ndarray) -> np.ndarray:
@@ -60,47 +77,105 @@ def _key4(code: np.ndarray) -> np.ndarray:
     return (p[:n] << np.uint64(48)) | (p[1 : n + 1] << np.uint64(32)) | (p[2 : n + 2] << np.uint64(16)) | p[3 : n + 3]
 
 
-def _pair(rank: np.ndarray, step: int) -> np.ndarray:
-    """Keys of twice the depth: a suffix's rank with the rank of the suffix ``step`` letters on."""
-    on = np.concatenate((rank[step:], np.zeros(min(step, len(rank)), rank.dtype)))
-    return (rank.astype(np.uint64) << np.uint64(32)) | on.astype(np.uint64)
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] numbers, then those of begin[1], and so on."""
+    return np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _on(value: np.ndarray, at: np.ndarray, beyond: int) -> np.ndarray:
+    """The values at some places, ``beyond`` for those behind the end."""
+    return np.where(at < len(value), value[np.minimum(at, len(value) - 1)], np.uint32(beyond))
 
 
 class SuffixArray:
-    """Suffixes of a shard in order of their first LONG letters, by doubling the depth of the sort keys: 4, 8, 16."""
+    """All suffixes of a shard in order, by doubling the depth of the sort keys until no two are equal.
+
+    order: places of the suffixes in order. values: for each depth 4, 8, 16 and so on, every place's 2 * b + 2, where b is
+    where the suffixes with the same letters up to that depth begin in the order.
+    """
 
     def __init__(self, code: np.ndarray):
-        self.levels, key = [], _key4(code)
-        for depth in (4, SHORT, LONG):
-            order = np.argsort(key)
-            ordered = key[order]
-            first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
-            rank = np.empty(len(key), np.uint32)
-            rank[order] = np.cumsum(first)
-            begins = np.flatnonzero(first)
-            self.levels.append((ordered[begins], order, np.append(begins, len(key))))
-            key = _pair(rank, depth)
-
-    def search(self, code: np.ndarray, most: float = np.inf) -> dict[int, tuple[np.ndarray, np.ndarray]] | None:
-        """None where there are more than ``most`` pairs of a depth, else for the depths SHORT and LONG: pairs (suffix of ``code``, suffix of the shard) that share so many letters.
-
-        Each suffix of ``code`` is sought by binary search among the distinct keys of each depth in turn.
+        depth, key = 4, _key4(code)
+        order = np.argsort(key, kind="stable")
+        self.code, self.order, self.first, self.depths, self.values = code, order, key[order], [], []
+        equal, key, value = np.arange(len(code)), self.first, np.empty(len(code), np.uint32)
+        while True:
+            fresh = np.concatenate(([True], key[1:] != key[:-1]))
+            begin = np.maximum.accumulate(np.where(fresh, equal, 0))
+            value = value.copy()
+            value[order[equal]] = 2 * begin + 2
+            self.depths.append(depth)
+            self.values.append(value)
+            # Only suffixes that have an equal are sorted anew, each among its equals.
+            several = ~(fresh & np.append(fresh[1:], True))
+            equal, begin = equal[several], begin[several]
+            if not len(equal):
+                break
+            key = (begin.astype(np.uint64) << np.uint64(32)) | _on(value, order[equal] + depth, 0).astype(np.uint64)
+            inner = np.argsort(key, kind="stable")
+            order[equal], key = order[equal[inner]], key[inner]
+            depth *= 2
+
+    def _bisect(self, k: int, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+        """In each interval of suffixes equal to depth k, the first of which the letters beyond it do not come before those wanted,
+        or, on the right, the first of which they come after them."""
+        low, high = low.copy(), high.copy()
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            mid = (low[open_] + high[open_]) >> 1
+            there = _on(self.values[k], self.order[mid] + self.depths[k], 0)
+            before = there <= wanted[open_] if right else there < wanted[open_]
+            low[open_[before]] = mid[before] + 1
+            high[open_[~before]] = mid[~before]
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def search(self, code: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, list[np.ndarray]]:
+        """Every suffix of ``code`` sought by binary search, to each depth in turn as long as the shard has it.
+
+        Gives for each depth (low, high), where the suffixes with the same letters up to it lie in the order (low = high: none);
+        where each suffix would stand in the order; and its values, odd from the first depth that the shard does not have.
         """
-        found, key = {}, _key4(code)
-        for (keys, order, begins), depth in zip(self.levels, (4, SHORT, LONG)):
-            at = np.searchsorted(keys, key)
-            hit = (keys[np.minimum(at, len(keys) - 1)] == key) if len(keys) else np.zeros(len(key), bool)
-            # Rank 0 means that the shard has no such suffix; the pairing below then meets no key.
-            rank = np.where(hit, at + 1, 0).astype(np.uint32)
-            if depth >= SHORT:
-                q = np.flatnonzero(hit)
-                count = begins[at[q] + 1] - begins[at[q]]
-                if count.sum() > most:
-                    return None
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                found[depth] = (np.repeat(q, count), order[np.repeat(begins[at[q]], count) + inner])
-            key = _pair(rank, depth)
-        return found
+        key, bounds, values = _key4(code), {}, []
+        live = np.arange(len(code))
+        low, high = np.searchsorted(self.first, key, "left"), np.searchsorted(self.first, key, "right")
+        value = np.empty(len(code), np.uint32)
+        for k, depth in enumerate(self.depths):
+            if k:
+                wanted = _on(value, live + self.depths[k - 1], 1)
+                a = self._bisect(k - 1, low[live], high[live], wanted, False)
+                b = self._bisect(k - 1, a, high[live], wanted, True)
+                # Those that ended before keep their place, as equals begin where they did.
+                low, high, value = low.copy(), low.copy(), value.copy()
+                low[live], high[live] = a, b
+            a, b = low[live], high[live]
+            bounds[depth] = (low, high)
+            value[live] = np.where(a < b, 2 * a + 2, 2 * a + 1)
+            values.append(value)
+            live = live[a < b]
+        return bounds, low, values
+
+    def common(self, theirs: np.ndarray, values: list[np.ndarray], q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How many letters the suffixes q of ``theirs`` and p of the shard have in common."""
+        n = np.zeros(len(q), np.int64)
+
+        def advance(mine: np.ndarray, own: np.ndarray, step: int, rest: np.ndarray) -> np.ndarray:
+            a, b = q[rest] + n[rest], p[rest] + n[rest]
+            ok = (a < len(mine)) & (b < len(own))
+            same = rest[ok][mine[a[ok]] == own[b[ok]]]
+            n[same] += step
+            return same
+
+        rest = np.arange(len(q))
+        while len(rest):
+            rest = advance(values[-1], self.values[-1], self.depths[-1], rest)
+        every = np.arange(len(q))
+        for k in range(len(self.depths) - 2, -1, -1):
+            advance(values[k], self.values[k], self.depths[k], every)
+        rest = every
+        for _ in range(3):
+            rest = advance(theirs, self.code, 1, rest)
+        return n
 
 
 class Items:
@@ -142,113 +217,167 @@ class Items:
         return Items(ids[:k], self.texts[:k], self.common[: self.start[k]]), Items(ids[k:], self.texts[k:], self.common[self.start[k] :])
 
 
-def leaks(items: Items, doc_ids: np.ndarray, texts: list[str], share: float) -> list[tuple]:
-    """Rows of MATCHES for one shard."""
-    code, number, place = letters(texts)
-    if not len(items.ids) or not code.any():
+def _covered(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``size`` letters lie in any of the stretches [a, b)."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, b, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def _runs(q: np.ndarray, p: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (q, p, length) that follow each other or overlap on one diagonal, each joined to one."""
+    order = np.lexsort((q, p - q))
+    q, p, length = q[order], p[order], length[order]
+    if not len(q):
+        return q, p, length
+    fresh = np.concatenate(([True], (np.diff(p - q) != 0) | (q[1:] > q[:-1] + length[:-1])))
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(q)) - 1
+    return q[head], p[head], q[tail] + length[tail] - q[head]
+
+
+def held(size: int, run: int, q: np.ndarray, p: np.ndarray, length: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of an item's letters a document holds, given all maximal common stretches of at least ``run`` letters.
+
+    q, p, length: where a stretch begins in item and document. A passage of the document is where stretches lie at most
+    4 * run letters apart; it counts if its stretches cover 2 * run letters of the item, so one long stretch is a passage,
+    and so are several short ones between alterations, while a short one alone is chance. Letters of the item between two
+    neighbouring stretches of one passage were changed and count as held if both texts have at most SLACK there, and if half a
+    run on either side is ``own`` to the item rather than a turn of phrase.
+    """
+    order = np.argsort(p, kind="stable")
+    q, p, length = q[order], p[order], length[order]
+    reach = np.maximum.accumulate(p + length)
+    head = np.flatnonzero(np.concatenate(([True], p[1:] > reach[:-1] + 4 * run)))
+    out, ownsum = np.zeros(size, bool), np.concatenate(([0], np.cumsum(own)))
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(p)]):
+        a, b = q[lo:hi], q[lo:hi] + length[lo:hi]
+        here = _covered(size, a, b)
+        if here.sum() < 2 * run:
+            continue
+        x, y = np.arange(lo, hi - 1), np.arange(lo + 1, hi)
+        gap, there = q[y] - (q[x] + length[x]), p[y] - (p[x] + length[x])
+        near = (gap > 0) & (gap <= SLACK) & (there >= 0) & (there <= gap + SLACK)
+        near &= (ownsum[q[x] + length[x]] - ownsum[q[x]] >= run // 2) & (ownsum[q[y] + length[y]] - ownsum[q[y]] >= run // 2)
+        out |= here | _covered(size, (q[x] + length[x])[near], q[y][near])
+    return out
+
+
+class _Shard:
+    """A shard's suffix array, and in it each suffix of the items."""
+
+    def __init__(self, items: Items, texts: list[str]):
+        self.items = items
+        code, self.number, self.place = letters(texts)
+        self.array = SuffixArray(code)
+        self.bounds, self.stand, self.values = self.array.search(items.code)
+        # Suffixes of one document in their order: those of an interval of the order that lie in it are a run here.
+        order = self.array.order
+        self.n = np.int64(len(order))
+        self.by_doc = np.sort(self.number[order].astype(np.int64) * self.n + np.arange(self.n))
+
+    def meetings(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(suffix, document) for every suffix of an item of which a document has as many letters as a short stretch; None where
+        there are too many."""
+        found, total = [], 0
+        for run in (SHORT // 2, LONG // 2):
+            if run not in self.bounds:
+                continue
+            low, high = self.bounds[run]
+            q = np.flatnonzero((low < high) & (self.items.depth[self.items.number] == 2 * run) & (self.items.left >= run))
+            if not len(q):
+                continue
+            # The documents of each interval that is met, once each.
+            begins, which = np.unique(low[q], return_inverse=True)
+            n = high[q][np.unique(which, return_index=True)[1]] - begins
+            docs = self.number[self.array.order[_ranges(begins, n)]].astype(np.int64)
+            once = np.unique(np.repeat(np.arange(len(begins)), n) * (self.number[-1] + 1) + docs)
+            group, docs = np.divmod(once, self.number[-1] + 1)
+            first = np.searchsorted(group, np.arange(len(begins) + 1))
+            count = (first[1:] - first[:-1])[which]
+            total += count.sum()
+            if total > MAX_PAIRS and (len(self.items.ids) > 1 or self.number[-1] > 0):
+                return None
+            found.append((np.repeat(q, count), docs[_ranges(first[which], count)]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
+
+    def longest(self, q: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place) of the longest stretch with which each suffix begins in its document: that of a neighbour, among the
+        document's suffixes, of where it would stand."""
+        at = np.searchsorted(self.by_doc, doc * self.n + self.stand[q])
+        best, where = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for side in (at, at - 1):
+            inside = (side >= 0) & (side < self.n)
+            d, i = np.divmod(self.by_doc[np.clip(side, 0, self.n - 1)], self.n)
+            k = np.flatnonzero(inside & (d == doc))
+            n = np.minimum(self.array.common(self.items.code, self.values, q[k], self.array.order[i[k]]), self.items.left[q[k]])
+            better = n > best[k]
+            best[k[better]], where[k[better]] = n[better], self.array.order[i[k]][better]
+        return best, where
+
+    def stretches(self, q: np.ndarray, doc: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All maximal stretches (q, p, length) of at least ``run`` letters that an item's suffixes q share with a document."""
+        low, high = self.bounds[run]
+        begin, end = np.searchsorted(self.by_doc, doc * self.n + low[q]), np.searchsorted(self.by_doc, doc * self.n + high[q])
+        n, done = end - begin, (np.zeros(0, np.int64),) * 3
+        block = np.cumsum(n) // MAX_PAIRS
+        for k in np.unique(block).tolist():
+            part = block == k
+            p = self.array.order[self.by_doc[_ranges(begin[part], n[part])] % self.n]
+            more = (np.repeat(q[part], n[part]), p, np.full(len(p), run, np.int64))
+            done = _runs(*(np.concatenate(x) for x in zip(done, _runs(*more))))
+        return done
+
+
+def leaks(items: Items, docs: np.ndarray, texts: list[str], share: float) -> list[tuple]:
+    """(document, item, covered, item's letters, longest, its first and last place) of each leak in one shard."""
+    if not len(items.ids) or not any(texts):
         return []
-    halves = len(texts) > 1 or len(items.ids) > 1
-    found = SuffixArray(code).search(items.code, MAX_PAIRS if halves else np.inf)
-    if found is None and len(texts) > 1:
+    shard = _Shard(items, texts)
+    met = shard.meetings()
+    if met is None and len(texts) > 1:
         k = len(texts) // 2
-        return leaks(items, doc_ids[:k], texts[:k], share) + leaks(items, doc_ids[k:], texts[k:], share)
-    if found is None:
+        return leaks(items, docs[:k], texts[:k], share) + leaks(items, docs[k:], texts[k:], share)
+    if met is None:
         one, other = items.halves()
-        return leaks(one, doc_ids, texts, share) + leaks(other, doc_ids, texts, share)
-    queries, places, depths = [], [], []
-    for depth, (q, p) in found.items():
-        ok = (items.depth[items.number[q]] == depth) & (items.left[q] >= depth)
-        queries.append(q[ok])
-        places.append(p[ok])
-        depths.append(np.full(int(ok.sum()), depth))
-    q, p, depth = np.concatenate(queries), np.concatenate(places), np.concatenate(depths)
+        return leaks(one, docs, texts, share) + leaks(other, docs, texts, share)
+    q, doc = met
+    group = doc * len(items.ids) + items.number[q]
+    order = np.lexsort((q, group))
+    q, doc, group = q[order], doc[order], group[order]
     if not len(q):
         return []
-    # Matches on one diagonal whose starts follow each other are one longer match.
-    item, doc = items.number[q], number[p]
-    order = np.lexsort((q, p - q, item, doc))
-    q, p, depth, item, doc = q[order], p[order], depth[order], item[order], doc[order]
-    fresh = np.concatenate(([True], (q[1:] != q[:-1] + 1) | (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
-    begin = np.flatnonzero(fresh)
-    stop = np.append(begin[1:], len(q)) - 1
-    a, b, pa_, pb = q[begin], q[stop] + depth[stop], p[begin], p[stop] + depth[stop]
-    item, doc = item[begin], doc[begin]
-    # By document and item: the union of the item's matched stretches, and what lies beside them.
-    group = doc.astype(np.int64) * len(items.ids) + item
-    order = np.lexsort((a, group))
-    group, a, b, pa_, pb = group[order], a[order], b[order], pa_[order], pb[order]
-    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    seeds = np.add.reduceat(b - a, heads)
-    size = items.size[group[heads] % len(items.ids)]
-    limits = np.flatnonzero(code == 0)
-    out = []
-    for h in np.flatnonzero(seeds >= SEED_SHARE * size):
-        lo, hi = heads[h], heads[h + 1] if h + 1 < len(heads) else len(group)
-        d, i = divmod(int(group[lo]), len(items.ids))
-        inside = slice(items.start[i], items.start[i] + size[h])
-        hit, diagonal = _beside(items.code[inside], code, limits[d - 1] + 1 if d else 0, limits[d], a[lo:hi] - items.start[i], b[lo:hi] - items.start[i], pa_[lo:hi], int(items.depth[i]) // 2)
-        best = lo + int(np.argmax(b[lo:hi] - a[lo:hi]))
-        covered, own = int(hit.sum()), ~items.common[inside]
-        case = covered >= (share + NEAR) * size[h]
-        if not case:
-            hit = _bridged(hit, diagonal, own, int(items.depth[i]) // 4)
-            covered = int(hit.sum())
-            case = covered >= share * size[h] and (b[best] - a[best] >= QUARTER * size[h] or (hit & own).sum() >= QUARTER * own.sum())
-        if case:
-            out.append((int(doc_ids[d]), int(items.ids[i]), covered, int(size[h]), int(b[best] - a[best]), int(place[pa_[best]]), int(place[pb[best] - 1]) + 1))
-    return out
-
-
-def _beside(item: np.ndarray, code: np.ndarray, first: int, end: int, a: np.ndarray, b: np.ndarray, at: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which letters of the item lie in the stretches [a, b) found at ``at``, or in ``run`` (4 or 8) equal letters within SLACK of such
-    a diagonal, and on which diagonal: an altered copy keeps its order, so what is equal between two alterations lies close to it."""
-    hit = np.zeros(len(item) + 1, np.int64)
-    np.add.at(hit, a, 1)
-    np.add.at(hit, b, -1)
-    covered, diagonal = np.cumsum(hit)[:-1] > 0, np.zeros(len(item), np.int64)
-    for x, y, d in zip(a, b, at - a):
-        diagonal[x:y] = d
-    diagonals = np.unique(at - a)
-    # Only the part of the document that the item could span from some diagonal.
-    windows = [(max(first, int(x) - SLACK), min(end, int(x) + len(item) + SLACK)) for x in diagonals]
-    merged = []
-    for lo, hi in windows:
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(hi, merged[-1][1])
-        else:
-            merged.append([lo, hi])
-    keys = _key4(item)[: max(0, len(item) - 3)]
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    for lo, hi in merged:
-        there = _key4(code[lo:hi])[: max(0, hi - lo - 3)]
-        left, right = np.searchsorted(ordered, there, "left"), np.searchsorted(ordered, there, "right")
-        n = right - left
-        p = np.repeat(np.arange(lo, lo + len(there)), n)
-        q = order[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        near = np.searchsorted(diagonals, p - q)
-        gap = np.minimum(np.abs(diagonals[np.minimum(near, len(diagonals) - 1)] - (p - q)), np.abs(diagonals[np.maximum(near - 1, 0)] - (p - q)))
-        p, q = p[gap <= SLACK], q[gap <= SLACK]
-        if run > 4:
-            cell = (p - q) * np.int64(len(item) + 8) + q
-            there = np.isin(cell + 4, cell)
-            p, q = p[there], q[there]
-        fresh = ~covered
-        for k in range(run):
-            covered[q + k] = True
-        for k in range(run):
-            diagonal[(q + k)[fresh[q + k]]] = (p - q)[fresh[q + k]]
-    return covered, diagonal
-
-
-def _bridged(hit: np.ndarray, diagonal: np.ndarray, own: np.ndarray, least: int) -> np.ndarray:
-    """``hit`` with the letters changed between two aligned stretches, each with ``least`` letters that are no turn of phrase."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-    out, pairs = hit.copy(), edge.reshape(-1, 2)
-    for (a, x), (y, b) in zip(pairs[:-1].tolist(), pairs[1:].tolist()):
-        there = y - x + diagonal[y] - diagonal[x - 1]
-        if y - x <= SLACK and 0 <= there <= y - x + SLACK and own[a:x].sum() >= least and own[y:b].sum() >= least:
-            out[x:y] = True
+    # Held letters lie in stretches or were changed between two of them, at most SLACK at a place. So pairs whose stretches are too
+    # few for that are none, whatever else is looked at.
+    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    tail = np.append(head[1:], len(q))
+    item = items.number[q[head]]
+    run = items.depth[item] // 2
+    step = np.concatenate(([0], np.diff(q)))
+    step[head] = run
+    gap = np.maximum(step - np.repeat(run, tail - head), 0)
+    most = np.add.reduceat(step - np.where(gap > SLACK, gap, 0), head)
+    possible = np.flatnonzero(most >= share * items.size[item])
+    take = _ranges(head[possible], (tail - head)[possible])
+    long, where = shard.longest(q[take], doc[take])
+    out, at = [], 0
+    for h in possible.tolist():
+        mine = slice(head[h], tail[h])
+        n, p = long[at : at + tail[h] - head[h]], where[at : at + tail[h] - head[h]]
+        at += tail[h] - head[h]
+        i, first, size = item[h], items.start[item[h]], items.size[item[h]]
+        own = ~items.common[first : first + size]
+        begin = q[mine] - first
+        hit = _covered(size, begin[n >= 2 * run[h]], (begin + n)[n >= 2 * run[h]])
+        if hit.sum() < size:
+            a, b, c = shard.stretches(q[mine], int(doc[head[h]]), int(run[h]))
+            hit = hit | held(size, int(run[h]), a - first, b, c, own)
+        covered, best = int(hit.sum()), int(np.argmax(n))
+        if covered >= share * size and (n[best] >= QUARTER * size or (hit & own).sum() >= QUARTER * own.sum()):
+            last = p[best] + n[best] - 1
+            out.append((int(docs[doc[head[h]]]), int(items.ids[i]), covered, int(size), int(n[best]), int(shard.place[p[best]]), int(shard.place[last]) + 1))
     return out
 
 
@@ -256,41 +385,42 @@ def _search_batches(shared, share: float):
     def run(batches):
         items = Items(*shared.value)
         for batch in batches:
-            rows, ids, texts, size = [], [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            rows, numbers, texts, size = [], [], [], 0
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 if text:
-                    ids.append(doc)
+                    numbers.append(at)
                     texts.append(text)
                     size += len(text)
                 if size >= SHARD_CHARS:
-                    rows += leaks(items, np.array(ids), texts, share)
-                    ids, texts, size = [], [], 0
+                    rows += leaks(items, np.array(numbers), texts, share)
+                    numbers, texts, size = [], [], 0
             if texts:
-                rows += leaks(items, np.array(ids), texts, share)
+                rows += leaks(items, np.array(numbers), texts, share)
             names = [f.split()[0] for f in MATCHES.split(", ")]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], names=names)
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
-    """One row per document and held-out item of which the document holds at least ``share`` in verbatim stretches.
+def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
+    """One row per document and held-out item of which the document holds at least ``share``, in one or several stretches.
 
     documents(doc_id long, text); items(item_id long, text). Columns: doc_id, item_id, covered and item_chars (letters of
-    the item found and in all), longest (letters of the longest verbatim match) and where that match lies in the document
-    (doc_start, doc_end, code points). Texts are compared as letters and digits, with cases and compatibility forms folded,
-    an item without the stock prompt it begins with. A stretch counts from SHORT letters in scripts without word spaces and
-    from LONG letters in others; beside such a stretch, close to its diagonal, half as many letters count, so that a lightly
-    altered copy keeps its cover. Shared turns of phrase cover a little too: a pair less than NEAR above ``share`` is checked exactly. Letters
-    changed between two aligned stretches then count as held, and a quarter of the item must be held in one stretch or of
-    its letters outside turns of phrase (stretches that MANY items of a block have). Null and empty texts match nothing, items without letters neither. Repeated rows of a
-    document give repeated rows.
+    the item held and in all), longest (letters of the longest verbatim match) and where that match lies in the document
+    (doc_start, doc_end, code points). Texts are compared as letters and digits, with cases, marks and compatibility forms
+    folded, an item without the stock prompt it begins with. What counts as held is told at ``held``: stretches from SHORT
+    letters (LONG in scripts with word spaces), shorter ones among others, and what was changed between them, so a lightly altered
+    copy keeps its cover. A quarter of the item must be held in one stretch or of its letters outside turns of phrase
+    (stretches that MANY items of a block have), so shared phrases alone are no case. Null and empty texts match nothing,
+    items without letters neither. Repeated rows of a document give repeated rows, one without an id a row without it.
 
     Each batch of documents is cut, between documents, into shards of about SHARD_CHARS characters. A suffix array of the
-    shard orders all its suffixes; every suffix of every item is sought in it by binary search; hits on one diagonal join to
-    the longest verbatim matches. A document lies in one shard, so nothing is shuffled. Items go to the tasks in blocks of
-    at most ``block_chars`` characters, so what is broadcast is bounded whatever their number; each block is one more pass.
+    shard orders all its suffixes; every suffix of every item is sought in it by binary search, which gives the documents
+    that share a short stretch with it, and for each the longest verbatim match and its place. Pairs whose stretches could not
+    make up ``share`` go; the others are looked at in full. A document lies in one shard, so nothing is shuffled. Items go to
+    the tasks in blocks of at most ``block_chars`` characters, so what is broadcast is bounded whatever their number; each
+    block is one more pass. Memory is bounded for repetitive texts too: a pair is one document and one suffix, not one place.
     """
     sized = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 from factloom.llm import leakage
-from factloom.llm.leakage import LONG, SHORT, Items, SuffixArray, leaked_items, leaks, letters, without_leaks
+from factloom.llm.leakage import Items, SuffixArray, leaked_items, leaks, letters, without_leaks
 
 WORDS = "mill lock barley ferry hoop guild ledger copper velvet lantern orchard pepper saddle quarry timber anchor walnut harbour candle bishop".split()
 
@@ -11,22 +13,59 @@ def sentence(rnd, n):
     return " ".join(rnd.choice(WORDS) + str(rnd.randrange(9)) for _ in range(n))
 
 
-def test_suffix_array_finds_every_common_stretch():
+def longest_common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("kind", ["random", "periodic", "equal"])
+def test_suffix_array_against_brute_force(kind):
     rnd = random.Random(1)
-    a = np.array([rnd.randrange(1, 4) for _ in range(3000)], np.uint16)
-    b = np.concatenate([a[100:140], [0], [rnd.randrange(1, 4) for _ in range(80)], [0]]).astype(np.uint16)
-    got = SuffixArray(a).search(b)
-    for depth in (SHORT, LONG):
-        grams = {}
-        for p in range(len(a) - depth + 1):
-            grams.setdefault(a[p : p + depth].tobytes(), []).append(p)
-        want = {(q, p) for q in range(len(b) - depth + 1) for p in grams.get(b[q : q + depth].tobytes(), ())}
-        assert {(int(q), int(p)) for q, p in zip(*got[depth]) if q + depth <= len(b) and p + depth <= len(a)} == want
+    draw = {"random": lambda i: rnd.randrange(1, 4), "periodic": lambda i: i % 5 + 1, "equal": lambda i: 1}[kind]
+    a = np.array([draw(i) for i in range(400)] + [0] + [draw(i) for i in range(150)] + [0], np.uint16)
+    b = np.concatenate([a[100:140], [0], [draw(i) for i in range(60)], [0]]).astype(np.uint16)
+    array = SuffixArray(a)
+    suffixes = [a[i:].tolist() for i in range(len(a))]
+    assert array.order.tolist() == sorted(range(len(a)), key=suffixes.__getitem__)
+    bounds, stand, values = array.search(b)
+    for depth, (low, high) in bounds.items():
+        for q in range(len(b) - depth):
+            want = {p for p in range(len(a)) if a[p : p + depth].tolist() == b[q : q + depth].tolist()}
+            assert set(array.order[low[q] : high[q]].tolist()) == want
+    q, p = (x.ravel() for x in np.meshgrid(np.arange(len(b) - 1), np.arange(len(a))))
+    # Behind the last text there are only zeros, which callers leave out.
+    assert np.minimum(array.common(b, values, q, p), len(b) - q).tolist() == [longest_common(b[x:].tolist(), suffixes[y]) for x, y in zip(q.tolist(), p.tolist())]
+
+
+def test_longest_match_of_each_document():
+    rnd = random.Random(2)
+    items = Items([1], ["".join(rnd.choice("ab") for _ in range(80))])
+    texts = ["".join(rnd.choice("ab") for _ in range(60)) for _ in range(8)] + [items.texts[0][10:50]]
+    shard = leakage._Shard(items, texts)
+    q, doc = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(len(texts))))
+    n, where = shard.longest(q, doc)
+    for x, d, k, p in zip(q.tolist(), doc.tolist(), n.tolist(), where.tolist()):
+        want = max(longest_common(items.texts[0][x:], texts[d][i:]) for i in range(len(texts[d])))
+        assert k == want and (not k or texts[d][shard.place[p] :][:k] == items.texts[0][x : x + k])
+
+
+def test_repetitive_text_stays_small():
+    items = Items([1, 2], ["a" * 3000, "ab" * 1500])
+    tracemalloc.start()
+    found = leaks(items, np.arange(2), ["a" * 200_000, "ba" * 50_000], 0.5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(d, i, c) for d, i, c, *_ in found} == {(0, 1, 3000), (1, 2, 3000)} and most < 500 << 20
 
 
 def test_letters_ignore_format():
     code, number, place = letters(["Ａb-C。", "", "х😀1"])
     assert "".join(map(chr, code)) == "abc\0\0х1\0" and number.tolist() == [0, 0, 0, 0, 1, 2, 2, 2] and place.tolist() == [0, 1, 3, 5, 0, 0, 2, 3]
+    code, number, place = letters(["oﬃce 𠮷É", "e\u0301"])
+    assert code[:6].tobytes().decode("utf-16-le") == "office" and place[:6].tolist() == [0, 1, 1, 1, 2, 3]
+    assert code[6:8].tobytes().decode("utf-16-le") == "𠮷" and place[6:10].tolist() == [5, 5, 6, 7] and chr(code[8]) == chr(code[10]) == "e"
 
 
 def test_leaks(spark):
@@ -45,17 +84,18 @@ def test_leaks(spark):
         16: "",
         17: None,
         18: items[2] + " " + items[1],
+        None: items[1],
     }
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").selectExpr("*", "'x' AS item_id")
     i = spark.createDataFrame([(k, prompt + v) for k, v in items.items()] + [(4, prompt), (5, None), (6, "")], "item_id long, text string").selectExpr("*", "0 AS doc_id")
-    want = {(10, 1), (12, 1), (14, 3), (18, 1), (18, 2)}
+    want = {(10, 1), (12, 1), (14, 3), (18, 1), (18, 2), (None, 1)}
     for block in (10**6, 150):
         out = leaked_items(d, i, prompts=(prompt,), block_chars=block)
         rows = out.collect()
         assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
         r = next(r for r in rows if r.doc_id == 10)
         assert docs[10][r.doc_start : r.doc_end].strip() == items[1].strip() and r.covered == r.item_chars
-    assert {r.doc_id for r in without_leaks(d, out).collect()} == {11, 13, 15, 16, 17}
+    assert {r.doc_id for r in without_leaks(d, out).collect()} == {11, 13, 15, 16, 17, None}
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
 
 
