@@ -12,11 +12,8 @@ SHORT, LONG = 8, 16
 SHARD_CHARS = 1_000_000
 #: Letters changed between two stretches are a light alteration up to so many.
 SLACK = 12
-#: Turns of phrase are stretches that so many items of a block have; a case needs so much of an item in one stretch or of its
-#: letters outside such turns.
-MANY, QUARTER = 4, 0.25
-#: A shard whose suffixes and documents meet in more pairs is searched in halves, of its documents first and then of the
-#: items; one document and one item are looked at in blocks of so many places.
+#: A shard whose suffixes and documents meet in more pairs is searched in halves of its documents; one document meets a suffix
+#: once, and its places are looked at in blocks of so many.
 MAX_PAIRS = 4_000_000
 MATCHES = "doc_id long, item_id long, covered long, item_chars long, longest long, doc_start long, doc_end long"
 
@@ -130,11 +127,11 @@ class SuffixArray:
             open_ = open_[low[open_] < high[open_]]
         return low
 
-    def search(self, code: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, list[np.ndarray]]:
+    def search(self, code: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Every suffix of ``code`` sought by binary search, to each depth in turn as long as the shard has it.
 
         Gives for each depth (low, high), where the suffixes with the same letters up to it lie in the order (low = high: none);
-        where each suffix would stand in the order; and its values, odd from the first depth that the shard does not have.
+        where each suffix would stand in the order; and for each depth which suffixes the shard has, with their values.
         """
         key, bounds, values = _key4(code), {}, []
         live = np.arange(len(code))
@@ -151,37 +148,41 @@ class SuffixArray:
             a, b = low[live], high[live]
             bounds[depth] = (low, high)
             value[live] = np.where(a < b, 2 * a + 2, 2 * a + 1)
-            values.append(value)
             live = live[a < b]
+            values.append((live, value[live]))
         return bounds, low, values
 
-    def common(self, theirs: np.ndarray, values: list[np.ndarray], q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def common(self, theirs: np.ndarray, values: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, p: np.ndarray) -> np.ndarray:
         """How many letters the suffixes q of ``theirs`` and p of the shard have in common."""
         n = np.zeros(len(q), np.int64)
 
-        def advance(mine: np.ndarray, own: np.ndarray, step: int, rest: np.ndarray) -> np.ndarray:
-            a, b = q[rest] + n[rest], p[rest] + n[rest]
-            ok = (a < len(mine)) & (b < len(own))
-            same = rest[ok][mine[a[ok]] == own[b[ok]]]
-            n[same] += step
+        def advance(k: int, rest: np.ndarray) -> np.ndarray:
+            (live, value), a, b = values[k], q[rest] + n[rest], p[rest] + n[rest]
+            if not len(live):
+                return rest[:0]
+            at = np.minimum(np.searchsorted(live, a), len(live) - 1)
+            same = rest[(live[at] == a) & (value[at] == _on(self.values[k], b, 0))]
+            n[same] += self.depths[k]
             return same
 
-        rest = np.arange(len(q))
+        rest = every = np.arange(len(q))
         while len(rest):
-            rest = advance(values[-1], self.values[-1], self.depths[-1], rest)
-        every = np.arange(len(q))
+            rest = advance(-1, rest)
         for k in range(len(self.depths) - 2, -1, -1):
-            advance(values[k], self.values[k], self.depths[k], every)
+            advance(k, every)
         rest = every
         for _ in range(3):
-            rest = advance(theirs, self.code, 1, rest)
+            a, b = q[rest] + n[rest], p[rest] + n[rest]
+            ok = (a < len(theirs)) & (b < len(self.code))
+            rest = rest[ok][theirs[a[ok]] == self.code[b[ok]]]
+            n[rest] += 1
         return n
 
 
 class Items:
     """Held-out texts without their stock prompts, as letters."""
 
-    def __init__(self, ids: list[int], texts: list[str], common: np.ndarray | None = None):
+    def __init__(self, ids: list[int], texts: list[str]):
         self.texts = texts
         self.ids = np.array(ids, np.int64)
         self.code, self.number, _ = letters(texts)
@@ -192,29 +193,6 @@ class Items:
         last = np.flatnonzero(self.code == 0)
         self.left = last[self.number] - np.arange(len(self.code))
         self.start = np.concatenate(([0], last[:-1] + 1)) if len(last) else np.zeros(0, np.int64)
-        self.common = self._common() if common is None else common
-
-    def _common(self) -> np.ndarray:
-        """Which letters lie in a stretch of half the depth that MANY items have."""
-        common, key = np.zeros(len(self.code), bool), _key4(self.code)
-        for run in (SHORT // 2, LONG // 2):
-            q = np.flatnonzero((self.depth[self.number] == run * 2) & (self.left >= run))
-            if not len(q):
-                continue
-            a, b, item = key[q], key[q + run - 4], self.number[q]
-            order = np.lexsort((item, b, a))
-            a, b, item = a[order], b[order], item[order]
-            fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            other = fresh | np.concatenate(([True], item[1:] != item[:-1]))
-            group = np.cumsum(fresh) - 1
-            hits = q[order][np.bincount(group, other)[group] >= MANY]
-            for k in range(run):
-                common[hits + k] = True
-        return common
-
-    def halves(self) -> tuple["Items", "Items"]:
-        k, ids = len(self.ids) // 2, self.ids.tolist()
-        return Items(ids[:k], self.texts[:k], self.common[: self.start[k]]), Items(ids[k:], self.texts[k:], self.common[self.start[k] :])
 
 
 def _covered(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,30 +215,60 @@ def _runs(q: np.ndarray, p: np.ndarray, length: np.ndarray) -> tuple[np.ndarray,
     return q[head], p[head], q[tail] + length[tail] - q[head]
 
 
-def held(size: int, run: int, q: np.ndarray, p: np.ndarray, length: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Which of an item's letters a document holds, given all maximal common stretches of at least ``run`` letters.
+def _supported(run: int, p: np.ndarray, diagonal: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the stretches about each one, on like diagonals and not far in the document, have 2 * run letters together: a copy
+    keeps its order between alterations, and a short stretch alone is chance."""
+    x, y = diagonal // SLACK, p // (8 * run)
+    wide = np.int64(y.max() + 3)
+    cells, which = np.unique((x - x.min() + 1) * wide + y + 1, return_inverse=True)
+    total = np.bincount(which, length)
+    near = np.zeros(len(cells))
+    for step in (i * wide + j for i in (-1, 0, 1) for j in (-1, 0, 1)):
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        near += np.where(cells[at] == cells + step, total[at], 0)
+    return near[which] >= 2 * run
+
 
-    q, p, length: where a stretch begins in item and document. A passage of the document is where stretches lie at most
-    4 * run letters apart; it counts if its stretches cover 2 * run letters of the item, so one long stretch is a passage,
-    and so are several short ones between alterations, while a short one alone is chance. Letters of the item between two
-    neighbouring stretches of one passage were changed and count as held if both texts have at most SLACK there, and if half a
-    run on either side is ``own`` to the item rather than a turn of phrase.
+def passages(run: int, q: np.ndarray, p: np.ndarray, length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The stretches (q, p, length) of an item and a document by passage, given all maximal ones of at least ``run`` letters.
+
+    q, p, length: where a stretch begins in item and document. One of 2 * run letters counts by itself, a shorter one among
+    others in the same order. A passage of the document is where such stretches lie at most 4 * run letters apart.
     """
+    long = _supported(run, p, p - q, length)
+    q, p, length = q[long], p[long], length[long]
+    if not len(p):
+        return []
     order = np.argsort(p, kind="stable")
     q, p, length = q[order], p[order], length[order]
     reach = np.maximum.accumulate(p + length)
     head = np.flatnonzero(np.concatenate(([True], p[1:] > reach[:-1] + 4 * run)))
-    out, ownsum = np.zeros(size, bool), np.concatenate(([0], np.cumsum(own)))
-    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(p)]):
-        a, b = q[lo:hi], q[lo:hi] + length[lo:hi]
-        here = _covered(size, a, b)
-        if here.sum() < 2 * run:
-            continue
-        x, y = np.arange(lo, hi - 1), np.arange(lo + 1, hi)
-        gap, there = q[y] - (q[x] + length[x]), p[y] - (p[x] + length[x])
+    return [(q[lo:hi], p[lo:hi], length[lo:hi]) for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(p)])]
+
+
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, length) of the disjoint stretches that [a, b) make up."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    head = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+    return a[head], b[np.append(head[1:], len(a)) - 1] - a[head]
+
+
+def _inside(union: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> int:
+    """How many letters of disjoint stretches lie in [lo, hi)."""
+    a, n = union
+    return int(np.maximum(np.minimum(a + n, hi) - np.maximum(a, lo), 0).sum())
+
+
+def held(size: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which of an item's letters a document holds in some passages: those in their stretches, and those changed between two
+    neighbouring stretches where both texts have at most SLACK letters, or the document SLACK more."""
+    out = np.zeros(size, bool)
+    for q, p, length in parts:
+        end, after = (q + length)[:-1], (p + length)[:-1]
+        gap, there = q[1:] - end, p[1:] - after
         near = (gap > 0) & (gap <= SLACK) & (there >= 0) & (there <= gap + SLACK)
-        near &= (ownsum[q[x] + length[x]] - ownsum[q[x]] >= run // 2) & (ownsum[q[y] + length[y]] - ownsum[q[y]] >= run // 2)
-        out |= here | _covered(size, (q[x] + length[x])[near], q[y][near])
+        out |= _covered(size, np.append(q, end[near]), np.append(q + length, q[1:][near]))
     return out
 
 
@@ -279,7 +287,7 @@ class _Shard:
 
     def meetings(self) -> tuple[np.ndarray, np.ndarray] | None:
         """(suffix, document) for every suffix of an item of which a document has as many letters as a short stretch; None where
-        there are too many."""
+        there are too many and the documents can be parted."""
         found, total = [], 0
         for run in (SHORT // 2, LONG // 2):
             if run not in self.bounds:
@@ -297,7 +305,7 @@ class _Shard:
             first = np.searchsorted(group, np.arange(len(begins) + 1))
             count = (first[1:] - first[:-1])[which]
             total += count.sum()
-            if total > MAX_PAIRS and (len(self.items.ids) > 1 or self.number[-1] > 0):
+            if total > MAX_PAIRS and self.number[-1] > 0:
                 return None
             found.append((np.repeat(q, count), docs[_ranges(first[which], count)]))
         none = np.zeros(0, np.int64)
@@ -337,12 +345,9 @@ def leaks(items: Items, docs: np.ndarray, texts: list[str], share: float) -> lis
         return []
     shard = _Shard(items, texts)
     met = shard.meetings()
-    if met is None and len(texts) > 1:
+    if met is None:
         k = len(texts) // 2
         return leaks(items, docs[:k], texts[:k], share) + leaks(items, docs[k:], texts[k:], share)
-    if met is None:
-        one, other = items.halves()
-        return leaks(one, docs, texts, share) + leaks(other, docs, texts, share)
     q, doc = met
     group = doc * len(items.ids) + items.number[q]
     order = np.lexsort((q, group))
@@ -362,22 +367,29 @@ def leaks(items: Items, docs: np.ndarray, texts: list[str], share: float) -> lis
     possible = np.flatnonzero(most >= share * items.size[item])
     take = _ranges(head[possible], (tail - head)[possible])
     long, where = shard.longest(q[take], doc[take])
-    out, at = [], 0
+    found: dict[int, list] = {}
+    at = 0
     for h in possible.tolist():
-        mine = slice(head[h], tail[h])
-        n, p = long[at : at + tail[h] - head[h]], where[at : at + tail[h] - head[h]]
+        mine, k = slice(head[h], tail[h]), int(np.argmax(long[at : at + tail[h] - head[h]]))
+        n, place = int(long[at + k]), int(where[at + k])
         at += tail[h] - head[h]
-        i, first, size = item[h], items.start[item[h]], items.size[item[h]]
-        own = ~items.common[first : first + size]
-        begin = q[mine] - first
-        hit = _covered(size, begin[n >= 2 * run[h]], (begin + n)[n >= 2 * run[h]])
-        if hit.sum() < size:
-            a, b, c = shard.stretches(q[mine], int(doc[head[h]]), int(run[h]))
-            hit = hit | held(size, int(run[h]), a - first, b, c, own)
-        covered, best = int(hit.sum()), int(np.argmax(n))
-        if covered >= share * size and (n[best] >= QUARTER * size or (hit & own).sum() >= QUARTER * own.sum()):
-            last = p[best] + n[best] - 1
-            out.append((int(docs[doc[head[h]]]), int(items.ids[i]), covered, int(size), int(n[best]), int(shard.place[p[best]]), int(shard.place[last]) + 1))
+        a, b, c = shard.stretches(q[mine], int(doc[head[h]]), int(run[h]))
+        parts = passages(int(run[h]), a - items.start[item[h]], b, c)
+        if parts:
+            found.setdefault(int(doc[head[h]]), []).append((int(item[h]), n, place, parts, _union(*(np.concatenate(x) for x in zip(*((p, p + m) for _, p, m in parts))))))
+    out = []
+    for d, pairs in found.items():
+        for i, n, place, parts, mine in pairs:
+            others = [theirs for j, *_, theirs in pairs if j != i]
+            kept = []
+            for part in parts:
+                lo, hi = int(part[1].min()), int((part[1] + part[2]).max())
+                if all(_inside(theirs, lo, hi) <= _inside(mine, lo, hi) for theirs in others):
+                    kept.append(part)
+            size = int(items.size[i])
+            covered = int(held(size, kept).sum())
+            if covered >= share * size:
+                out.append((int(docs[d]), int(items.ids[i]), covered, size, n, int(shard.place[place]), int(shard.place[place + n - 1]) + 1))
     return out
 
 
@@ -403,24 +415,25 @@ def _search_batches(shared, share: float):
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.5, block_chars: int = 2_000_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, *, prompts: tuple[str, ...] = (), share: float = 0.5, block_chars: int = 4_000_000) -> DataFrame:
     """One row per document and held-out item of which the document holds at least ``share``, in one or several stretches.
 
     documents(doc_id long, text); items(item_id long, text). Columns: doc_id, item_id, covered and item_chars (letters of
     the item held and in all), longest (letters of the longest verbatim match) and where that match lies in the document
     (doc_start, doc_end, code points). Texts are compared as letters and digits, with cases, marks and compatibility forms
-    folded, an item without the stock prompt it begins with. What counts as held is told at ``held``: stretches from SHORT
-    letters (LONG in scripts with word spaces), shorter ones among others, and what was changed between them, so a lightly altered
-    copy keeps its cover. A quarter of the item must be held in one stretch or of its letters outside turns of phrase
-    (stretches that MANY items of a block have), so shared phrases alone are no case. Null and empty texts match nothing,
-    items without letters neither. Repeated rows of a document give repeated rows, one without an id a row without it.
+    folded, an item without the stock prompt it begins with. What counts as held is told at ``passages`` and ``held``: stretches
+    from SHORT letters (LONG in scripts with word spaces), ones half as long near others, and what was changed between them, so a
+    lightly altered copy keeps its cover. A passage of which another item covers more is that item's copy, in which the two
+    share turns of phrase, and does not count. Null and empty texts match nothing, items without letters neither. Repeated
+    rows of a document give repeated rows, one without an id a row without it.
 
     Each batch of documents is cut, between documents, into shards of about SHARD_CHARS characters. A suffix array of the
     shard orders all its suffixes; every suffix of every item is sought in it by binary search, which gives the documents
     that share a short stretch with it, and for each the longest verbatim match and its place. Pairs whose stretches could not
     make up ``share`` go; the others are looked at in full. A document lies in one shard, so nothing is shuffled. Items go to
     the tasks in blocks of at most ``block_chars`` characters, so what is broadcast is bounded whatever their number; each
-    block is one more pass. Memory is bounded for repetitive texts too: a pair is one document and one suffix, not one place.
+    block is one more pass, and items of different blocks do not contest passages. Memory is bounded for repetitive texts too: a
+    pair is one document and one suffix, not one place.
     """
     sized = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0

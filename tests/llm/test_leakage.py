@@ -52,12 +52,12 @@ def test_longest_match_of_each_document():
 
 
 def test_repetitive_text_stays_small():
-    items = Items([1, 2], ["a" * 3000, "ab" * 1500])
+    items = Items([1, 2], ["a" * 1500, "ab" * 750])
     tracemalloc.start()
-    found = leaks(items, np.arange(2), ["a" * 200_000, "ba" * 50_000], 0.5)
+    found = leaks(items, np.arange(2), ["a" * 60_000, "ba" * 20_000], 0.5)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert {(d, i, c) for d, i, c, *_ in found} == {(0, 1, 3000), (1, 2, 3000)} and most < 500 << 20
+    assert {(d, i, c) for d, i, c, *_ in found} == {(0, 1, 1500), (1, 2, 1500)} and most < 500 << 20
 
 
 def test_letters_ignore_format():
@@ -113,16 +113,45 @@ def test_half_of_an_item_is_a_case_and_shared_phrases_are_not():
     word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     own = lambda n: " ".join(word() for _ in range(n))
     phrases = ["where the gate book names many wooden", "around the old fair bailiffs sealed", "who must open the books on these"]
-    texts = [own(4) + " ".join(f" {p} {own(4)}" for p in phrases) for _ in range(8)]
+    texts = [own(2) + " ".join(f" {p} {own(3)}" for p in phrases) for _ in range(8)]
     items = Items(list(range(8)), texts)
     flat = lambda t: t.replace(" ", "")
-    half = flat(texts[0])[: int(len(flat(texts[0])) * 0.515)]
+    half, less = (flat(texts[0])[: int(len(flat(texts[0])) * x)] for x in (0.51, 0.48))
     # Every 24th letter of 53 % is changed, so equal letters cover less than a half.
     part = list(flat(texts[1])[: int(len(flat(texts[1])) * 0.53)])
     for k in range(20, len(part), 24):
         part[k] = "9"
-    template = own(5) + " ".join(f" {p} {own(5)}" for p in phrases)
-    share = sum(len(flat(p)) for p in phrases) / len(flat(texts[2]))
-    docs = [own(30) + half + own(30), own(30) + "".join(part) + own(30), own(30) + template + own(30)]
-    assert {(d, i) for d, i, *_ in leaks(items, np.arange(3), docs, 0.5)} == {(0, 0), (1, 1)}
-    assert leaks(items, np.arange(3), docs[2:], share - 0.01) == []
+    # All items share more than half of their letters with the copy of any.
+    docs = [own(30) + half + own(30), own(30) + "".join(part) + own(30), own(30) + texts[2] + own(30), own(30) + less + own(30)]
+    docs.append(own(9) + texts[3] + own(9) + texts[4] + own(9))
+    assert {(d, i) for d, i, *_ in leaks(items, np.arange(5), docs, 0.5)} == {(0, 0), (1, 1), (2, 2), (4, 3), (4, 4)}
+    # Items that ask about one passage all leak with it.
+    asked = Items([1, 2], [texts[0] + own(4), texts[0] + own(4)])
+    assert {i for _, i, *_ in leaks(asked, np.arange(1), [own(9) + texts[0] + own(9)], 0.5)} == {1, 2}
+
+
+HAN = [chr(c) for c in range(0x4E00, 0x5000)]
+
+
+@pytest.mark.parametrize("every", [7, 9, 14])
+def test_altered_copies(every):
+    rnd = random.Random(every)
+    zh = ["".join(rnd.choice(HAN) for _ in range(120)) for _ in range(20)]
+    words_of = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 10))) for _ in range(500)]
+    text_of = lambda n: " ".join(rnd.choice(words_of) for _ in range(n))
+    en = [text_of(60) for _ in range(20)]
+    items = Items(list(range(40)), zh + en)
+    docs = []
+    for text in zh:
+        t = list(text)
+        for k in range(rnd.randrange(every), len(t), every):
+            t[k] = rnd.choice(HAN)
+        docs.append("".join(rnd.choice(HAN) for _ in range(200)) + "".join(t) + "".join(rnd.choice(HAN) for _ in range(200)))
+    for text in en:
+        words = text.split()
+        for k in range(0, len(words), 2 if every < 14 else 4):
+            at = rnd.randrange(len(words[k]))
+            words[k] = words[k][:at] + rnd.choice("abcdefgh") + words[k][at + 1 :]
+        docs.append(text_of(300) + " " + " ".join(words) + " " + text_of(300))
+    found = {(d, i) for d, i, *_ in leaks(items, np.arange(40), docs, 0.5)}
+    assert found == {(i, i) for i in range(40)}
