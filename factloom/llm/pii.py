@@ -18,10 +18,14 @@ SURNAMES = (
 )
 #: Common family names that are mostly ordinary words, the last three function words: a name only in a context, see ``_ordinary``.
 ORDINARY = "周马高林许金石夏方白江万付于向"
-DOUBLE_SURNAMES = "司徒 慕容 上官 欧阳 诸葛 夏侯 司马 东方 皇甫 尉迟 公孙 轩辕 令狐 宇文 长孙 鲜于 闾丘 端木 南宫 独孤 百里 呼延".split()
+DOUBLE_SURNAMES = "司徒 慕容 上官 欧阳 诸葛 夏侯 司马 东方 皇甫 尉迟 公孙 轩辕 令狐 宇文 长孙 鲜于 闾丘 端木 南宫 独孤 百里 呼延 田中 佐藤 鈴木 铃木 高橋 高桥 渡辺 渡边 伊藤 山本 中村 小林 加藤 吉田 山田 松本 井上 木村 清水".split()
 #: What may stand directly before a Chinese name, and directly after one.
-NAME_BEFORE = "人者长是由找到名给了与和据有叫向请问被把同跟及工员"
-NAME_AFTER = "说 均 当天 当晚 替班 拿 名下 现住 与 和 及 把 等 并非 代为 代签 回忆 早班 晚班 同微信 是 在 的 于 向 对 称 表示 没有 认为 已 未 不 给 被 将 要 从 曾 也 还 都 先生 女士 签收 签字 到场 转 就 让 去 来".split()
+NAME_BEFORE = "人者长是由找到名给了与和据有叫向请问被把同跟及工员师生任理授友事夫妻子父母兄弟姐妹"
+NAME_AFTER = (
+    "说 均 当天 当晚 替班 拿 名下 现住 与 和 及 把 等 并非 代为 代签 回忆 早班 晚班 同微信 是 在 的 于 向 对 称 表示 没有 认为 已 未 不 给 被 将 要 从 曾 也 还 都 先生 女士 签收 签字 到场 转 就 让 去 来 "
+    "昨天 昨日 今天 今日 明天 前天 上周 本周 上月 去年 今年 目前 曾经 已经 随后 当时 因 又 报道 介绍 指出 担任 出任 接受 离开 辞职 入职 离职 来到 负责 签名 签署 提交 提出 提供 收到 承认 否认 要求 申请 请假 出庭 作证 陈述 "
+    "告诉 写道 补充 解释 同意 拒绝 教授 律师 医生 经理 主任 老师 同志 师傅 小姐 太太 さん"
+).split()
 #: Words that look like a family name and a given name.
 NOT_NAMES = set("时间 金额 张贴 王记 陈述 陈列 应当 应补 余款 余额 程序 任何 任务 任意 范围 范本 管理 管道 毛病 钱款 钱数 田地 何时 何人 何地 曾经 曾任 许可 叶子 雷同 龙头 严重 严格 莫名 孔洞 史料 武器 单位 封面 封存 储存 段落 车间 车贴 山路 谷袋 牧场 井口 松开 富余 曲线 项目 项下 季度 盛放 管辖 应付 宣读 宣布 荣誉 纪要 纪律 祝贺 舒适 屈服 麻绳 蓝色 梅雨 钟表 凌晨 柳树 鲁莽 费用 顾客 顾问 戴帽 汤料 唐突 姚黄 卢布 丁方 程度 叶片 徐行 胡说 朱红 郭外 罗列 罗盘 梁柱 宋体 谢谢 韩语 邓某 曹某 肖像 董事 潘某 袁某 蒋某 杜绝 魏碑 苏打 贾某 傅某 邹某 秦某 侯选".split())
 #: Words that begin with one of ORDINARY.
@@ -46,7 +50,10 @@ FIRM_WORDS = set(
 NOT_FIRST = set(
     "The A An In On At As Per By For From To With Within Under Over After Before Because Since Until While When Where Why Who Whose What Which How Was Were Is Are Be Been Do Does Did Has Have Had See Of Or And But Nor So Yet If Then Than That This These Those It Its He She They We You I Not No Nobody Somebody Anyone "
     "Counsel Employer Worker Applicant Respondent Supervisor Dispatcher Clerk Manager Mediator Witness Payroll Human Resources Tribunal Court Hearing Home Address Letters Please Parcel Call Reach Texts Registered Passport Order Batch Ticket Grace Period Row Total Roster Reply Fwd Re Cc Subject Date Message "
-    "Mr Mrs Ms Miss Dr Prof Sir St Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Counsel Night Second Note Page Badge Bundle Difference Art Sec Fig Ex No Flat Unit Box Signed Overtime Timeline Background Summary Dear Hello Besides Around Rumour Long Once Let Say Short Suppose Consider Could Would Should Put List Work Read".split()
+    "Mr Mrs Ms Miss Dr Prof Sir St Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Counsel Night Second Note Page Badge Bundle Difference Art Sec Fig Ex No Flat Unit Box Signed Overtime Timeline Background Summary Dear Hello Besides Around Rumour Long Once Let Say Short Suppose Consider Could Would Should Put List Work Read "
+    "Yesterday Today Tomorrow Tonight Later Earlier Meanwhile However Finally Also Both Each Every Some Many Most All Our Your My His Her Their "
+    "President Senator Governor Minister King Queen Prince Princess Judge Justice Captain Colonel General Professor Doctor Mayor Chancellor Director Chairman Officer Sergeant Inspector Sister Brother Father Mother Uncle Aunt Lord Lady "
+    "New North South East West Northern Southern Eastern Western Central United Great Upper Lower Old San Santa Los Las Hong Saint Port Fort Lake Mount Machine Deep Data Open Social National International Royal Federal Public Civil".split()
 )
 #: Labels of contracts, orders and batches as whole words; a bare 'no' or '编号', or that of a passport, identity card or phone, is none.
 NUMBER_LABEL = re.compile(
@@ -72,13 +79,19 @@ PHONE = re.compile(
     rf"|(?:\(?(?:\+|00) ?86\)?[- ]?)?\(?0?\d{{2,3}}\)?[- ]?(?<=[- )0-9])\d{{7,8}}(?!\d){_EXT}"
     rf"|(?:\(?(?:\+|00) ?44\)?[- ]?(?:\(0\) ?)?|\(?0)\d{{4}}\)?[- ]?\d{{3}}[- ]?\d{{3}}(?!\d){_EXT}"
     rf"|(?:\(?\+?1\)?[-. ]?)?(?:\(\d{{3}}\) ?|\d{{3}}[-. ])\d{{3}}[-. ]\d{{4}}(?!\d){_EXT}"
-    rf"|\+\d{{1,3}}[- ]\d{{2,4}}(?:[- ]\d{{2,4}}){{1,3}}(?!\d)"
+    rf"|\(?0\d{{2}}\)? \d{{4}} \d{{4}}(?!\d){_EXT}"
+    rf"|0\d(?:[ .]\d{{2}}){{4}}(?![\d.])"
+    rf"|\+\d{{1,3}}[-. ]?(?:\(0\)[- ]?)?\(?\d{{1,5}}\)?(?:[-. /]\d{{2,8}}){{1,4}}(?!\d)"
     r")"
 )
 SPELT_PHONE = re.compile(rf"(?<![{CN_DIGITS}])[一][{CN_DIGITS}]{{10}}(?![{CN_DIGITS}])")
+#: Cities whose names have more than two characters; a name's left end is unknown else. Behind a city or district it is known.
+LONG_CITIES = "石家庄|秦皇岛|张家口|呼和浩特|鄂尔多斯|呼伦贝尔|巴彦淖尔|乌兰察布|葫芦岛|哈尔滨|齐齐哈尔|双鸭山|佳木斯|七台河|牡丹江|连云港|张家港|马鞍山|景德镇|三门峡|平顶山|驻马店|张家界|防城港|攀枝花|六盘水|嘉峪关|石嘴山|乌鲁木齐|克拉玛依|日喀则|西双版纳"
+_STREET = "(?:大道|大街|路|街|巷|胡同|弄)"
 ADDRESS_ZH = re.compile(
-    rf"(?:(?:内蒙古|黑龙江|[{HAN}]{{2}})(?:省|自治区))?(?:[{HAN}]{{2}}市)?(?:[{HAN}]{{2}}(?:区|县|镇|乡))?[{HAN}]{{2}}(?:路|街|巷|大道|胡同|弄)\d+号"
-    rf"(?:[{HAN}]{{1,4}}(?:花园|小区|公寓|大厦|苑)(?:\d+(?:-\d+){{0,2}})?)?(?:\d+(?:栋|幢|号楼|座))?(?:\d+单元)?(?:\d+(?:室|房|层))?"
+    rf"(?:(?:内蒙古|黑龙江|[{HAN}]{{2}})(?:省|自治区))?"
+    rf"(?:(?:(?:{LONG_CITIES}|[{HAN}]{{2}})市(?:[{HAN}]{{2,4}}?(?:新区|区|县|镇|乡))?|[{HAN}]{{2}}(?:区|县|镇|乡))[{HAN}]{{2,6}}?{_STREET}|[{HAN}]{{2}}[东西南北中]?{_STREET})\d+号"
+    rf"(?:[{HAN}]{{1,4}}(?:花园|小区|公寓|大厦|苑)(?:\d+(?:-\d+){{0,2}}(?![\d栋幢号座单]))?)?(?:\d+(?:栋|幢|号楼|座))?(?:\d+单元)?(?:\d+(?:室|房|层))?"
 )
 ADDRESS_EN = re.compile(
     rf"(?<![\w.-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite) \d+[A-Za-z]?, )?\d+[A-Za-z]? (?:[A-Z][a-z]+ ){{1,3}}(?:{STREETS})(?!\w)(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?(?: \d{{5}}(?!\d)| [A-Z]{{1,2}}\d[\dA-Z]? ?\d[A-Z]{{2}})?)?"
@@ -87,7 +100,9 @@ ADDRESS_EN = re.compile(
 )
 _SUR = f"(?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}{ORDINARY}])"
 NAME_ZH = re.compile(rf"(?:(?<![{HAN}0-9])|(?<=[{NAME_BEFORE}]))({_SUR})( ?)([{HAN}]{{1,2}}?)(?=$|[^{HAN}]|{'|'.join(NAME_AFTER)})")
-_W = r"(?:O'|Mc|Mac|D')?[A-Z][a-z]+(?:-[A-Z][a-z]+)?"
+#: A capitalised word, with the letters of the western European alphabets.
+_UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+_W = rf"(?:O'|Mc|Mac|D')?[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
 NAME_EN = re.compile(rf"(?<![\w'.@-])(?:(?P<gs>{_W} (?:[A-Z]\. ?)?{_W})|(?P<sg>{_W}, {_W}(?: [A-Z]\.)?)|(?P<is>(?:[A-Z]\. ?){{1,3}}{_W}))(?![\w@]|'[a-rt-z]|-\w|\.\w)", re.A)
 NAME_CAPS = re.compile(r"(?<![\w'.@-])(?:O')?[A-Z]{2,}(?:-[A-Z]+)? (?:[A-Z]\. )?(?:O')?[A-Z]{3,}(?:-[A-Z]{2,})?(?![\w@'-])", re.A)
 
@@ -113,6 +128,17 @@ def resident_number(value: str) -> bool:
     return len(v) == 15 and _date("19" + v[6:12]) is not None
 
 
+def national_insurance(value: str) -> bool:
+    """Whether the two letters may be used; QQ, which is kept for examples, counts."""
+    a, b = value[:2].upper()
+    return a + b == "QQ" or not (a in "DFIQUV" or b in "DFIOQUV" or a + b in ("BG", "GB", "NK", "KN", "TN", "NT", "ZZ"))
+
+
+def social_security(value: str) -> bool:
+    """Whether no part is all zeros; areas that are not given out, which examples use, count."""
+    return all(int(x) for x in re.split("[- ]", value))
+
+
 class Found(list):
     """Mentions (start, end, type) in order that do not overlap; the first detector to claim a stretch keeps it."""
 
@@ -124,7 +150,7 @@ class Found(list):
 
 def _english_name(m: re.Match, text: str) -> tuple[int, int] | None:
     start, end = m.span()
-    words = re.findall(r"[A-Z][\w'-]*", m.group())
+    words = re.findall(rf"[{_UP}][\w'-]*", m.group())
     if m.lastgroup != "gs":
         words = [w for w in words if len(w) > 1]
     if any(w in FIRM_WORDS for w in words) or words[0] in NOT_FIRST and not (words[0] == "Grace" and m.lastgroup == "gs"):
@@ -171,9 +197,9 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(plain):
                 if resident_number(m.group()) and not labelled(m.start()):
                     found.add(*m.span(), "IDENTITY")
-        for pattern in (NATIONAL_INSURANCE, SOCIAL_SECURITY, PASSPORT):
+        for pattern, valid in ((NATIONAL_INSURANCE, national_insurance), (SOCIAL_SECURITY, social_security), (PASSPORT, bool)):
             for m in pattern.finditer(plain):
-                if not labelled(m.start()):
+                if valid(m.group()) and not labelled(m.start()):
                     found.add(*m.span(), "IDENTITY")
         for m in PHONE.finditer(plain):
             if not labelled(m.start()):
@@ -230,24 +256,99 @@ def permute(key: bytes, tag: str, value: int, size: int, rounds: int = 8) -> int
             return value
 
 
-EPOCH, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
-
-
-def _permuted_digits(key: bytes, tag: str, digits: str) -> str:
-    return str(permute(key, f"{tag}{len(digits)}", int(digits), 10 ** len(digits))).zfill(len(digits)) if digits else ""
+_YEAR = lambda y: dt.date(y, 1, 1).toordinal()
+#: Birth dates by range: each is permuted within its own, so a pseudonym is as plausible as the number was.
+RANGES = ((_YEAR(1900), _YEAR(2000)), (_YEAR(2000), _YEAR(2100)), (_YEAR(1), _YEAR(1900)), (_YEAR(2100), dt.date.max.toordinal() + 1))
+_PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if national_insurance(a + b)]
+_EXTENSION = re.compile(r"(?: ?转 ?| ?,? ?(?:ext\.?|extension|x|分机) ?|(?<=\d{7})-)(\d{1,5})$", re.I)
+
+
+def _mixed(key: bytes, tag: str, parts: list[tuple[int, int]]) -> list[int]:
+    """(value, size) of several parts permuted together as one number, so that no part alone shows what it was."""
+    value = size = 0
+    for v, n in parts:
+        value, size = value * n + v, max(size, 1) * n
+    value, out = permute(key, f"{tag}|{size}", value, size), []
+    for _, n in reversed(parts):
+        value, rest = divmod(value, n)
+        out.append(rest)
+    return out[::-1]
+
+
+def _refill(text: str, fresh: str) -> str:
+    """The letters and digits of a text replaced in turn; whatever else stands there stays."""
+    new = iter(fresh)
+    return "".join(next(new) if c.isalnum() else c for c in text)
+
+
+def _new_resident(core: str, key: bytes) -> str:
+    day = _date(core[6:14] if len(core) == 18 else "19" + core[6:12]).toordinal()
+    lo, hi = next(r for r in RANGES if r[0] <= day < r[1])
+    region, when, serial = _mixed(key, f"resident|{lo}", [(int(core[:6]), 10**6), (day - lo, hi - lo), (int(core[-4:-1] if len(core) == 18 else core[-3:]), 1000)])
+    birth = dt.date.fromordinal(lo + when)
+    if len(core) == 15:
+        return f"{region:06d}{birth:%y%m%d}{serial:03d}"
+    new = f"{region:06d}{birth.year:04d}{birth:%m%d}{serial:03d}"
+    return new + check_char(new)
+
+
+def _new_identity(core: str, key: bytes) -> str:
+    """Another number of the same kind, valid like the given one."""
+    if len(core) in (15, 18) and core[:-1].isdigit():
+        return _new_resident(core, key)
+    if core.isdigit():
+        a, b, c = _mixed(key, "security", [(int(core[:3]) - 1, 999), (int(core[3:5]) - 1, 99), (int(core[5:]) - 1, 9999)])
+        return f"{a + 1:03d}{b + 1:02d}{c + 1:04d}"
+    if len(core) == 9 and core[-1] in "ABCD" and core[:2] in _PAIRS:
+        a, b, c = _mixed(key, "insurance", [(_PAIRS.index(core[:2]), len(_PAIRS)), (int(core[2:8]), 10**6), ("ABCD".index(core[-1]), 4)])
+        return f"{_PAIRS[a]}{b:06d}{'ABCD'[c]}"
+    letters = re.match("[A-Z]*", core).group()
+    parts = _mixed(key, "passport", [(ord(x) - 65, 26) for x in letters] + [(int(core[len(letters) :]), 10 ** (len(core) - len(letters)))])
+    return "".join(chr(65 + x) for x in parts[:-1]) + str(parts[-1]).zfill(len(core) - len(letters))
+
+
+def _country(main: str) -> tuple[str, int]:
+    """(country, number of digits before the national number) of a phone number without its extension."""
+    d = re.sub(r"\D", "", main)
+    abroad = re.match(r"\(?(?:\+|00)", main)
+    if abroad:
+        code = d[2:] if main.lstrip("(").startswith("00") else d
+        found = next((c for c in ("86", "44", "1") if code.startswith(c)), "")
+        skip = len(d) - len(code) + len(found)
+        return found or "?", skip + (found != "1" and d[skip : skip + 1] == "0")
+    if len(d) in (12, 13) and d.startswith("86"):
+        return "86", 2
+    if re.match(r"1[3-9]", d) and len(d) == 11:
+        return "86", 0
+    if re.match(r"1?[-. (]*\d{3}\)?[-. ]+\d{3}[-. ]\d{4}$", main.lstrip("(")) and len(d) in (10, 11):
+        return "1", len(d) - 10
+    if re.match(r"\(?0(?:\d{4}\)?[- ]?\d{3}[- ]?\d{3}|2\d\)? \d{4} \d{4})$", main):
+        return "44", 1
+    return ("33", 1) if re.match(r"0\d(?:[ .]\d{2}){4}$", main) else ("86", d.startswith("0"))
+
+
+def _new_phone(plain: str, key: bytes) -> str:
+    """The number in its own notation, country, trunk digit and the first three digits kept, the others permuted; an extension
+    has a permutation of its own."""
+    spelt = any(c in CN_DIGITS for c in plain)
+    if spelt:
+        plain = "".join("0" if c == "〇" else str("零一二三四五六七八九".index(c)) for c in plain)
+    tail = _EXTENSION.search(plain)
+    main = plain[: tail.start()] if tail else plain
+    country, skip = _country(main)
+    d = re.sub(r"\D", "", main)
+    keep = skip + 3
+    new = d[:keep] + str(_mixed(key, f"phone|{country}|{d[skip:keep]}", [(int(d[keep:]), 10 ** (len(d) - keep))])[0]).zfill(len(d) - keep)
+    if tail:
+        extension = tail.group(1)
+        new += str(_mixed(key, f"extension|{country}|{d[skip:]}", [(int(extension), 10 ** len(extension))])[0]).zfill(len(extension))
+    fresh = iter(new)
+    out = "".join(next(fresh) if c.isdigit() else c for c in plain)
+    return "".join("零一二三四五六七八九"[int(c)] for c in out) if spelt else out
 
 
 def _core(kind: str, plain: str) -> str:
-    """The value that all notations of a mention share."""
-    if kind == "PHONE":
-        plain = "".join(str("零一二三四五六七八九".index(c)) if c in "零一二三四五六七八九" else "0" if c == "〇" else c for c in plain)
-        main = re.sub(r"(?:转|ext\.?|extension|x|分机)\s*\d+\s*$", "", plain, flags=re.I)
-        d = re.sub(r"\D", "", main)
-        if re.match(r"\(?\+ ?1(?!\d{2})", main):
-            return d[1:]
-        return re.sub(r"^0", "", re.sub(r"^(?:0086|86(?=\d{10,11}$)|0044|44(?=\d{10}$))", "", d))
-    if kind == "IDENTITY":
-        return re.sub(r"[- ]", "", plain).upper()
+    """What all notations of an email address, name or postal address share."""
     if kind == "EMAIL":
         return re.sub(r"\s", "", re.sub(r" ?[(\[] ?dot ?[)\]] ?", ".", re.sub(r" ?[(\[] ?at ?[)\]] ?", "@", plain, flags=re.I), flags=re.I)).lower()
     if kind == "NAME" and "," in plain:
@@ -257,36 +358,19 @@ def _core(kind: str, plain: str) -> str:
 
 
 def pseudonym(kind: str, text: str, key: bytes) -> str:
-    """What stands for a mention: equal values get equal pseudonyms in whatever notation and document.
+    """What stands for a mention: equal values get equal pseudonyms, numbers each in its own notation.
 
-    Resident numbers stay valid: region, birth date and serial are each permuted within their range and the check character
-    is computed anew. Other numbers keep their letters, separators and length; digits beyond a phone's first three are
-    permuted. Names, addresses and emails have no numeric format and become a keyed tag.
+    Identity numbers become numbers of the same kind, as valid as they were: all parts of a resident number are permuted
+    together as one, the check character is computed anew, and a number of 15 digits becomes that of its 18 characters' pseudonym.
+    Phone numbers keep country, trunk digit and their first three digits. Separators, letters and lengths stay. Names, addresses
+    and emails have no numeric format and become a keyed tag of 128 bits.
     """
     plain = text.translate(WIDE)
-    core = _core(kind, plain)
-    if kind == "IDENTITY" and len(core) in (15, 18) and core[:14].isdigit():
-        birth = _date(core[6:14] if len(core) == 18 else "19" + core[6:12])
-        region = _permuted_digits(key, "region", core[:6])
-        if len(core) == 18:
-            day = dt.date.fromordinal(EPOCH + permute(key, "birth", (birth.toordinal() - EPOCH) % DAYS, DAYS)).strftime("%Y%m%d")
-            new = region + day + _permuted_digits(key, "serial", core[14:17])
-            new += check_char(new)
-        else:
-            century = dt.date(2000, 1, 1).toordinal() - EPOCH
-            new = region + dt.date.fromordinal(EPOCH + permute(key, "birth15", birth.toordinal() - EPOCH, century)).strftime("%y%m%d") + _permuted_digits(key, "serial", core[12:15])
-        fresh = iter(new)
-        return "".join(next(fresh) if c.isalnum() else c for c in plain)
-    if kind in ("IDENTITY", "PHONE"):
-        keep = 3 if kind == "PHONE" else 0
-        d = re.sub(r"\D", "", core)
-        return core[:keep] + _permuted_digits(key, kind, d[keep:]) if kind == "PHONE" else _refill(core, _permuted_digits(key, kind, d))
-    return hashlib.blake2b(f"{kind}|{core}".encode(), key=key, digest_size=5).hexdigest()
-
-
-def _refill(text: str, digits: str) -> str:
-    fresh = iter(digits)
-    return "".join(next(fresh) if c.isdigit() else c for c in text)
+    if kind == "PHONE":
+        return _new_phone(plain, key)
+    if kind == "IDENTITY":
+        return _refill(plain, _new_identity(re.sub(r"[- ]", "", plain).upper(), key))
+    return hashlib.blake2b(f"{kind}|{_core(kind, plain)}".encode(), key=key, digest_size=16).hexdigest()
 
 
 def redact(text: str, found: list[tuple[int, int, str]], key: bytes) -> str:
@@ -326,7 +410,7 @@ def _redact_batches(key: bytes):
     return run
 
 
-def personal_data(texts: DataFrame, *, key: str = "factloom") -> DataFrame:
+def personal_data(texts: DataFrame, *, key: str) -> DataFrame:
     """(source_table, record_id, pii_type, start_char, end_char, pseudonym), one row per mention.
 
     texts(source_table, record_id, text). Types: EMAIL, PHONE, NAME, ADDRESS, IDENTITY, in whatever notation, full-width
@@ -339,6 +423,6 @@ def personal_data(texts: DataFrame, *, key: str = "factloom") -> DataFrame:
     )
 
 
-def redacted(texts: DataFrame, *, key: str = "factloom") -> DataFrame:
+def redacted(texts: DataFrame, *, key: str) -> DataFrame:
     """(source_table, record_id, text) with every mention replaced by [TYPE:pseudonym]; the rest is untouched, nulls stay."""
     return texts.select("source_table", "record_id", "text").mapInArrow(_redact_batches(key.encode()), "source_table string, record_id string, text string")

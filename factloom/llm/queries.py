@@ -1,5 +1,7 @@
 """Queries p6 to p9 over the text tables, and their SQL where SQL can express them."""
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm.leakage import leaked_items, without_leaks
@@ -19,12 +21,17 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return one("anchors", "anchor_id", "text").unionByName(one("fact_candidate", "fact_candidate_id", "assertion_text"))
 
 
+def _key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: the session's factloom.pii.key, or a new one, so that nobody can turn them back."""
+    return spark.conf.get("factloom.pii.key", None) or secrets.token_hex(32)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data(_texts(spark, d)).select("source_table", "record_id", "pii_type", "start_char", "end_char").distinct()
+    return personal_data(_texts(spark, d), key=_key(spark)).select("source_table", "record_id", "pii_type", "start_char", "end_char").distinct()
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redacted(_texts(spark, d))
+    return redacted(_texts(spark, d), key=_key(spark))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:

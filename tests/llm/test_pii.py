@@ -1,7 +1,8 @@
 import random
+import re
 
 import pytest
-from factloom.llm.pii import check_char, mentions, permute, personal_data, pseudonym, redact, redacted, resident_number
+from factloom.llm.pii import check_char, mentions, national_insurance, permute, personal_data, pseudonym, redact, redacted, resident_number, social_security
 
 K = b"k"
 ID = "11010519491231002X"
@@ -53,16 +54,45 @@ def test_permutation_is_a_bijection(size):
 
 
 def test_pseudonyms_link_notations_and_stay_valid():
-    assert len({pseudonym("PHONE", x, K) for x in ("16812923787", "+86 168-1292-3787", "１６８１２９２３７８７", "一六八一二九二三七八七")}) == 1
-    assert len({pseudonym("NAME", x, K) for x in ("Celia Ashgrove", "Ashgrove, Celia", "CELIA ASHGROVE")}) == 1
+    phones = [pseudonym("PHONE", x, K) for x in ("16812923787", "+86 168-1292-3787", "１６８１２９２３７８７", "一六八一二九二三七八七", "(+86)16812923787", "008616812923787")]
+    assert phones[0].startswith("168") and phones[0] != "16812923787" and phones[1] == f"+86 168-{phones[0][3:7]}-{phones[0][7:]}"
+    assert phones[2] == phones[0] and phones[4] == f"(+86){phones[0]}" and phones[5] == f"0086{phones[0]}"
+    assert "".join(str("零一二三四五六七八九".index(c)) for c in phones[3]) == phones[0]
+    landlines = [pseudonym("PHONE", x, K) for x in ("(0755) 8321-4567", "0755-83214567", "0755 83214567转88", "+86 755 83214567")]
+    assert len({re.sub(r"\D", "", x)[-11:] if "转" not in x else re.sub(r"\D", "", x)[1:-2] for x in landlines}) == 1
+    # The same digits in two countries are two numbers.
+    assert pseudonym("PHONE", "0415-5551234", K)[-7:] != re.sub(r"\D", "", pseudonym("PHONE", "(415) 555-1234", K))[-7:]
+    assert len({pseudonym("NAME", x, K) for x in ("Celia Ashgrove", "Ashgrove, Celia", "CELIA ASHGROVE")}) == 1 and len(pseudonym("NAME", "x", K)) == 32
     assert pseudonym("EMAIL", "a (at) b (dot) test", K) == pseudonym("EMAIL", "A@B.test", K) != pseudonym("EMAIL", "a@c.test", K)
-    rnd = random.Random(2)
-    for _ in range(50):
-        base = f"{rnd.randrange(10**6):06d}{rnd.randrange(1930, 2010)}{rnd.randrange(1, 13):02d}{rnd.randrange(1, 29):02d}{rnd.randrange(1000):03d}"
+    rnd, seen = random.Random(2), set()
+    for _ in range(200):
+        base = f"{rnd.randrange(10**6):06d}{rnd.choice([1850, 1949, 1999, 2004, 2101])}{rnd.randrange(1, 13):02d}{rnd.randrange(1, 29):02d}{rnd.randrange(1000):03d}"
         value = base + check_char(base)
         spaced = f"{value[:6]}-{value[6:14]}-{value[14:]}"
         new = pseudonym("IDENTITY", value, K)
-        assert resident_number(new) and pseudonym("IDENTITY", spaced, K).replace("-", "") == new
+        seen.add(new)
+        assert resident_number(new) and pseudonym("IDENTITY", spaced, K).replace("-", "") == new and (new[6:8] == value[6:8] or value[6:8] not in ("19", "20"))
+        if value[6:8] == "19":
+            assert pseudonym("IDENTITY", value[:6] + value[8:17], K) == new[:6] + new[8:17]
+    assert len(seen) == 200
+    assert pseudonym("IDENTITY", "110101169912310011", K) != pseudonym("IDENTITY", "110101190001010014", K)
+    # People of one region or birthday share no piece.
+    same = [f"11010119900307{n:03d}" for n in range(40)]
+    assert len({pseudonym("IDENTITY", x + check_char(x), K)[:6] for x in same}) > 35 and len({pseudonym("IDENTITY", x + check_char(x), K)[6:14] for x in same}) > 35
+
+
+@pytest.mark.parametrize("text", ["AB 12 34 56 C", "qq135206d", "123-45-6789", "666 45 1476", "XE9537049", "E12345678", "01632 960222 ext. 80", "+1 (555) 010-2792", "0699 61605184转421", "0755-83214567-88", "020 7946 0958", "01 42 68 53 00"])
+def test_pseudonyms_keep_the_format(text):
+    kind = "PHONE" if text[0] in "0+" else "IDENTITY"
+    new = pseudonym(kind, text, K)
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "9", t.upper()))
+    assert new != text and shape(new) == shape(text) and new != pseudonym(kind, text, b"other") and mentions(f"x: {new}") == [(3, 3 + len(new), kind)]
+
+
+def test_numbers_that_no_office_gives_out():
+    assert [national_insurance(x) for x in ("QQ", "AB", "BG", "DA", "AO", "ZZ")] == [True, True, False, False, False, False]
+    assert [social_security(x) for x in ("666-12-3456", "000-12-3456", "123-00-4567", "123 45 0000")] == [True, False, False, False]
+    assert found("000-00-0000 and GB 12 34 56 A") == []
 
 
 def test_redaction_keeps_the_rest(spark):
@@ -71,10 +101,10 @@ def test_redaction_keeps_the_rest(spark):
     assert out.startswith("😀联系人：[NAME:") and "，电话[PHONE:161" in out and out.endswith("]。")
     rows = [("t", "1", text), ("t", "1", text), ("t", "2", None), ("t", "3", ""), ("t", "4", "x" * 200_000 + " a@b.test")]
     df = spark.createDataFrame(rows, "source_table string, record_id string, text string").selectExpr("*", "'x' AS pseudonym")
-    got = sorted((r.record_id, r.pii_type, r.start_char, r.end_char) for r in personal_data(df).collect())
+    got = sorted((r.record_id, r.pii_type, r.start_char, r.end_char) for r in personal_data(df, key='k').collect())
     assert got == [("1", "NAME", 5, 7)] * 2 + [("1", "PHONE", 10, 21)] * 2 + [("4", "EMAIL", 200001, 200009)]
-    assert {r.record_id: r.text for r in redacted(df).collect()}["2"] is None
-    assert personal_data(df.limit(0)).count() == 0
+    assert {r.record_id: r.text for r in redacted(df, key='k').collect()}["2"] is None
+    assert personal_data(df.limit(0), key='k').count() == 0
 
 
 @pytest.mark.parametrize(
