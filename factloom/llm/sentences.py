@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 #: Before a name or a number; they never end a sentence.
 NEVER = (
     "dr mr mrs ms prof st sr sra srta dra d dña fr hr hrn dipl ing fig figs ex no nos nr núm num art arts sec secs p pp pág págs cf viz vs vgl approx aprox ca bl abs ziff lit bzw "
-    "e.g i.e z.b d.h u.a o.ä p.ej ed vol ch para gen col capt lt rev hon डॉ श्री प्रो सुश्री पृ क्र د أ.د ص"
+    "e.g i.e z.b d.h u.a o.ä p.ej ed vol ch para gen col capt lt rev hon डॉ श्री प्रो सुश्री पृ क्र د أ.د ص "
+    "h.c fa av bd mme mlle mm mgr me p.ex env chap al тыс млн млрд ул им проф акад см ср напр рис табл стр гл пер просп т.е т.н"
 ).split()
 #: These end a sentence where the next word looks like the start of one.
-MAYBE = "co inc ltd corp llc plc jr etc a.m p.m u.s u.k u.s.a ff f usw h std min gmbh s.a s.l ph.d".split()
+MAYBE = "co inc ltd corp llc plc jr etc a.m p.m u.s u.k u.s.a ff f usw h std min gmbh s.a s.l ph.d ave blvd rd г гг в вв руб коп т.д т.п др пр".split()
 #: Months before a day's number.
 MONTHS = "jan feb mar apr jun jul aug sep sept oct nov dec".split()
 #: Month names after an ordinal number with a full stop.
@@ -23,7 +24,8 @@ OPEN = "“„‟«‹「『《〈（([【〔［{〖"
 CLOSE = {"“": "”", "„": "“”", "‟": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "(": ")", "[": "]", "【": "】", "〔": "〕", "［": "］", "{": "}", "〖": "〗", '"': '"'}
 CLOSERS = set("”“»›」』》〉）)]】〕］}〗\"'’")
 QUOTES = set("“„‟«‹「『\"")
-HARD = "。！？!?।॥؟｡۔‼⁇⁈⁉"
+#: Terminators of many scripts; the last two lines Burmese, Khmer, Ethiopic, Armenian, Tibetan, Sinhala, Mongolian, Cree, Javanese, Ol Chiki, Vai.
+HARD = "。！？!?।॥؟｡۔‼⁇⁈⁉" "။៕។።፧፨։՞།༎༏" "෴᠃᠉᙮꧈꧉᱾᱿꘎꘏"
 #: Marks after which nothing new begins, and conjunctions and particles that after a closed quotation go on with its sentence.
 PUNCTUATION = set("，,、；;：:。.！!？?…")
 GOES_ON = re.compile(r"[并而但且之的等与和或及—–-]|[后时][，,]")
@@ -36,6 +38,16 @@ EVENT = re.compile(rf"[{re.escape(HARD)}.…．]+|[{re.escape(OPEN)}”»›」
 NEWLINE = r"(?>\r\n|\n|\r|\x85|\u2028|\x0b|\x0c)"
 BLANK = re.compile(rf"{NEWLINE}(?:(?![\r\n\x85\u2028\x0b\x0c])\s)*{NEWLINE}\s*|\u2029\s*")
 SPACES = re.compile(r"\s*")
+#: A list number or letter at the start of an item: several levels of numbers, one letter, or small Roman numerals.
+MARKER = re.compile(r"[(（]?(?:(?P<number>\d{1,3}(?:\.\d{1,3})*)|(?P<letter>[a-z])|(?P<roman>[ivxl]{2,6}))[.)）](?=\s)")
+INLINE = re.compile(r"[:：;；]\s*(?:\d{1,3}(?:\.\d{1,3})*|[a-z]|[ivxl]{2,4})$")
+LINE_ENDS = "\n\r\x85\u2028\x0b\x0c\u2029"
+#: Names that begin with a small letter before a capital.
+MIXED = re.compile(r"[a-z]{1,2}[A-Z]\w")
+#: Initials without spaces, and what goes on with a firm's name.
+INITIALS = re.compile(r"(?<![\w.])(?:[^\W\d_]\.){1,3}[^\W\d_]$")
+FIRM = re.compile(r"(?:KG|KGaA|OHG|Ltd|Inc|LLC|Corp)\b")
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50}
 CAPITAL = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de\u0370-\u03ab\u0400-\u042f]")
 
 
@@ -126,7 +138,7 @@ def _cased(text: str, start: int, i: int, nxt: int) -> bool:
         w -= 1
     if i - w == LONG_WORD:
         return False
-    if FILE_NAME.match(text, nxt):
+    if FILE_NAME.match(text, nxt) or MIXED.match(text, nxt) or text[nxt - 1] in LINE_ENDS and MARKER.match(text, nxt):
         return False
     ch = text[i - 1] if i > start else "."
     return (ch.isascii() or ch.lower() != ch.upper()) and CAPITAL.search(text, start, i) is not None
@@ -170,11 +182,15 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
         return not (ch.islower() and _cased(text, start, i, nxt))
     kind = _abbreviation(text, start, i)
     alone = before.isalpha() and (i - 1 == start or not (text[i - 2].isalnum() or text[i - 2] in "._-"))
+    if alone and before.isupper() and not before.isascii() and (i < 3 or not text[i - 3 : i - 2].isdigit()):
+        return False
     if alone and before.isascii():
         spaced = re.search(r"(?:^|\s)[^\W\d_]\.\s?$", text[max(start, i - 5) : i - 1])
         if before.isupper() or spaced or re.match(r"[^\W\d_]\.", text[nxt : nxt + 2]) and before.islower() and kind != "maybe":
             return False
-    if kind == "never":
+    if kind is None and before.isupper() and INITIALS.search(text, max(start, i - 8), i):
+        return False
+    if kind == "never" or kind == "maybe" and FIRM.match(text, nxt):
         return False
     if ch.islower() and _cased(text, start, i, nxt):
         return False
@@ -185,9 +201,46 @@ def _ends(text: str, start: int, i: int, j: int, nxt: int) -> bool:
     return True
 
 
+def _roman(word: str) -> int:
+    """The value of a Roman numeral."""
+    digits = [ROMAN[c] for c in word]
+    return sum(-d if d < max(digits[k:]) else d for k, d in enumerate(digits))
+
+
+def _item(text: str, start: int, levels: list[tuple[str, int]]) -> int:
+    """Where the list marker ends with which a sentence begins, or ``start`` where there is none.
+
+    levels: the stack of list levels, innermost last, each with its kind of marker and its last value. A marker that follows
+    the last of some level returns to it; one with the first value opens a level. A number is a marker in any case; a letter
+    or Roman numeral that fits no level only at the start of a line.
+    """
+    m = MARKER.match(text, start)
+    if not m:
+        return start
+    mark = m.group()
+    kinds = []
+    if m["number"]:
+        parts = m["number"].split(".")
+        kinds.append((f"{mark[0] in '(（'}{mark[-1]}{len(parts)}", int(parts[-1])))
+    elif m["letter"]:
+        kinds.append((f"{mark[0] in '(（'}{mark[-1]}a", ord(m["letter"]) - 96))
+    if m["roman"] or m["letter"] in ROMAN:
+        kinds.append((f"{mark[0] in '(（'}{mark[-1]}i", _roman(m["roman"] or m["letter"])))
+    for kind, value in kinds:
+        for at in range(len(levels) - 1, -1, -1):
+            if levels[at] == (kind, value - 1):
+                levels[at:] = [(kind, value)]
+                return m.end()
+    first = [k for k in kinds if k[1] == 1]
+    if not first and not m["number"] and start and text[start - 1] not in LINE_ENDS:
+        return start
+    levels.append((first or kinds)[0])
+    return m.end()
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of every sentence: from its first to its last character that is not white space."""
-    out, a, n = [], 0, len(text)
+    out, a, n, levels = [], 0, len(text), []
     while a < n:
         gap = BLANK.search(text, a)
         b = gap.start() if gap else n
@@ -196,19 +249,25 @@ def sentences(text: str) -> list[tuple[int, int]]:
         while end > start and text[end - 1].isspace():
             end -= 1
         if start < end:
-            _paragraph(text, start, end, out)
+            _paragraph(text, start, end, levels, out)
         a = gap.end() if gap else n
     return out
 
 
-def _paragraph(text: str, start: int, end: int, out: list) -> None:
+def _paragraph(text: str, start: int, end: int, levels: list[tuple[str, int]], out: list) -> None:
     events = list(EVENT.finditer(text, start, end))
     partner = _pairs(text, events)
-    k = 0
+    k, begun = 0, -1
     while k < len(events):
+        if begun != start:
+            # A new sentence: what belongs to its list marker ends nothing.
+            begun, item = start, _item(text, start, levels)
         m = events[k]
         i, j = m.span()
         ch = text[i]
+        if i < item and not ch.isspace():
+            k += 1
+            continue
         if partner[k] >= 0:
             close = events[partner[k]].end()
             inside = text[max(i, close - 9) : close - 1].rstrip()[-1:]
@@ -232,6 +291,10 @@ def _paragraph(text: str, start: int, end: int, out: list) -> None:
         nxt = SPACES.match(text, j, end).end()
         if nxt >= end or not _ends(text, start, i, j, nxt):
             continue
+        if j - i == 1 and ch == "." and INLINE.search(text, max(start, i - 14), i):
+            # An item within its sentence opens a level; the next begins a sentence.
+            _item(text, i - len(re.search(r"[\w.]+$", text[max(start, i - 12) : i]).group()), levels)
+            continue
         while j < end and text[j] in CLOSERS and text[j] not in '“"':
             j += 1
         if j >= end:
@@ -258,7 +321,8 @@ def sentence_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, start_char, end_char): one row per sentence of documents(doc_id long, text); offsets in code points.
 
     The automaton reads only marks. Opening quotations and brackets go on a stack; marks within a pair that closes in its
-    paragraph end nothing. A full stop is looked up in a trie of abbreviations spelt backwards; decimals, file names,
+    paragraph end nothing. List levels have a stack of their own, which lasts for the text: a number, letter or Roman numeral
+    that opens a level or goes on with one begins its sentence, see ``_item``. A full stop is looked up in a trie of abbreviations spelt backwards; decimals, file names,
     initials, ordinals and list numbers do not end a sentence. Terminators of each script do; in Thai a space does.
     A blank line ends everything and empties the stack. A pair that never closes shields nothing.
 

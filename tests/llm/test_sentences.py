@@ -44,9 +44,31 @@ def test_lines(text, want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+@pytest.mark.parametrize(
+    "marked",
+    [
+        "1. First item.|2. Second item.|a. Sub item one.|b. Sub item two.|3. Third item.",
+        "The claims are: 1. First claim.|2. Second claim.|Then more.",
+        "1.2. The employer paid.|1.3. The worker left.|(a) One.|(b) Two.|1.4. End.",
+        "i. One.|ii. Two.|iii. Three.|Next.",
+        "သူလာသည်။|ငါသွားမည်။",
+        "គាត់មក។|ខ្ញុំទៅ។",
+        "እሱ መጣ።|እኔ ሄድኩ።",
+        "Նա եկավ։|Ես գնացի։",
+        "ང་འགྲོ།|ཁོང་ཡོང་།",
+        "М. Горький писал пьесы.|Mme. Durand et M. Dupont sont là.|Prof. h.c. Müller kam.",
+        "Analysts at J.P. Morgan left.|iPad sales fell.|Die Müller & Co. KG zahlt.",
+    ],
+)
+def test_lists_and_scripts(marked):
+    parts = marked.split("|")
+    text = "\n".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+
+
 def test_every_character_once():
     rnd = random.Random(9)
-    marks = "ab A.。！?…“”「」()（）\"\n\r 　ก 3,，:«»’"
+    marks = "ab A.。！?…“”「」()（）\"\n\r 　ก 3,，:«»’1i)"
     for _ in range(3000):
         text = "".join(rnd.choice(marks) for _ in range(rnd.randrange(60)))
         spans = sentences(text)
