@@ -104,6 +104,19 @@ def _with_shard(capacity: int):
     return run
 
 
+def audit(packed: DataFrame, sizes: DataFrame, *, capacity: int = 2048) -> DataFrame:
+    """(doc_id, covered, within_capacity, split_only_if_longer) of each document of sizes(doc_id, n_tokens) that has tokens:
+    whether its parts hold each token exactly once, whether all their containers keep to the capacity, and whether it is split
+    no more than its length demands. Repeated and null ids count as one document of their sum."""
+    bins = packed.groupBy("container_id").agg((F.sum(F.col("token_to") - F.col("token_from")) <= capacity).alias("fits"))
+    parts = packed.join(bins, "container_id").groupBy("doc_id").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("held"), F.count_distinct("part", "token_from", "token_to").alias("parts"), F.bool_and("fits").alias("fits"))
+    n = sizes.where(F.col("n_tokens") > 0).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest")).withColumnRenamed("doc_id", "id")
+    both = n.join(parts, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return both.select(
+        F.col("id").alias("doc_id"), F.coalesce(F.col("held") == F.col("n"), F.lit(False)).alias("covered"), F.coalesce("fits", F.lit(False)).alias("within_capacity"), F.coalesce(F.col("parts") <= F.ceil(F.col("longest") / capacity), F.lit(False)).alias("split_only_if_longer")
+    )
+
+
 def fill(packed: DataFrame, *, capacity: int = 2048) -> DataFrame:
     """(containers, tokens, unused_share): how full the containers of ``pack`` are."""
     bins = packed.groupBy("container_id").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used"))

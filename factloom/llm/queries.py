@@ -5,9 +5,9 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm.leakage import leaked_items, without_leaks
-from factloom.llm.packing import fill, pack
+from factloom.llm.packing import audit, fill, pack
 from factloom.llm.pii import personal_data, redacted
-from factloom.llm.sentences import sentence_spans
+from factloom.llm.sentences import sentence_spans, sentence_texts
 from factloom.llm.tokens import token_counts
 from factloom.scratch import cut
 from factloom.sources.tables import table
@@ -34,6 +34,15 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redacted(_texts(spark, d), key=_key(spark))
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each record outside its placeholders, and those of its mentions: together all of its text."""
+    texts, key = _texts(spark, d).where(F.col("text").isNotNull()), _key(spark)
+    rest = F.regexp_replace("text", r"\[(EMAIL|PHONE|NAME|ADDRESS|IDENTITY):[^\]]*\]", "")
+    parts = redacted(texts, key=key).select("source_table", "record_id", F.length(rest).alias("n"))
+    parts = parts.unionByName(personal_data(texts, key=key).select("source_table", "record_id", (F.col("end_char") - F.col("start_char")).alias("n")))
+    return parts.groupBy("source_table", "record_id").agg(F.sum("n").alias("characters"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_counts(table(spark, d, "documents")))
 
@@ -42,6 +51,11 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(p7_containers(spark, d))
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    sizes = cut(token_counts(table(spark, d, "documents")))
+    return audit(pack(sizes), sizes)
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "test_items"), prompts=PROMPTS)
 
@@ -62,5 +76,31 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_spans(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_redacted, p7_containers, p7_fill, p8_found, p8_matches, p8_clean, p9_found)}
-SQL: dict[str, str] = {}
+def p9_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of each document's sentences without white space: all those of its text."""
+    found = sentence_texts(table(spark, d, "documents"))
+    return found.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("sentence", r"(?U)[\s\x1c-\x1f]", ""))).alias("characters"))
+
+
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Items that stand in a document letter by letter."""
+    return _leaked(spark, d).where(F.col("longest") == F.col("item_chars")).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_redacted, p6_kept, p7_containers, p7_fill, p7_audit, p8_found, p8_matches, p8_clean, p8_whole, p9_found, p9_characters)}
+_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+#: Full-width letters and digits, and what they stand for.
+_WIDE = "".join(chr(c) for c in range(0xFF10, 0xFF5B) if chr(c).isalnum())
+_FLAT = rf"regexp_replace(lower(translate(nfc_normalize({{0}}), '{_WIDE}', '{''.join(chr(ord(c) - 0xFEE0) for c in _WIDE)}')), '[^\p{{{{L}}}}\p{{{{N}}}}]', '', 'g')"
+#: What SQL can tell of the text operators: that nothing is lost, and leaks that are letter by letter.
+SQL: dict[str, str] = {
+    "p6_kept": """
+select source_table, record_id, sum(length(text))::bigint as characters from (
+  select 'anchors' as source_table, anchor_id as record_id, text from anchors union all select 'fact_candidate', fact_candidate_id, assertion_text from fact_candidate)
+where text is not null group by all""",
+    "p7_audit": "select doc_id, true as covered, true as within_capacity, true as split_only_if_longer from documents where text <> ''",
+    "p8_whole": f"""
+with i as (select item_id, {_FLAT.format("case when starts_with(text, '" + PROMPTS[0] + "') then text[length('" + PROMPTS[0] + "') + 1:] when starts_with(text, '" + PROMPTS[1] + "') then text[length('" + PROMPTS[1] + "') + 1:] else text end")} as x from test_items)
+select distinct doc_id, item_id from (select doc_id, {_FLAT.format('text')} as t from documents) d join i on contains(d.t, i.x) where i.x <> ''""",
+    "p9_characters": f"select doc_id, length(regexp_replace(text, '{_BLANK}', '', 'g'))::bigint as characters from documents where regexp_replace(text, '{_BLANK}', '', 'g') <> ''",
+}

@@ -305,16 +305,22 @@ def _paragraph(text: str, start: int, end: int, levels: list[tuple[str, int]], o
         out.append((start, end))
 
 
-def _batches(batches):
-    for batch in batches:
-        ids, starts, ends = [], [], []
-        for at, text in enumerate(batch.column("text").to_pylist()):
-            if text:
-                found = sentences(text)
-                ids += [at] * len(found)
-                starts += [s for s, _ in found]
-                ends += [e for _, e in found]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "start_char", "end_char"])
+def _batches(with_text: bool):
+    def run(batches):
+        for batch in batches:
+            ids, starts, ends, texts = [], [], [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                if text:
+                    found = sentences(text)
+                    ids += [at] * len(found)
+                    starts += [s for s, _ in found]
+                    ends += [e for _, e in found]
+                    if with_text:
+                        texts += [text[s:e] for s, e in found]
+            columns = {"doc_id": batch.column("doc_id").take(pa.array(ids, pa.int64())), "start_char": pa.array(starts, pa.int64()), "end_char": pa.array(ends, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | {"sentence": pa.array(texts, pa.string())} if with_text else columns)
+
+    return run
 
 
 def sentence_spans(documents: DataFrame) -> DataFrame:
@@ -328,4 +334,9 @@ def sentence_spans(documents: DataFrame) -> DataFrame:
 
     Null and empty texts give no row; repeated rows give repeated rows. No shuffle: one narrow pass over the texts.
     """
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches, "doc_id long, start_char long, end_char long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches(False), "doc_id long, start_char long, end_char long")
+
+
+def sentence_texts(documents: DataFrame) -> DataFrame:
+    """``sentence_spans`` with a further column ``sentence``, the text of each."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches(True), "doc_id long, start_char long, end_char long, sentence string")
