@@ -15,12 +15,11 @@ LEAVES = 1 << DAY_BITS
 def dyadic_blocks(first: Column, last: Column) -> Column:
     """The canonical decomposition of the closed integer interval as node numbers of the binary tree over 2 ** DAY_BITS
     leaves: root 1, leaf d is LEAVES + d, the parent of n is n >> 1."""
-    left, right = first + F.lit(LEAVES), last + F.lit(LEAVES + 1)
+    left, right = (first + F.lit(LEAVES)).cast("long"), (last + F.lit(LEAVES + 1)).cast("long")
 
     def at(k: Column) -> Column:
-        size = F.lit(1).cast("long")
-        lo = F.floor((left - 1) / F.pow(F.lit(2), k)).cast("long") + size
-        hi = F.floor(right / F.pow(F.lit(2), k)).cast("long")
+        lo = F.call_function("shiftright", left - 1, k) + F.lit(1).cast("long")
+        hi = F.call_function("shiftright", right, k)
         return F.array_compact(F.array(F.when((lo < hi) & (lo % 2 == 1), lo), F.when((lo < hi) & (hi % 2 == 1), hi - 1)))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), at))
@@ -28,7 +27,7 @@ def dyadic_blocks(first: Column, last: Column) -> Column:
 
 def ancestors_of_day(day: Column) -> Column:
     """All tree nodes that cover the day, from the leaf to the root."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.floor((day + F.lit(LEAVES)) / F.pow(F.lit(2), k)).cast("long"))
+    return F.transform(F.sequence(F.lit(0), F.lit(DAY_BITS)), lambda k: F.call_function("shiftright", (day + F.lit(LEAVES)).cast("long"), k))
 
 
 def merge_blocks(group: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +87,7 @@ def merged_periods(intervals: DataFrame) -> DataFrame:
     valid = intervals.where(F.col("entity").isNotNull() & (F.col("first") <= F.col("last"))).select("entity", F.explode(dyadic_blocks(F.col("first"), F.col("last"))).alias("block"))
     depth = F.lit(DAY_BITS) - F.floor(F.log2(F.col("block"))).cast("int")
     above = F.lit(SHARD_BITS) - depth
-    shard = F.when(above >= 0, F.floor(F.col("block") / F.pow(F.lit(2), above)).cast("long")).otherwise(F.lit(0).cast("long"))
+    shard = F.when(above >= 0, F.call_function("shiftright", F.col("block"), above)).otherwise(F.lit(0).cast("long"))
     sets = valid.groupBy("entity", shard.alias("shard")).agg(F.collect_set("block").alias("blocks"))
     runs = sets.select("entity", "blocks").mapInArrow(_merge_batches, "entity string, first long, end long")
     order = W.partitionBy("entity").orderBy("first", "end")

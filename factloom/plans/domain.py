@@ -23,14 +23,15 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     children = parents = None
     for source, own in dict.fromkeys((r[0], r[1]) for r in REFERENCES):
         rows = table(spark, d, source)
-        begins = rows.groupBy("package_id", F.col(own).alias("record_id")).agg(F.min("recorded_at").alias("at"))
+        # The time of a record is that of its row, but for the few with several rows.
+        several = rows.groupBy("package_id", F.col(own).alias("record_id")).agg(F.min("recorded_at").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
         ids = lambda c: F.array_compact(F.array_distinct(F.transform(c, normal_id)))
         named = [F.struct(F.lit(f"{source}.{c}").alias("ref_field"), F.lit(target).alias("target"), ids(F.col(c)).alias("ids")) for s, _, c, target, _ in REFERENCES if s == source]
         # References travel to their record's time as one row of arrays and part only there.
-        refs = rows.select("package_id", F.col(own).alias("record_id"), F.array(*named).alias("named"))
-        r, b = refs.alias("r"), begins.alias("b")
-        one = r.join(b, F.col("r.package_id").eqNullSafe(F.col("b.package_id")) & F.col("r.record_id").eqNullSafe(F.col("b.record_id"))).select(
-            F.coalesce("r.record_id", F.lit("")).alias("record_id"), F.col("r.package_id").alias("scope"), "b.at", F.inline("r.named")
+        refs = rows.select("package_id", F.col(own).alias("record_id"), "recorded_at", F.array(*named).alias("named"))
+        r, b = refs.alias("r"), several.alias("b")
+        one = r.join(b, F.col("r.package_id").eqNullSafe(F.col("b.package_id")) & (F.col("r.record_id") == F.col("b.record_id")), "left").select(
+            F.coalesce("r.record_id", F.lit("")).alias("record_id"), F.col("r.package_id").alias("scope"), F.coalesce("b.earliest", "r.recorded_at").alias("at"), F.inline("r.named")
         )
         one = one.select("ref_field", "record_id", "target", "scope", F.explode("ids").alias("key"), "at")
         children = one if children is None else children.unionByName(one)
@@ -61,23 +62,23 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return _changes(spark, d).groupBy("snapshot_no", "change_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _tree(spark: SparkSession, d: str, with_paths: bool) -> DataFrame:
+def _tree(spark: SparkSession, d: str) -> DataFrame:
     rules = table(spark, d, "legal_rules").select("rule_id", "supersedes")
     nodes = rules.select(normal_id(F.col("rule_id")).alias("node"))
     edges = rules.select(normal_id(F.col("rule_id")).alias("parent"), F.explode("supersedes").alias("child")).select(normal_id(F.col("child")).alias("node"), "parent").distinct()
-    return hierarchy(nodes, edges, with_paths=with_paths)
+    return hierarchy(nodes, edges)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d, False).select(F.col("node").alias("rule_id"), F.col("root").alias("root_rule_id"), "depth")
+    return _tree(spark, d).select(F.col("node").alias("rule_id"), F.col("root").alias("root_rule_id"), "depth")
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d, True).select(F.col("node").alias("rule_id"), F.array_join("path", "/").alias("path"))
+    return _tree(spark, d).select(F.col("node").alias("rule_id"), F.array_join("path", "/").alias("path"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendants(_tree(spark, d, True)).select(F.col("node").alias("rule_id"), F.col("descendant").alias("descendant_id"), "distance")
+    return descendants(_tree(spark, d)).select(F.col("node").alias("rule_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 def _date_text(day) -> F.Column:

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession):
@@ -26,14 +26,17 @@ def folder(spark: SparkSession):
     return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder."""
+def cut(df: DataFrame, **measures: Column) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder; ``measured`` has aggregates taken while they were written."""
     spark = df.sparkSession
     path, fs = folder(spark)
-    df.write.parquet(path.toString())
+    seen = Observation() if measures else None
+    watched = df.observe(seen, *[c.alias(n) for n, c in measures.items()]) if measures else df
+    watched.write.parquet(path.toString())
     fs.deleteOnExit(path)
     kept = spark.read.schema(df.schema).parquet(path.toString())
     kept.scratch = (path, fs)
+    kept.measured = seen.get if measures else {}
     return kept
 
 
@@ -42,3 +45,4 @@ def release(*kept: DataFrame) -> None:
     for df in kept:
         path, fs = df.scratch
         fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from factloom import scratch
 from factloom.operators.hierarchy import descendants, hierarchy
 
 
@@ -38,6 +39,10 @@ def test_forest_long_chain_hot_parent_and_circles(spark, every):
     assert pairs == {(a, n, len(p) - 1 - i) for n, (_, _, p) in want.items() for i, a in enumerate(p[:-1])}
 
 
-def test_empty_and_without_paths(spark):
+def test_empty_and_tables_on_the_way(spark):
     assert run(spark, [], [])[1] == {}
-    assert run(spark, ["a", "b"], [("b", "a")], with_paths=False)[1] == {"a": ("a", 0, []), "b": ("a", 1, [])}
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.folder(spark)[0].getParent().toString())
+    before = {str(f.getPath()) for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)}
+    tree, got = run(spark, ["a", "b"], [("b", "a")])
+    after = {str(f.getPath()) for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)}
+    assert got == {"a": ("a", 0, ["a"]), "b": ("a", 1, ["a", "b"])} and len(after - before) == 1
