@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -73,44 +74,43 @@ def _constant(name):
     raise _Refused("INVALID_CONSTANT")
 
 
+#: A string, closed or not, or one bracket.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[\[\]{}]', re.S)
+
+
 def nesting(text: str) -> int:
     """The depth of containers, brackets within strings aside."""
     depth = most = 0
-    quoted = skip = False
-    for ch in text:
-        if quoted:
-            if skip:
-                skip = False
-            elif ch == "\\":
-                skip = True
-            elif ch == '"':
-                quoted = False
-        elif ch == '"':
-            quoted = True
-        elif ch in "[{":
+    for token in _TOKEN.findall(text):
+        if token in ("[", "{"):
             depth += 1
             most = max(most, depth)
-        elif ch in "]}":
+        elif token in ("]", "}"):
             depth = max(0, depth - 1)
     return most
 
 
-def strict_object(text: str | None, max_bytes: int) -> tuple[dict | None, str | None]:
-    """(object, None) or (None, code): TOO_LARGE, UNREADABLE, TOO_DEEPLY_NESTED, DUPLICATE_KEY, INVALID_CONSTANT,
-    INVALID_JSON or ROOT_NOT_OBJECT, whichever is met first."""
+def strict_value(text: str | None, max_bytes: int | None = None):
+    """(value, None) or (None, code): UNREADABLE, TOO_LARGE, TOO_DEEPLY_NESTED, DUPLICATE_KEY, INVALID_CONSTANT or INVALID_JSON,
+    whichever is met first."""
     if text is None:
         return None, "UNREADABLE"
-    if len(text.encode("utf-8", "surrogatepass")) > max_bytes:
+    if max_bytes is not None and len(text.encode("utf-8", "surrogatepass")) > max_bytes:
         return None, "TOO_LARGE"
     if nesting(text) > MAX_NESTING:
         return None, "TOO_DEEPLY_NESTED"
     try:
-        value = json.loads(text, object_pairs_hook=_unique, parse_constant=_constant)
+        return json.loads(text, object_pairs_hook=_unique, parse_constant=_constant), None
     except _Refused as e:
         return None, str(e)
     except json.JSONDecodeError:
         return None, "INVALID_JSON"
-    return (value, None) if isinstance(value, dict) else (None, "ROOT_NOT_OBJECT")
+
+
+def strict_object(text: str | None, max_bytes: int) -> tuple[dict | None, str | None]:
+    """(object, None), or (None, code): those of ``strict_value``, or ROOT_NOT_OBJECT."""
+    value, code = strict_value(text, max_bytes)
+    return (None, code) if code else (value, None) if isinstance(value, dict) else (None, "ROOT_NOT_OBJECT")
 
 
 @F.pandas_udf(StringType())
@@ -175,9 +175,26 @@ def snapshot(**fields):
     return json_snapshot(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "false"}))
 
 
+def _quoted(text):
+    """A text column as a canonical JSON string, by JVM functions; null as null. What differs from the JVM's own JSON is the case
+    of hexadecimal digits in escapes of control characters."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    quoted = F.substring(whole, 6, F.length(whole) - 6)
+    for digit in "ABCDEF":
+        quoted = F.regexp_replace(quoted, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    quoted = F.when(text.rlike(r"[\x00-\x1f]"), quoted).otherwise(F.substring(whole, 6, F.length(whole) - 6))
+    return F.when(text.isNull(), "null").otherwise(quoted)
+
+
+def text_snapshot(**fields):
+    """``snapshot`` of text columns, without leaving the JVM."""
+    pairs = [F.concat(F.lit(f"{json.dumps(n)}:"), _quoted(c)) for n, c in sorted(fields.items())]
+    return F.sha2(F.encode(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")), "UTF-8"), 256)
+
+
 def identifier(prefix: str, **fields):
-    """A derived identifier, as a Column: the prefix and the first 24 upper-case digits of the fields' snapshot hash."""
-    return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(snapshot(**fields), 1, 24)))
+    """A derived identifier of text columns, as a Column: the prefix and the first 24 upper-case digits of their snapshot hash."""
+    return F.concat(F.lit(f"{prefix}-"), F.upper(F.substring(text_snapshot(**fields), 1, 24)))
 
 
 def snapshot_id(prefix: str, fields: dict) -> str:

@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.functions.canonical import strict_value
+
 KINDS = {
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
@@ -96,17 +98,15 @@ def violations(value, schema: dict, root: dict | None = None, path: str = "$"):
 def schema_findings(rows: DataFrame, schema: dict, *, record_id: str = "record_id", text: str = "text") -> DataFrame:
     """(record_id, path, keyword): one finding per path a record breaks the schema at, the least keyword of each.
 
-    A text that is null or no JSON breaks it at $ as ``json``.
+    A text that is null or no JSON breaks it at $ as ``json``, as do repeated keys, NaN and the like, and too deep nesting.
     """
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                try:
-                    found = sorted(set(violations(json.loads(r.text), schema)))
-                except (TypeError, json.JSONDecodeError):
-                    found = [("$", "json")]
+                value, code = strict_value(r.text)
+                found = [("$", "json")] if code else sorted(set(violations(value, schema)), key=lambda f: (re.split(r"[.\[\]]+", f[0]), f[1]))
                 seen = set()
                 for path, word in found:
                     if path not in seen:

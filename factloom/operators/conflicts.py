@@ -29,6 +29,13 @@ def conflict_classes(views: DataFrame, group: list[str], value: str) -> DataFram
     return totals.where(F.col("distinct_values") > 1).select(*group, "distinct_values", "n_views", F.expr("(n_views * n_views - squares) div 2").alias("conflict_pairs"))
 
 
+def conflict_refusal(classes: DataFrame, *, most: int = 10_000) -> DataFrame:
+    """(code, conflicts): one row where the pairs of ``conflict_classes`` are more than ``most`` together; the whole analysis is then
+    refused, none of its conflicts dropped."""
+    total = classes.agg(F.coalesce(F.sum("conflict_pairs"), F.lit(0)).alias("conflicts"))
+    return total.where(F.col("conflicts") > most).select(F.lit("FACT_ANALYSIS_CONFLICT_LIMIT_EXCEEDED").alias("code"), "conflicts")
+
+
 def order_conflicts(left: DataFrame, right: DataFrame, group: str, left_id: str, at: str) -> DataFrame:
     """(group, left_id, at, conflicts): for each left view the number of right views of its group that lie before it.
 

@@ -17,6 +17,23 @@ def line_operations(old: str, new: str) -> list[tuple]:
     return [(tag.upper(), i, j, k, n, "".join(a[i:j]), "".join(b[k:n])) for tag, i, j, k, n in blocks if tag != "equal"]
 
 
+def unified_diffs(pairs: DataFrame) -> DataFrame:
+    """(diff_id, unified_diff) of pairs(diff_id, old_name, old_text, new_name, new_text): three lines of context, '' for equal texts.
+    Null counts as an empty text; a pair with a text of more than 1 MiB is refused, its unified_diff null."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                old, new = r.old_text or "", r.new_text or ""
+                small = max(len(old.encode()), len(new.encode())) <= MAX_BYTES
+                lines = difflib.unified_diff(old.splitlines(keepends=True), new.splitlines(keepends=True), r.old_name or "", r.new_name or "") if small else ()
+                out.append((r.diff_id, "".join(lines) if small else None))
+            yield pd.DataFrame(out, columns=["diff_id", "unified_diff"])
+
+    return pairs.selectExpr("cast(diff_id as string) as diff_id", "old_name", "old_text", "new_name", "new_text").mapInPandas(run, "diff_id string, unified_diff string")
+
+
 def text_differences(pairs: DataFrame) -> DataFrame:
     """OPERATIONS that turn old_text into new_text, for pairs(diff_id, old_text, new_text).
 

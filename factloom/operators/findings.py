@@ -18,7 +18,7 @@ def collect_findings(*parts: DataFrame) -> DataFrame:
 
 
 def report(findings: DataFrame, records: DataFrame) -> DataFrame:
-    """One row per record of records(record_id): allowed, counts by severity and code, and what no check may ever claim.
+    """One row per record of records(record_id): allowed, exit code, counts by severity and code, and what no check may ever claim.
 
     Codes are counted in a first aggregation, so the list of a record holds each code once however many findings it has.
     """
@@ -30,6 +30,7 @@ def report(findings: DataFrame, records: DataFrame) -> DataFrame:
     return r.select(
         "record_id",
         F.col("findings").isNull().alias("allowed"),
+        F.col("findings").isNotNull().cast("int").alias("exit_code"),
         F.coalesce("findings", F.lit(0)).alias("findings"),
         F.coalesce("p0_findings", F.lit(0)).alias("p0_findings"),
         F.coalesce("codes", F.lit("")).alias("codes"),

@@ -6,6 +6,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.canonical import identifier
+
 # Outcomes and states of a monitored source.
 FAILURES = ("UNAVAILABLE", "MISSED")
 UNCHANGED, CHANGED, STALE, UNAVAILABLE, MISSED = "UNCHANGED_RESPONSE_BODY_CANDIDATE", "CHANGE_DETECTED_REVIEW_REQUIRED", "STALE_DRAFT_ONLY", "UNAVAILABLE_DRAFT_ONLY", "NOT_CHECKED_MISSED_DRAFT_ONLY"
@@ -78,38 +80,63 @@ def monitor_step(state: dict | None, now: int, technical: str | None, interval:
 
 
 STATES = "key long, run_at long, execution string, technical string, next_due long, failures int, exhausted boolean, last_checked long"
+RULES = ("interval", "retry", "window", "budget")
+
 
+def with_rules(runs: DataFrame, definitions: DataFrame | None, defaults: dict[str, int]) -> DataFrame:
+    """runs(key, run_at, technical) with the rules of their source: those of definitions(key, interval, retry, window, budget),
+    each source once, and the defaults where a source or a rule has none."""
+    runs = runs.select("key", "run_at", "technical")
+    if definitions is None:
+        return runs.withColumns({r: F.lit(defaults[r]) for r in RULES})
+    own = runs.join(definitions.select("key", *[F.col(r).alias(f"_{r}") for r in RULES]), "key", "left")
+    return own.select("key", "run_at", "technical", *[F.coalesce(f"_{r}", F.lit(defaults[r])).cast("int").alias(r) for r in RULES])
 
-def monitor_states(runs: DataFrame, *, interval: int, retry: int, window: int, budget: int) -> DataFrame:
-    """STATES of every source after every run. runs(key, run_at hours, technical or null), one row per source and run."""
+
+def monitor_states(runs: DataFrame, definitions: DataFrame | None = None, *, interval: int, retry: int, window: int, budget: int) -> DataFrame:
+    """STATES of every source after every run. runs(key, run_at hours, technical or null), one row per source and run;
+    definitions: see ``with_rules``."""
 
     def step(state, row):
         technical = row.technical if isinstance(row.technical, str) else None
-        state = monitor_step(state, row.run_at, technical, interval, retry, window, budget)
+        state = monitor_step(state, row.run_at, technical, row.interval, row.retry, row.window, row.budget)
         last = state["last_checked"]
         return state, (row.key, row.run_at, state["execution"], state["technical"], state["next_due"], state["failures"], state["exhausted"], last)
 
-    return fold(runs.select("key", "run_at", "technical"), "key", ["run_at"], step, STATES)
+    return fold(with_rules(runs, definitions, {"interval": interval, "retry": retry, "window": window, "budget": budget}), "key", ["run_at"], step, STATES)
 
 
-def alerts(states: DataFrame, *, urgent: Column | None = None) -> DataFrame:
-    """(key, run_at, code, severity): up to two alerts of every state, carried-forward ones included."""
-    high = F.coalesce(urgent, F.lit(False)) if urgent is not None else F.lit(False)
-    failure = F.when(high, "HIGH").otherwise("WARNING")
+def _raised(urgency: Column) -> Column:
+    """The up to two alerts of a state as an array of (code, severity)."""
+    failure = F.when(urgency.isin("CRITICAL", "HIGH"), "HIGH").otherwise("WARNING")
     alert = lambda code, severity: F.struct(F.lit(f"LEGAL_SOURCE_{code}").alias("code"), severity.alias("severity"))
     status = F.col("technical")
     code = F.when(status == CHANGED, alert("CHANGE_DETECTED", F.lit("CRITICAL"))).when(status == UNAVAILABLE, alert("CHECK_UNAVAILABLE", failure))
     code = code.when(status == STALE, alert("CHECK_STALE", F.lit("HIGH"))).when(status == MISSED, alert("CHECK_MISSED", failure))
-    spent = F.when(F.col("exhausted"), alert("ERROR_BUDGET_EXHAUSTED", F.lit("HIGH")))
-    return states.select("key", "run_at", F.inline(F.array_compact(F.array(code, spent))))
+    spent = F.when(F.col("exhausted"), alert("ERROR_BUDGET_EXHAUSTED", F.when(urgency == "CRITICAL", "CRITICAL").otherwise("HIGH")))
+    return F.array_compact(F.array(code, spent))
+
+
+def alerts(states: DataFrame, *, urgency: Column | None = None) -> DataFrame:
+    """(key, run_at, code, severity): up to two alerts of every state, carried-forward ones included; ``urgency``: that of the
+    source, in whose absence nothing is urgent."""
+    return states.select("key", "run_at", F.inline(_raised(F.coalesce(urgency, F.lit("")) if urgency is not None else F.lit(""))))
+
+
+def identified(raised: DataFrame, *, evaluated_at: Column, source: Column, check_id: Column, check_sha256: Column) -> DataFrame:
+    """``alerts`` with alert_id, from what was checked, when and where; a missed check has neither id nor hash."""
+    made = F.col("code") != "LEGAL_SOURCE_CHECK_MISSED"
+    own = {"check_id": F.when(made, check_id), "check_snapshot_sha256": F.when(made, check_sha256), "code": F.col("code"), "evaluated_at": evaluated_at, "source_monitor_id": source}
+    return raised.withColumn("alert_id", identifier("LMALERT", **own))
 
 
-def overall(states: DataFrame, raised: DataFrame) -> DataFrame:
-    """(run_at, alerts, overall) of each run over all sources."""
-    critical = F.col("code").isin("LEGAL_SOURCE_CHANGE_DETECTED", "LEGAL_SOURCE_ERROR_BUDGET_EXHAUSTED")
-    per = raised.groupBy("run_at").agg(F.count(F.lit(1)).alias("alerts"), F.bool_or(critical).alias("critical"))
+def overall(states: DataFrame) -> DataFrame:
+    """(run_at, alerts, overall) of each run over all sources, in one pass over the states."""
+    codes = F.transform(_raised(F.lit("")), lambda a: a["code"])
+    critical = F.arrays_overlap(codes, F.array(F.lit("LEGAL_SOURCE_CHANGE_DETECTED"), F.lit("LEGAL_SOURCE_ERROR_BUDGET_EXHAUSTED")))
+    per = states.groupBy("run_at").agg(F.sum(F.size(codes)).alias("alerts"), F.bool_or(critical).alias("critical"))
     status = F.when(F.col("critical"), "CRITICAL_DRAFT_ONLY").when(F.col("alerts") > 0, "WARNING_DRAFT_ONLY").otherwise("HEALTHY_TECHNICALLY_UNCHANGED")
-    return states.select("run_at").distinct().join(per, "run_at", "left").select("run_at", F.coalesce("alerts", F.lit(0)).alias("alerts"), status.alias("overall"))
+    return per.select("run_at", "alerts", status.alias("overall"))
 
 
 def rolling_failures(runs: DataFrame, *, window: int, budget: int) -> DataFrame:

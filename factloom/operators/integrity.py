@@ -104,13 +104,39 @@ def binding_breaks(bindings: DataFrame, targets: DataFrame, key: list[str], boun
     return bindings.join(t, key, "left").withColumn("code", code).where(F.col("code").isNotNull()).drop("_there", "_known")
 
 
-def allowlist_findings(rows: DataFrame, registry: DataFrame, *, publisher: str, url: str) -> DataFrame:
-    """Rows with ``code``: PUBLISHER_NOT_REGISTERED or TARGET_NOT_ALLOWLISTED where the URL may not be fetched from one of
-    the publisher's hosts. registry(publisher, host), a host once per publisher, in lower case."""
+def outside_combinations(rows: DataFrame, columns: list[str], allowed: list[tuple]) -> DataFrame:
+    """Rows whose values of some columns are together none of the combinations allowed; null equals null."""
+    listed = F.lit(False)
+    for values in allowed:
+        same = F.lit(True)
+        for c, v in zip(columns, values):
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        listed = listed | same
+    return rows.where(~listed)
+
+
+def predecessor_breaks(rows: DataFrame, key: list[str], number: str, own: list[str], declared: list[str]) -> DataFrame:
+    """Rows with ``code`` PREDECESSOR_MISMATCH whose declared values differ from their key's row before in order of number;
+    a first row must declare nulls. Two windows' worth of one sort; equal numbers follow in order of their own values."""
+    w = W.partitionBy(*key).orderBy(number, *own)
+    broken = F.lit(False)
+    for o, d in zip(own, declared):
+        broken = broken | ~F.lag(o).over(w).eqNullSafe(F.col(d))
+    return rows.withColumn("_broken", broken).where("_broken").drop("_broken").withColumn("code", F.lit("PREDECESSOR_MISMATCH"))
+
+
+def allowlist_findings(rows: DataFrame, registry: DataFrame, *, publisher: str, url: str, purpose: str | None = None) -> DataFrame:
+    """Rows with ``code``: PUBLISHER_NOT_REGISTERED, PURPOSE_NOT_PERMITTED or TARGET_NOT_ALLOWLISTED, the first that holds where the
+    URL may not be fetched from one of the publisher's hosts. registry(publisher, host), a host once per publisher, in lower
+    case; with ``purpose``, the column of the rows that names one, also permitted_purposes, an array."""
     from factloom.functions.scalars import url_host
 
-    known = registry.select(F.col("publisher").alias(publisher)).distinct().withColumn("_known", F.lit(True))
+    permits = F.flatten(F.collect_set("permitted_purposes")) if purpose else F.array().cast("array<string>")
+    known = registry.groupBy(F.col("publisher").alias(publisher)).agg(permits.alias("_permits")) if purpose else registry.select(F.col("publisher").alias(publisher), permits.alias("_permits")).distinct()
     pairs = registry.select(F.col("publisher").alias(publisher), F.col("host").alias("_host")).distinct().withColumn("_listed", F.lit(True))
     joined = rows.withColumn("_host", url_host(F.col(url))).join(known, publisher, "left").join(pairs, [publisher, "_host"], "left")
-    code = F.when(F.col("_known").isNull(), "PUBLISHER_NOT_REGISTERED").when(F.col("_listed").isNull(), "TARGET_NOT_ALLOWLISTED")
+    code = F.when(F.col("_permits").isNull(), "PUBLISHER_NOT_REGISTERED")
+    if purpose:
+        code = code.when(~F.coalesce(F.array_contains("_permits", F.col(purpose)), F.lit(False)), "PURPOSE_NOT_PERMITTED")
+    code = code.when(F.col("_listed").isNull(), "TARGET_NOT_ALLOWLISTED")
     return joined.withColumn("code", code).where(F.col("code").isNotNull()).select(*rows.columns, "code")

@@ -7,6 +7,8 @@ from factloom.functions.scalars import candidate_status
 from factloom.operators.intervals import ancestors_of_day, dyadic_blocks
 from factloom.scratch import cut, release
 
+# Fixed value: kinds of edges that must close no circle.
+ACYCLIC = ("AMENDS", "CORRECTS", "REPEALS", "SUPERSEDES")
 #: Graphs of up to so many distinct edges are gathered, one to a group.
 MAX_EDGES = 1000
 
@@ -14,10 +16,12 @@ MAX_EDGES = 1000
 def edge_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph, source, target, code): ends that are no node of the graph, edges to themselves, and repeated edges.
 
-    edges(graph, source, target), nodes(graph, node).
+    edges(graph, source, target), and kind where edges have one; nodes(graph, node). Edges of another kind are no repetition,
+    and the result then has the kind, and how many rows each finding stands for: all of an edge, of a repeated one the later.
     """
     known = nodes.select("graph", "node").distinct()
-    counted = edges.groupBy("graph", "source", "target").agg(F.count(F.lit(1)).alias("n"))
+    kind = ["kind"] if "kind" in edges.columns else []
+    counted = edges.groupBy("graph", "source", "target", *kind).agg(F.count(F.lit(1)).alias("n"))
     s, t = known.select("graph", F.col("node").alias("source"), F.lit(True).alias("has_source")), known.select("graph", F.col("node").alias("target"), F.lit(True).alias("has_target"))
     both = counted.join(s, ["graph", "source"], "left").join(t, ["graph", "target"], "left")
     codes = F.array_compact(
@@ -27,7 +31,9 @@ def edge_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             F.when(F.col("n") > 1, "LEGAL_RELATIONSHIP_DUPLICATE_EDGE"),
         )
     )
-    return both.select("graph", "source", "target", F.explode(codes).alias("code"))
+    found = both.select("graph", "source", "target", *kind, "n", F.explode(codes).alias("code"))
+    rows = F.when(F.col("code") == "LEGAL_RELATIONSHIP_DUPLICATE_EDGE", F.col("n") - 1).otherwise(F.col("n"))
+    return found.withColumn("rows", rows).drop("n") if kind else found.drop("n")
 
 
 def _circular(sources: list, targets: list) -> bool:
@@ -49,12 +55,17 @@ def _circular(sources: list, targets: list) -> bool:
     return gone < len(into)
 
 
-def graph_circles(edges: DataFrame, *, max_edges: int | None = None) -> DataFrame:
-    """(graph, edges, circular) of each graph of edges(graph, source, target); null ends are no edge.
+def graph_circles(edges: DataFrame, *, max_edges: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(graph, edges, circular) of each graph of edges(graph, source, target); null ends are no edge. Where ``kinds`` are
+    given, edges have a kind and only those may close no circle; a graph without such edges has none.
 
     Graphs of any size are solved: up to MAX_EDGES distinct edges one by one, larger ones by ``_shrunk`` without ever being
     gathered. Only where ``max_edges`` is given as a contract a larger graph is refused, circular null.
     """
+    if kinds is not None:
+        graphs = edges.where(F.col("graph").isNotNull()).select("graph").distinct()
+        found = graph_circles(edges.where(F.col("kind").isin(*kinds)).drop("kind"), max_edges=max_edges)
+        return graphs.join(found, "graph", "left").select("graph", F.coalesce("edges", F.lit(0)).alias("edges"), F.when(F.col("edges").isNull(), False).otherwise(F.col("circular")).alias("circular"))
     distinct = edges.dropna(subset=["graph", "source", "target"]).select("graph", "source", "target").distinct()
     if max_edges is None:
         distinct = cut(distinct)

@@ -278,8 +278,7 @@ def monitor_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monitor_overall(spark: SparkSession, d: str) -> DataFrame:
-    states = _states(spark, d)
-    return folds.overall(states, folds.alerts(states))
+    return folds.overall(_states(spark, d))
 
 
 def error_budget_rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -443,7 +442,7 @@ def integrity_report(spark: SparkSession, d: str) -> DataFrame:
         finding(rules, b < a, record_id=pkg, code="DATE_INTERVAL_INVALID", path=at("legal_rules")),
     ]
     records = facts.select(pkg.alias("record_id")).unionByName(ev.select(pkg.alias("record_id"))).where(F.col("record_id").isNotNull())
-    return report(collect_findings(*parts).where(F.col("record_id").isNotNull()), records).drop("submission_ready", "legal_review_required")
+    return report(collect_findings(*parts).where(F.col("record_id").isNotNull()), records).drop("submission_ready", "legal_review_required", "exit_code")
 
 
 QUERIES = {

@@ -11,34 +11,60 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.substring_index("path", folder.rstrip("/") + "/", -1).alias("relative_path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
 
 
-def manifest(found: DataFrame, path: Column, content: Column) -> DataFrame:
+# What a file's extension promises; others promise nothing.
+EXTENSIONS = {
+    ".gif": "image/gif",
+    ".gz": "application/gzip",
+    ".jpeg": "image/jpeg",
+    ".jpg": "image/jpeg",
+    ".pdf": "application/pdf",
+    ".png": "image/png",
+    ".txt": "text/plain",
+    ".zip": "application/zip",
+}
+
+
+def extension_mismatch(extension: Column, media: Column) -> Column:
+    """Whether a file's extension promises another media type than was found; one without a promise never disagrees."""
+    promised = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[F.lower(extension)]
+    return F.coalesce(promised != media, F.lit(False))
+
+
+def manifest(found: DataFrame, path: Column, content: Column, *, modified_at: Column | None = None, identity: Column | None = None) -> DataFrame:
     """One row per file: ids, hashes, extension, media type by content, and whether the extension says otherwise.
 
-    A null content is an unreadable file and has neither hash nor id. The extension tells text for the types listed here;
-    an unlisted extension never disagrees.
+    A null content is an unreadable file and has neither hash nor id. modified_at: a timestamp, kept as text in nanoseconds;
+    identity: what the file system tells files apart by, see ``filesystem_identity``. Both null where not given.
     """
     sha = F.sha2(content, 256)
     extension = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1))
-    expected = (
-        F.when(extension.isin(".txt", ".csv", ".md", ".log", ".eml"), "text/plain")
-        .when(extension == ".pdf", "application/pdf")
-        .when(extension == ".png", "image/png")
-        .when(extension.isin(".jpg", ".jpeg"), "image/jpeg")
-        .when(extension.isin(".docx", ".xlsx", ".zip"), "application/zip")
-    )
     kind = media_type(content)
+    nothing = F.lit(None).cast("string")
     return found.select(
         raw_id(path, sha).alias("raw_id"),
         path.alias("relative_path"),
         F.sha2(F.encode(path, "UTF-8"), 256).alias("path_sha256"),
         extension.alias("extension"),
         kind.alias("detected_media_type"),
-        F.coalesce(expected != kind, F.lit(False)).alias("extension_media_type_mismatch"),
+        extension_mismatch(extension, kind).alias("extension_media_type_mismatch"),
         F.octet_length(content).cast("long").alias("size_bytes"),
         sha.alias("content_sha256"),
+        (nothing if modified_at is None else (F.unix_micros(modified_at) * 1000).cast("string")).alias("modified_at_ns"),
+        (nothing if identity is None else identity).alias("filesystem_identity_sha256"),
     )
 
 
+def relationships(rows: DataFrame) -> DataFrame:
+    """(relationship_type, identity_sha256, raw_id) of files with equal content (DUPLICATE_CONTENT) and of names of one file
+    (HARDLINK_CANDIDATE); a row per member, so a group of any size is never one value. Null identities have no relation."""
+    parts = []
+    for kind, column in (("DUPLICATE_CONTENT", "content_sha256"), ("HARDLINK_CANDIDATE", "filesystem_identity_sha256")):
+        named = rows.where(F.col(column).isNotNull()).select(F.lit(kind).alias("relationship_type"), F.col(column).alias("identity_sha256"), "raw_id")
+        several = named.groupBy("identity_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        parts.append(named.join(several, "identity_sha256").select("relationship_type", "identity_sha256", "raw_id"))
+    return parts[0].unionByName(parts[1])
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """(file_count, total_bytes) of a manifest."""
     return rows.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
@@ -62,10 +88,11 @@ def limit_findings(rows: DataFrame, *, max_files: int = 10_000, max_file_bytes:
 def store_objects(rows: DataFrame, target: str) -> None:
     """Appends each content once to a store partitioned by the first two digits of its hash. rows(content_sha256, content).
 
-    Contents already stored are not written again, so a repeated call changes nothing.
+    Contents already stored are not written again, so a repeated call changes nothing. A content whose hash is another is
+    not stored; ``store_differences`` then tells that it is missing.
     """
     spark = rows.sparkSession
-    fresh = rows.where(F.col("content_sha256").isNotNull()).dropDuplicates(["content_sha256"])
+    fresh = rows.where(F.col("content_sha256") == F.sha2("content", 256)).dropDuplicates(["content_sha256"])
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         fresh = fresh.join(spark.read.parquet(target).select("content_sha256"), "content_sha256", "left_anti")

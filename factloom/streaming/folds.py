@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factloom.operators.folds import monitor_step, reserve_step
+from factloom.operators.folds import monitor_step, reserve_step, with_rules
 
 
 def reservations(requests: DataFrame, *, min_interval_us: int) -> DataFrame:
@@ -32,8 +32,8 @@ def reservations(requests: DataFrame, *, min_interval_us: int) -> DataFrame:
     )
 
 
-def monitor_states(runs: DataFrame, *, interval: int, retry: int, window: int, budget: int) -> DataFrame:
-    """States of a stream runs(key, run_at, technical): key, run_at, execution, technical, next_due, failures, exhausted.
+def monitor_states(runs: DataFrame, definitions: DataFrame | None = None, *, interval: int, retry: int, window: int, budget: int) -> DataFrame:
+    """States of a stream runs(key, run_at, technical), with the rules of a static table of definitions: key, run_at, execution, technical, next_due, failures, exhausted.
 
     A run at or before the source's last one is late: it gets the execution TIME_ROLLBACK_REFUSED and changes nothing.
     """
@@ -50,12 +50,13 @@ def monitor_states(runs: DataFrame, *, interval: int, retry: int, window: int, b
                 out.append((r.key, r.run_at, "TIME_ROLLBACK_REFUSED", known["technical"], known["next_due"], known["failures"], known["exhausted"]))
                 continue
             at = int(r.run_at)
-            known = monitor_step(known, at, r.technical if isinstance(r.technical, str) else None, interval, retry, window, budget)
+            known = monitor_step(known, at, r.technical if isinstance(r.technical, str) else None, int(r.interval), int(r.retry), int(r.window), int(r.budget))
             out.append((r.key, at, known["execution"], known["technical"], known["next_due"], known["failures"], known["exhausted"]))
         last = known["last_checked"]
         state.update((at, known["execution"], known["technical"], known["next_due"], ",".join(known["recent"]), known["failures"], known["exhausted"], -1 if last is None else last))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return runs.select("key", "run_at", "technical").groupBy("key").applyInPandasWithState(
+    ruled = with_rules(runs, definitions, {"interval": interval, "retry": retry, "window": window, "budget": budget})
+    return ruled.groupBy("key").applyInPandasWithState(
         step, schema, "at long, execution string, technical string, next_due long, recent string, failures int, exhausted boolean, last_checked long", "append", GroupStateTimeout.NoTimeout
     )

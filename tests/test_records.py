@@ -130,11 +130,11 @@ def test_folds_against_plain_loops(spark):
         (1, 96, "CHECKED", 144, 2, True, 96),
         (2, 0, "MISSED_DUE_CHECK", 24, 1, False, None),
     ]
-    raised = folds.alerts(states, urgent=F.col("key") == 1)
+    raised = folds.alerts(states, urgency=F.when(F.col("key") == 1, "HIGH"))
     assert sorted((r.run_at, r.code[13:], r.severity) for r in raised.where("key = 1").collect()) == [
         (48, "CHECK_MISSED", "HIGH"), (72, "CHECK_UNAVAILABLE", "HIGH"), (72, "ERROR_BUDGET_EXHAUSTED", "HIGH"), (96, "CHANGE_DETECTED", "CRITICAL"), (96, "ERROR_BUDGET_EXHAUSTED", "HIGH")
     ]
-    assert {r.run_at: r.overall[:4] for r in folds.overall(states, raised).collect()} == {0: "WARN", 24: "HEAL", 48: "WARN", 72: "CRIT", 96: "CRIT"}
+    assert {r.run_at: r.overall[:4] for r in folds.overall(states).collect()} == {0: "WARN", 24: "HEAL", 48: "WARN", 72: "CRIT", 96: "CRIT"}
     rolled = folds.rolling_failures(spark.createDataFrame([(1, i, o) for i, o in enumerate(["MISSED", "SUCCESS", "UNAVAILABLE", "MISSED"])], "key int, run_at int, outcome string"), window=3, budget=1)
     assert [(r.failures, r.exhausted) for r in rolled.orderBy("run_at").collect()] == [(1, False), (1, False), (2, True), (2, True)]
 
