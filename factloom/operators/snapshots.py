@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from factloom.scratch import cut
+from factloom.scratch import cut, release
 
 #: Three hash functions; each owns one sub-table of a power of two cells, addressed by 21 bits of a hash of key and value:
 #: the old and the new value of a changed key must not meet in all their cells.
@@ -103,8 +103,11 @@ def snapshot_changes(rows: DataFrame, *, snapshot: str, key: str, values: dict[s
     Each listing is cut into hash buckets of about ``bucket_rows`` keys, and each bucket into one invertible lookup table
     per snapshot. Tables of neighbours are subtracted, what remains is peeled into pairs of key and value hashes, and the
     pairs are verified against digests of both buckets. A bucket with more changes than its table holds fails and is
-    built anew, four times as large, until all are solved. Only table cells are shuffled for the comparison, not rows:
-    a listing that hardly changes costs a fraction of a full outer join at any size. Key hashes have 128 bits.
+    built anew, four times as large, until all are solved. Key hashes have 128 bits.
+
+    Rows are shuffled once, to find the latest of each key, with map-side maxima. The comparison then shuffles cells of tables,
+    whose number follows the changes expected and not the rows, and the changed hashes are named by a join with the kept keys, of
+    which the changed side is the small one. The result is one kept table of the changes; those made on the way are deleted.
     """
     names = list(values)
     latest = (
@@ -128,7 +131,7 @@ def snapshot_changes(rows: DataFrame, *, snapshot: str, key: str, values: dict[s
     width = 16
     while width * HASHES < 1.6 * per_bucket and width < 1 << BITS:
         width *= 2
-    solved, again = [], None
+    solved, tables, again = [], [hashed, sizes, pairs], None
     while True:
         if again is not None:
             redo = again.join(pairs, "pair").select("bucket", F.col("of").alias("snap")).distinct()
@@ -139,6 +142,7 @@ def snapshot_changes(rows: DataFrame, *, snapshot: str, key: str, values: dict[s
         if again is not None:
             cells = cells.join(again, ["pair", "bucket"], "left_semi")
         peeled = cut(cells.groupBy("pair", "bucket").applyInPandas(_peel_group(width), PEELED))
+        tables.append(peeled)
         solved.append(peeled.where(~F.col("failed")))
         again = peeled.where("failed").select("pair", "bucket")
         if again.isEmpty():
@@ -156,4 +160,7 @@ def snapshot_changes(rows: DataFrame, *, snapshot: str, key: str, values: dict[s
     )
     # A removed key is named by the earlier listing, any other by the later one.
     named = kinds.join(pairs, "pair").where((F.col("change_kind") == "removed") == (F.col("sign") == -1))
-    return named.join(hashed.select(F.col("snap").alias("of"), "k1", "k2", "key"), ["of", "k1", "k2"]).select(F.col("pair").alias(snapshot), F.col("key").alias(key), "change_kind")
+    named = named.join(hashed.select(F.col("snap").alias("of"), "k1", "k2", "key"), ["of", "k1", "k2"]).select(F.col("pair").alias(snapshot), F.col("key").alias(key), "change_kind")
+    kept = cut(named)
+    release(*tables)
+    return kept

@@ -73,19 +73,23 @@ def graph_circles(edges: DataFrame, *, max_edges: int | None = None, kinds: tupl
     small = distinct.join(sizes.where(F.col("edges") <= (MAX_EDGES if max_edges is None else max_edges)).select("graph"), "graph")
     solved = None
     if max_edges is None:
-        solved, rest = _shrunk(distinct.join(sizes.where(F.col("edges") > MAX_EDGES).select("graph"), "graph"))
+        solved, rest, tables = _shrunk(distinct.join(sizes.where(F.col("edges") > MAX_EDGES).select("graph"), "graph"))
         small = small.unionByName(rest)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"graph": [pdf["graph"].iloc[0]], "circular": [_circular(pdf["source"].tolist(), pdf["target"].tolist())]})
 
     found = small.groupBy("graph").applyInPandas(run, "graph string, circular boolean")
-    found = found if solved is None else found.unionByName(solved)
-    return sizes.join(found, "graph", "left").select("graph", "edges", "circular")
+    if solved is None:
+        return sizes.join(found, "graph", "left").select("graph", "edges", "circular")
+    kept = cut(sizes.join(found.unionByName(solved), "graph", "left").select("graph", "edges", "circular"))
+    release(distinct, *tables)
+    return kept
 
 
-def _shrunk(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(graph, circular) of the graphs solved, and the edges that are left of the others, at most MAX_EDGES a graph.
+def _shrunk(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(graph, circular) of the graphs solved, the edges that are left of the others, at most MAX_EDGES a graph, and the tables that
+    both are read from.
 
     Each round drops the edges from nodes that none leads into and those to nodes that none leaves. A graph without such
     edges has a circle, as has one with an edge from a node to itself; one without other edges has none. Of the nodes with one
@@ -94,7 +98,7 @@ def _shrunk(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = edges.sparkSession
     solved, rest = spark.createDataFrame([], "graph string, circular boolean"), spark.createDataFrame([], edges.schema)
-    state, turn = cut(edges), 0
+    state, turn, tables = cut(edges), 0, []
     while not state.isEmpty():
         ends = state.select("graph", F.col("source").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
             state.select("graph", F.col("target").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
@@ -110,7 +114,9 @@ def _shrunk(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         solved = solved.unionByName(shape.where(F.col("circular").isNotNull()).select("graph", "circular"))
         open_ = shape.where(F.col("circular").isNull())
         kept = marked.where("stays")
-        rest = rest.unionByName(cut(kept.join(open_.where(F.col("left") <= MAX_EDGES).select("graph"), "graph").select("graph", "source", "target")))
+        left = cut(kept.join(open_.where(F.col("left") <= MAX_EDGES).select("graph"), "graph").select("graph", "source", "target"))
+        tables += [shape, left]
+        rest = rest.unionByName(left)
         on = kept.join(open_.where(F.col("left") > MAX_EDGES).select("graph"), "graph")
         bridged = F.col("to_mid") & ~F.col("from_mid")
         over = on.where(bridged).select("graph", F.col("target").alias("source"), F.col("source").alias("before"))
@@ -118,7 +124,7 @@ def _shrunk(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         last, state, turn = state, cut(moved), turn + 1
         release(last, marked)
     release(state)
-    return solved, rest
+    return solved, rest, tables
 
 
 def versions_on(events: DataFrame, versions: DataFrame) -> DataFrame:
