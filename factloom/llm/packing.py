@@ -2,11 +2,11 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from factloom.scratch import cut
+from factloom.scratch import cut, release
 
-PACKED = "doc_id long, part int, size long, bin long, room long"
+PACKED = "doc_id string, part int, size long, copy long, bin long, room long"
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,9 +45,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def _pack_group(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "part"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "part", "copy"], kind="stable")
         bins, room = sum_of_squares(pdf["size"].to_numpy(), capacity)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "part": pdf["part"].to_numpy(), "size": pdf["size"].to_numpy(), "bin": bins, "room": room[bins] if len(bins) else bins})
+        return pdf[["doc_id", "part", "size", "copy"]].assign(bin=bins, room=room[bins] if len(bins) else bins)
 
     return run
 
@@ -62,35 +62,41 @@ def pack(sizes: DataFrame, *, capacity: int = 2048, shard_items: int = 100_000,
     Documents are dealt by a hash of their id into shards of about ``shard_items`` pieces, each packed alone by the
     sum-of-squares rule, so only ids and sizes are shuffled, and a task holds one shard. Bins that a shard leaves with more
     than ``tail_share`` of their room are emptied and their pieces packed once more, all shards together, in as many
-    shards as their number needs. The result depends on ids and sizes alone.
+    shards as their number needs. Copies of one id are dealt like others.
+    The result, one kept table, depends on ids and sizes alone, but for which of several copies lies where.
     """
-    given = sizes.where(F.col("n_tokens") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n"))
+    asked = sizes.where(F.col("n_tokens") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n"))
     whole = F.floor(F.col("n") / capacity).cast("int")
-    parts = given.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") % capacity == 0, whole - 1).otherwise(whole))).alias("part"))
-    pieces = cut(parts.select("doc_id", "part", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part") * capacity).alias("size")))
-    # Full pieces fill a container each and take no part in the search. Copies of a piece are numbered from the second on.
-    copy = F.row_number().over(W.partitionBy("doc_id", "part").orderBy("size"))
-    full = pieces.where(F.col("size") == capacity).withColumn("copy", copy)
-    known = F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("."), F.col("part"), F.when(F.col("copy") > 1, F.concat(F.lit("."), F.col("copy"))).otherwise(""))
-    full = full.select("doc_id", "part", "size", known.alias("container_id"))
+    parts = asked.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.when(F.col("n") % capacity == 0, whole - 1).otherwise(whole))).alias("part"))
+    size = F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("part") * capacity)
+    given = cut(parts.select("doc_id", "part", size.alias("size"), F.monotonically_increasing_id().alias("row")), rest=F.count_if(F.col("size") < capacity))
+    # Copies of a document, be they a third of all rows, are told apart by their row; all other pieces by id and part alone.
+    again = given.groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), F.col("part").alias("at"), F.lit(True).alias("again"))
+    pieces = given.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("part") == F.col("at")), "left").select("doc_id", "part", "size", F.when(F.col("again"), F.col("row")).alias("copy"))
+    # Full pieces fill a container each and take no part in the search.
+    known = F.concat(F.lit("f"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("."), F.col("part"), F.coalesce(F.concat(F.lit("."), F.col("copy")), F.lit("")))
+    full = pieces.where(F.col("size") == capacity).select("doc_id", "part", "size", known.alias("container_id"))
     rest = pieces.where(F.col("size") < capacity)
 
     def packed(items: DataFrame, n: int) -> DataFrame:
         shards = max(1, -(-n // shard_items))
-        dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)))
-        return dealt.groupBy("shard").applyInPandas(_with_shard(capacity), "shard long, " + PACKED)
+        # Numbers beside nulls would become floating point in Python.
+        dealt = items.select(F.pmod(F.xxhash64("doc_id", "part", "copy"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "part", "size", F.coalesce("copy", F.lit(-1)).alias("copy"))
+        out = dealt.groupBy("shard").applyInPandas(_with_shard(capacity), "shard long, " + PACKED)
+        return out.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": F.nullif("copy", F.lit(-1))})
 
-    first = cut(packed(rest, rest.count()))
     loose = F.col("room") > F.lit(int(capacity * tail_share))
-    tail = first.where(loose).select("doc_id", "part", "size")
-    second = packed(tail, tail.count())
+    first = cut(packed(rest, given.measured["rest"]), loose=F.count_if(loose))
+    second = packed(first.where(loose).select("doc_id", "part", "size", "copy"), first.measured["loose"])
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select("doc_id", "part", "size", F.concat(F.lit(prefix), F.col("shard"), F.lit("."), F.col("bin")).alias("container_id"))
 
     out = full.unionByName(named(first.where(~loose), "s")).unionByName(named(second, "t"))
     begin = F.col("part").cast("long") * capacity
-    return out.select("doc_id", "part", begin.alias("token_from"), (begin + F.col("size")).alias("token_to"), "container_id")
+    kept = cut(out.select("doc_id", "part", begin.alias("token_from"), (begin + F.col("size")).alias("token_to"), "container_id"))
+    release(given, first)
+    return kept
 
 
 def _with_shard(capacity: int):
