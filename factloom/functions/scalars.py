@@ -85,6 +85,12 @@ def raw_id(path: Column, sha256: Column) -> Column:
     return F.concat(F.lit("RAW-"), F.sha2(F.concat(F.encode(path, "UTF-8"), F.unhex(F.lit("00")), digest), 256))
 
 
+def object_path(sha256: Column) -> Column:
+    """Where a store keeps a content: by the first two digits of its hash; null where the hash is none."""
+    sha = F.lower(F.when(is_sha256(sha256), sha256))
+    return F.concat(F.lit("objects/"), F.substring(sha, 1, 2), F.lit("/"), sha, F.lit(".bin"))
+
+
 def filesystem_identity(device: Column, inode: Column) -> Column:
     return F.sha2(F.concat_ws(":", device.cast("string"), inode.cast("string")), 256)
 

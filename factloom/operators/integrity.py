@@ -104,6 +104,30 @@ def binding_breaks(bindings: DataFrame, targets: DataFrame, key: list[str], boun
     return bindings.join(t, key, "left").withColumn("code", code).where(F.col("code").isNotNull()).drop("_there", "_known")
 
 
+def list_differences(declared: DataFrame, derived: DataFrame) -> DataFrame:
+    """Rows with ``code`` and ``rows`` that two lists of the same columns do not have equally often: ONLY_DECLARED or ONLY_DERIVED, and
+    how many there are too many. Null equals null. One aggregation of signed counts with map-side sums, no join; the order of
+    the lists counts if their columns have the position."""
+    columns = declared.columns
+    both = declared.select(*columns, F.lit(1).alias("_sign")).unionByName(derived.select(*columns, F.lit(-1).alias("_sign")))
+    over = both.groupBy(*columns).agg(F.sum("_sign").alias("_over")).where(F.col("_over") != 0)
+    return over.select(*columns, F.when(F.col("_over") > 0, "ONLY_DECLARED").otherwise("ONLY_DERIVED").alias("code"), F.abs("_over").alias("rows"))
+
+
+def first_violation(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Rows with ``code``: that of the first rule whose condition is true; null is not true. Rows that break none are left out."""
+    code = F.coalesce(*[F.when(broken, code) for code, broken in rules])
+    return rows.withColumn("code", code).where(F.col("code").isNotNull())
+
+
+def key_errors(rows: DataFrame, known: DataFrame, key: str, scope: list[str], *, unknown: str, duplicate: str) -> DataFrame:
+    """(scope, key, code): keys of rows that ``known`` has not, and known keys given more than once in a scope."""
+    counted = rows.groupBy(*scope, key).agg(F.count(F.lit(1)).alias("_n"))
+    there = known.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("_known")).distinct()
+    code = F.when(F.col("_known").isNull(), unknown).when(F.col("_n") > 1, duplicate)
+    return counted.join(there, key, "left").withColumn("code", code).where(F.col("code").isNotNull()).select(*scope, key, "code")
+
+
 def outside_combinations(rows: DataFrame, columns: list[str], allowed: list[tuple]) -> DataFrame:
     """Rows whose values of some columns are together none of the combinations allowed; null equals null."""
     listed = F.lit(False)

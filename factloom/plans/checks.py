@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType
 
 from factloom.functions import scalars as S
-from factloom.functions.ids import normal_id
+from factloom.functions.ids import closed_interval, day_number, normal_id, real_date
 from factloom.operators import conflicts, folds, integrity, versions
 from factloom.operators.diffing import text_differences
-from factloom.operators.findings import report
+from factloom.operators.findings import collect_findings, finding, report
 from factloom.plans.records import MONITOR, _edges, _id_findings, _runs
 from factloom.sources import manifest as M
 from factloom.sources.parsers import parsed
@@ -141,6 +141,79 @@ def text_diff_append(spark: SparkSession, d: str) -> DataFrame:
     return text_differences(docs).select(F.col("diff_id").cast("long").alias("doc_id"), "tag", "from_start_line", "from_end_line", "to_start_line", "to_end_line", "removed_text", "added_text")
 
 
+# Declared against derived.
+
+
+def superseded_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Links that superseded_by declares against those that supersedes gives, within a package."""
+    r = table(spark, d, "legal_rules").select(F.col("package_id").alias("graph"), normal_id(F.col("rule_id")).alias("rule"), "supersedes", normal_id(F.col("superseded_by")).alias("by"))
+    declared = r.select("graph", F.col("rule").alias("older"), F.col("by").alias("newer")).dropna().distinct()
+    derived = r.select("graph", "rule", F.explode("supersedes").alias("x")).select("graph", normal_id(F.col("x")).alias("older"), F.col("rule").alias("newer")).dropna().distinct()
+    return integrity.list_differences(declared, derived)
+
+
+def selection_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of what a selection declares: whether its candidates ascend without repetition, its status is that of their number, and
+    each covers the event's day; the first that does not hold."""
+    c = F.coalesce("candidates", F.array())
+    ids = F.transform(c, lambda x: x["version_id"])
+    day = day_number(real_date(F.col("event_date")))
+    span = lambda x: closed_interval(x["effective_from_candidate"], x["effective_to_candidate"])
+    covered = F.forall(c, lambda x: F.coalesce((span(x)["first"] <= day) & (day <= span(x)["last"]), F.lit(False)))
+    s = table(spark, d, "historical_selection").where(F.col("candidates").isNotNull())
+    rules = [("CANDIDATES_NOT_SORTED", ~S.is_sorted(ids, unique=True)), ("STATUS_MISMATCH", ~F.col("selection_status").eqNullSafe(S.candidate_status(F.size("candidates")))), ("EVENT_NOT_COVERED", ~covered), ("VALID", F.lit(True))]
+    return integrity.first_violation(s, rules).groupBy("code").agg(F.count(F.lit(1)).alias("selections"))
+
+
+def raw_file_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One finding a listed file, whichever of its fields is wrong first."""
+    r = table(spark, d, "raw_files")
+    suffix = F.lower(F.regexp_extract("relative_path", r"[^/](\.[^./]+)\z", 1))
+    rules = [
+        ("PATH_UNSAFE", ~S.is_portable_path(F.col("relative_path"))),
+        ("RAW_ID_INVALID", ~F.coalesce(F.col("raw_id").rlike(r"^RAW-[0-9a-f]{64}\z"), F.lit(False))),
+        ("HASH_INVALID", ~S.is_sha256(F.col("content_sha256"))),
+        ("EXTENSION_MISMATCH", ~F.col("extension").eqNullSafe(suffix)),
+        ("MEDIA_FLAG_MISMATCH", F.col("extension_media_type_mismatch") != M.extension_mismatch(F.col("extension"), F.col("detected_media_type"))),
+    ]
+    return integrity.first_violation(r, rules).select("snapshot_no", "package_id", "raw_id", "idx", "code").distinct()
+
+
+def object_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Contents of the listings and where a store keeps them."""
+    r = table(spark, d, "raw_files").where(S.is_sha256(F.col("content_sha256")))
+    return r.groupBy(F.lower("content_sha256").alias("content_sha256")).agg(F.count(F.lit(1)).alias("files")).withColumn("object_path", S.object_path(F.col("content_sha256")))
+
+
+def fact_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three findings a fact, each rule by itself."""
+    f = table(spark, d, "facts")
+    path = F.format_string("facts[%d]", F.col("idx"))
+    named = F.coalesce(F.size(F.filter("evidence_ids", lambda x: normal_id(x).isNotNull())), F.lit(0))
+    rules = [
+        ("FACT_STATUS_NOT_ALLOWED", ~F.coalesce(F.col("status").isin("USER_ASSERTED", "DISPUTED"), F.lit(False))),
+        ("FACT_EVIDENCE_MISSING", (F.col("status") == "EVIDENCE_LINKED") & (named == 0)),
+        ("FACT_SUMMARY_MISSING", F.coalesce(F.trim("summary"), F.lit("")) == ""),
+    ]
+    found = collect_findings(*[finding(f, when, record_id=F.col("package_id"), code=code, path=path) for code, when in rules])
+    return found.groupBy("record_id", "code", "path").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def freshness_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Observations that are missing or not later than their baseline, the preceding delivery of the file."""
+    r = table(spark, d, "raw_files").where(F.col("raw_id").isNotNull()).groupBy("raw_id", "snapshot_no").agg(F.max(F.struct("delivered_at", F.lower("content_sha256").alias("h"))).alias("r"))
+    r = r.withColumn("base", F.lag("r.delivered_at").over(W.partitionBy("raw_id").orderBy("snapshot_no"))).where(F.col("base").isNotNull())
+    rules = [("OBSERVATION_MISSING", F.col("r.h").isNull()), ("OBSERVATION_NOT_LATER", F.col("r.delivered_at") <= F.col("base"))]
+    return integrity.first_violation(r, rules).select("raw_id", "snapshot_no", "code")
+
+
+def check_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of a day that name a user no customer stands for, or the same user twice."""
+    e = table(spark, d, "events").where(F.col("event_type") == "error").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
+    known = table(spark, d, "customer").where(F.col("c_acctbal") > 0).select(F.col("c_custkey").alias("user_id"))
+    return integrity.key_errors(e, known, "user_id", ["day"], unknown="LEGAL_MONITOR_CHECK_SOURCE_UNKNOWN", duplicate="LEGAL_MONITOR_CHECK_DUPLICATE")
+
+
 # Files of every format, made of table rows.
 
 
@@ -215,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         typed_graph_cycle, typed_edge_checks, media_mismatch, file_relationships, file_times, monitor_by_source, monitor_alert_ids, candidate_matrix, exact_anchor_text, predecessor_check,
-        allowlist_purposes, conflict_limit, report_exit_codes, text_diff_append, docx_anchors, xlsx_anchors, eml_anchors, zip_anchors,
+        allowlist_purposes, conflict_limit, report_exit_codes, text_diff_append, superseded_differences, selection_checks, raw_file_checks, object_paths, fact_findings, freshness_checks, check_errors, docx_anchors, xlsx_anchors, eml_anchors, zip_anchors,
     )
 }
 from factloom.plans.checks_sql import SQL  # noqa: E402, F401

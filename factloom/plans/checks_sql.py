@@ -1,6 +1,6 @@
 """The same results as plans.checks in SQL."""
 
-from factloom.plans.domain_sql import _id
+from factloom.plans.domain_sql import _date, _id
 from factloom.plans.records_sql import _EDGES, _IDS, _RUNS
 
 _TYPED = f"""
@@ -76,6 +76,33 @@ select 'FACT_ANALYSIS_CONFLICT_LIMIT_EXCEEDED' as code, n as conflicts from (
 with l as (select doc_id, strlen(text) + 17 > 1048576 as large, len(string_split_regex(text || chr(10), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')) - 1 as n from documents)
 select doc_id, case when large then 'REFUSED' else 'INSERT' end as tag, case when large then 0 else n end::int as from_start_line, case when large then 0 else n end::int as from_end_line, case when large then 0 else n end::int as to_start_line,
   case when large then 0 else n + 1 end::int as to_end_line, '' as removed_text, case when large then '' else 'END OF THE TEXT' || chr(10) end as added_text from l""",
+    "superseded_differences": f"""
+with r as (select package_id as graph, {_id('rule_id')} as rule, supersedes, {_id('superseded_by')} as by_ from legal_rules),
+a as (select distinct graph, rule as older, by_ as newer from r where graph is not null and rule is not null and by_ is not null),
+b as (select distinct * from (select graph, {_id('x')} as older, rule as newer from (select graph, rule, unnest(supersedes) as x from r)) where graph is not null and older is not null and newer is not null)
+select *, 'ONLY_DECLARED' as code, 1::bigint as rows from (select * from a except select * from b) union all select *, 'ONLY_DERIVED', 1 from (select * from b except select * from a)""",
+    "selection_checks": f"""
+with s as (select selection_id, {_date('event_date')} as d, selection_status, candidates, list_transform(candidates, lambda c: c.version_id) as ids from historical_selection where candidates is not null),
+v as (select *, list_bool_and(list_transform(candidates, lambda c: coalesce(regexp_full_match(c.effective_from_candidate, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(c.effective_from_candidate as date) <= d
+  and case when c.effective_to_candidate is null then true else regexp_full_match(c.effective_to_candidate, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and d <= try_cast(c.effective_to_candidate as date) and try_cast(c.effective_from_candidate as date) <= try_cast(c.effective_to_candidate as date) end, false))) as ok from s)
+select code, count(*) as selections from (select case when ids is distinct from list_sort(list_distinct(ids)) then 'CANDIDATES_NOT_SORTED'
+  when selection_status is distinct from case len(candidates) when 0 then 'NO_CANDIDATE' when 1 then 'UNIQUE_CANDIDATE' else 'MULTIPLE_CANDIDATES' end then 'STATUS_MISMATCH' when not coalesce(ok, true) then 'EVENT_NOT_COVERED' else 'VALID' end as code from v) where code is not null group by all""",
+    "raw_file_checks": f"""
+select distinct snapshot_no, package_id, raw_id, idx, code from (select *, case when not coalesce(relative_path <> '' and not contains(relative_path, chr(92)) and relative_path not like '/%' and not list_contains(string_split(relative_path, '/'), '..') and not regexp_full_match(relative_path, '[./]*'), false) then 'PATH_UNSAFE'
+  when not coalesce(regexp_full_match(raw_id, 'RAW-[0-9a-f]{{64}}'), false) then 'RAW_ID_INVALID' when not coalesce(regexp_full_match(lower(content_sha256), '[0-9a-f]{{64}}'), false) then 'HASH_INVALID'
+  when extension is distinct from lower(regexp_extract(relative_path, '[^/](\\.[^./]+)$', 1)) then 'EXTENSION_MISMATCH' when extension_media_type_mismatch <> coalesce({_PROMISED} <> detected_media_type, false) then 'MEDIA_FLAG_MISMATCH' end as code from raw_files) where code is not null""",
+    "object_paths": "select lower(content_sha256) as content_sha256, count(*) as files, 'objects/' || substr(lower(content_sha256), 1, 2) || '/' || lower(content_sha256) || '.bin' as object_path from raw_files where regexp_full_match(lower(content_sha256), '[0-9a-f]{64}') group by 1, 3",
+    "fact_findings": f"""
+select record_id, code, path, count(*) as rows from (
+  select package_id as record_id, 'facts[' || idx || ']' as path, unnest(list_filter([case when status is null or status not in ('USER_ASSERTED', 'DISPUTED') then 'FACT_STATUS_NOT_ALLOWED' end,
+    case when status = 'EVIDENCE_LINKED' and coalesce(len(list_filter(evidence_ids, lambda x: {_id('x')} is not null)), 0) = 0 then 'FACT_EVIDENCE_MISSING' end, case when coalesce(trim(summary), '') = '' then 'FACT_SUMMARY_MISSING' end], lambda x: x is not null)) as code from facts) group by all""",
+    "freshness_checks": """
+with r as (select raw_id, snapshot_no, lower(content_sha256) as h, delivered_at as t from raw_files where raw_id is not null qualify row_number() over (partition by raw_id, snapshot_no order by delivered_at desc, lower(content_sha256) desc) = 1),
+l as (select *, lag(t) over (partition by raw_id order by snapshot_no) as base from r)
+select raw_id, snapshot_no, case when h is null then 'OBSERVATION_MISSING' else 'OBSERVATION_NOT_LATER' end as code from l where base is not null and (h is null or t <= base)""",
+    "check_errors": """
+with e as (select strftime(ts, '%Y-%m-%d') as day, user_id, count(*) as n from events where event_type = 'error' group by all), k as (select distinct c_custkey from customer where c_acctbal > 0)
+select day, user_id, case when c_custkey is null then 'LEGAL_MONITOR_CHECK_SOURCE_UNKNOWN' else 'LEGAL_MONITOR_CHECK_DUPLICATE' end as code from e left join k on c_custkey = user_id where c_custkey is null or n > 1""",
     "docx_anchors": " union all ".join(_HEAD.format("s_suppkey", "supplier", "DOCX", "'DOCX_PARAGRAPH'", f"'word/document.xml#paragraph:{k}'", t, "", "supplier") for k, t in ((1, "s_name || ' <&> ' || s_nationkey"), (2, "''"), (3, "'余额 ' || s_suppkey"))),
     "xlsx_anchors": " union all ".join(_HEAD.format("c_custkey", "customer", "XLSX", "'XLSX_CELL'", f"'sheet:S!{c}1'", t, "SPREADSHEET_FORMULA_PRESENT_NOT_EVALUATED", "customer") for c, t in (("A", "c_name"), ("B", "c_mktsegment"), ("Z", "'=A1'"))),
     "eml_anchors": " union all ".join(

@@ -99,6 +99,18 @@ def store_objects(rows: DataFrame, target: str) -> None:
     fresh.select("content_sha256", "content", F.substring("content_sha256", 1, 2).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(target)
 
 
+def freeze(records: DataFrame, target: str, key: str = "fetch_id") -> None:
+    """Appends records to a table once each by their key, so a repeated call changes nothing; of several with one key the least
+    is kept. Records without a key are not kept."""
+    spark = records.sparkSession
+    once = records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*records.columns)).alias("_row"))
+    fresh = once.select("_row.*")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
+    fresh.write.mode("append").parquet(target)
+
+
 def store_differences(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """(content_sha256, code): contents listed but not stored, stored but not listed, or stored with another hash."""
     listed = rows.select("content_sha256", F.lit(True).alias("listed")).where(F.col("content_sha256").isNotNull()).distinct()

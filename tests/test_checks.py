@@ -78,6 +78,25 @@ def test_combinations_predecessors_and_limits(spark):
     assert conflicts.conflict_refusal(classes, most=22_500).count() == 0 and conflicts.conflict_refusal(classes.limit(0)).count() == 0
 
 
+def test_lists_keys_and_first_violations(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("y", None), ("z", 2)], "k string, v int")
+    b = spark.createDataFrame([("x", 1), ("y", None), ("w", 3)], "k string, v int")
+    assert {tuple(r) for r in integrity.list_differences(a, b).collect()} == {("x", 1, "ONLY_DECLARED", 1), ("z", 2, "ONLY_DECLARED", 1), ("w", 3, "ONLY_DERIVED", 1)}
+    assert integrity.list_differences(a.limit(0), b.limit(0)).count() == 0
+    found = integrity.first_violation(a, [("ONE", F.col("v") == 1), ("NOT_Y", F.col("k") != "y")])
+    assert sorted((r.k, r.code) for r in found.collect()) == [("x", "ONE"), ("x", "ONE"), ("z", "NOT_Y")]
+    errors = integrity.key_errors(a, b.where("k != 'y'"), "k", [], unknown="U", duplicate="D")
+    assert {tuple(r) for r in errors.collect()} == {("x", "D"), ("y", "U"), ("z", "U")}
+
+
+def test_freeze_is_idempotent(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("b", 2, "x"), (None, 3, "y")], "fetch_id string, n int, t string")
+    for _ in range(2):
+        M.freeze(rows, str(tmp_path / "s"))
+    M.freeze(spark.createDataFrame([("c", 4, None), ("b", 9, "z")], rows.schema), str(tmp_path / "s"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).collect())) == [("a", 1, None), ("b", 2, "x"), ("c", 4, None)]
+
+
 def test_purposes(spark):
     registry = spark.createDataFrame([("P", "h.test", ["RULE"])], "publisher string, host string, permitted_purposes array<string>")
     rows = spark.createDataFrame([(1, "P", "https://h.test/a", "RULE"), (2, "P", "https://h.test/a", "CASE"), (3, "Q", "https://h.test", "RULE"), (4, "P", "https://x.test", "RULE"), (5, "P", None, None)], "i int, publisher string, url string, purpose string")
