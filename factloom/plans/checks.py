@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType
 
 from factloom.functions import scalars as S
+from factloom.functions.canonical import jcs, json_snapshot
 from factloom.functions.ids import closed_interval, day_number, normal_id, real_date
 from factloom.operators import conflicts, folds, integrity, versions
 from factloom.operators.diffing import text_differences
@@ -284,11 +285,30 @@ def zip_anchors(spark: SparkSession, d: str) -> DataFrame:
     return _anchors(c, "customer")
 
 
+def csv_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with quotes, separators, line ends and empty cells, two to a file."""
+    quoted = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('""\nx"'))
+    line = F.concat_ws(",", quoted, F.lit(""), F.col("c_nationkey").cast("string"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("customer"), F.lit("e.csv").alias("name"), F.encode(F.concat(F.lit("\ufeff"), line, F.lit("\r\n"), line, F.lit("\n")), "UTF-8").alias("content"))
+    return _anchors(c, "customer")
+
+
+# JSON.
+
+
+def jcs_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Nested objects with unordered keys, numbers of several sizes, nulls and escapes, and the hash of their canonical form."""
+    price = F.col("o_totalprice").cast("double")
+    inner = F.struct(F.col("o_orderstatus").alias("s\t\"q"), F.lit(None).cast("string").alias("none"), F.array(price / 1000, price * 1e6).alias("é"))
+    text = F.to_json(F.struct(price.alias("total"), inner.alias("inner"), F.col("o_orderkey").alias("Key"), (F.col("o_orderkey") % 2 == 0).alias("even")), {"ignoreNullFields": "false"})
+    return table(spark, d, "orders").select("o_orderkey", jcs(text).alias("canonical"), json_snapshot(text).alias("snapshot"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         typed_graph_cycle, typed_edge_checks, media_mismatch, file_relationships, file_times, monitor_by_source, monitor_alert_ids, candidate_matrix, exact_anchor_text, predecessor_check,
-        allowlist_purposes, conflict_limit, report_exit_codes, text_diff_append, superseded_differences, selection_checks, raw_file_checks, object_paths, fact_findings, freshness_checks, check_errors, docx_anchors, xlsx_anchors, eml_anchors, zip_anchors,
+        allowlist_purposes, conflict_limit, report_exit_codes, text_diff_append, superseded_differences, selection_checks, raw_file_checks, object_paths, fact_findings, freshness_checks, check_errors, docx_anchors, xlsx_anchors, eml_anchors, zip_anchors, csv_anchors, jcs_orders,
     )
 }
 from factloom.plans.checks_sql import SQL  # noqa: E402, F401

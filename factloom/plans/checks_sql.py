@@ -25,6 +25,12 @@ bysource as (select key, run_at, execution, technical, next_due::bigint as next_
 _HOST = r"lower(regexp_extract(source_url, '^https://([^/?#@:\s]+)(:443)?([/?][^#]*)?$', 1))"
 _HEAD = "select {0}::bigint as {1}, '{2}' as detected_format, {3} as kind, {4} as coordinate, {5} as text, '{6}' as warnings from {7}"
 
+
+def _number(x: str) -> str:
+    """A double as text without an exponent or a needless fraction; for values between 1e-6 and 1e21."""
+    return f"regexp_replace(case when ({x})::double >= 1e15 then ({x})::double::decimal(38,0)::varchar else ({x})::double::varchar end, '\\.0$', '')"
+
+
 SQL = {
     "typed_graph_cycle": f"""
 with recursive {_TYPED}, a as (select distinct g, s, t from typed where kind = 'SUPERSEDES'), reach as (select g, s, t from a union select r.g, r.s, a.t from reach r join a on a.g = r.g and a.s = r.t),
@@ -110,4 +116,11 @@ select day, user_id, case when c_custkey is null then 'LEGAL_MONITOR_CHECK_SOURC
         for k, c, t in (("EMAIL_HEADER", "header:subject", "s_name"), ("EMAIL_HEADER", "header:from", "'a@example.test'"), ("EMAIL_TEXT_LINE", "part:1:line:1", "'Nation ' || s_nationkey"), ("EMAIL_TEXT_LINE", "part:1:line:2", "'End'"))
     ),
     "zip_anchors": " union all ".join(_HEAD.format("c_custkey", "customer", "ZIP", "'ARCHIVE_ENTRY'", f"'entry:{k}'", f"list_sort([c_mktsegment || '/x.txt', c_name || '.md'])[{k}]", "ARCHIVE_CONTENT_NOT_RECURSIVELY_PARSED", "customer") for k in (1, 2)),
+    "csv_anchors": " union all ".join(
+        _HEAD.format("c_custkey", "customer", "CSV", "'CSV_CELL'", f"'R{r}C{c}'", t, "", "customer") for r in (1, 2) for c, t in ((1, "c_name || ', \"' || c_mktsegment || '\"' || chr(10) || 'x'"), (2, "''"), (3, "c_nationkey::varchar"))
+    ),
+    "jcs_orders": f"""
+with n as (select o_orderkey, o_orderstatus, {_number('o_totalprice')} as total, {_number('o_totalprice / 1000')} as small, {_number('o_totalprice * 1e6')} as large from orders),
+c as (select o_orderkey, '{{"Key":' || o_orderkey || ',"even":' || (o_orderkey % 2 = 0)::varchar || ',"inner":{{"none":null,"s\\t\\"q":"' || o_orderstatus || '","é":[' || small || ',' || large || ']}},"total":' || total || '}}' as canonical from n)
+select o_orderkey, canonical, sha256(canonical) as snapshot from c""",
 }
