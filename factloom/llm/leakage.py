@@ -127,15 +127,16 @@ class SuffixArray:
             open_ = open_[low[open_] < high[open_]]
         return low
 
-    def search(self, code: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    def search(self, code: np.ndarray, starts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Every suffix of ``code`` sought by binary search, to each depth in turn as long as the shard has it.
 
         Gives for each depth (low, high), where the suffixes with the same letters up to it lie in the order (low = high: none);
-        where each suffix would stand in the order; and for each depth which suffixes the shard has, with their values.
+        where each suffix would stand in the order; and for each depth which suffixes the shard has, with their values. starts:
+        the distinct first four letters of the suffixes, in order, and which of them each has; they are sought once each.
         """
-        key, bounds, values = _key4(code), {}, []
-        live = np.arange(len(code))
-        low, high = np.searchsorted(self.first, key, "left"), np.searchsorted(self.first, key, "right")
+        key, which = starts or np.unique(_key4(code), return_inverse=True)
+        bounds, values, live = {}, [], np.arange(len(code))
+        low, high = np.searchsorted(self.first, key, "left")[which], np.searchsorted(self.first, key, "right")[which]
         value = np.empty(len(code), np.uint32)
         for k, depth in enumerate(self.depths):
             if k:
@@ -189,6 +190,7 @@ class Items:
         self.size = np.bincount(self.number[self.code > 0], minlength=len(texts))
         dense = np.bincount(self.number[self.code > 0], UNSPACED[self.code[self.code > 0]], minlength=len(texts))
         self.depth = np.where(dense * 2 > self.size, SHORT, LONG)
+        self.starts = np.unique(_key4(self.code), return_inverse=True)
         # A suffix that runs past the end of its item would compare beyond it.
         last = np.flatnonzero(self.code == 0)
         self.left = last[self.number] - np.arange(len(self.code))
@@ -279,7 +281,7 @@ class _Shard:
         self.items = items
         code, self.number, self.place = letters(texts)
         self.array = SuffixArray(code)
-        self.bounds, self.stand, self.values = self.array.search(items.code)
+        self.bounds, self.stand, self.values = self.array.search(items.code, items.starts)
         # Suffixes of one document in their order: those of an interval of the order that lie in it are a run here.
         order = self.array.order
         self.n = np.int64(len(order))

@@ -14,18 +14,22 @@ HAN = "㐀-鿿"
 #: Single family names, without those that are mostly ordinary words.
 SURNAMES = (
     "王李张刘陈杨赵黄吴徐孙胡朱郭何罗梁宋郑谢韩唐冯邓曹彭曾肖田董潘袁蔡蒋余杜叶程魏苏吕丁任卢姚沈姜崔谭陆范汪廖贾韦傅邹孟熊秦邱侯尹薛闫雷龙黎史陶贺毛郝顾龚邵覃武钱戴严莫孔汤"
-    "邬阮佟戚滕苗柏裘郁卞惠糜岑鲍蔺俞柳葛奚郎鲁昌凤酆费廉倪殷毕邬卜穆萧祁禹狄臧伏茅庞纪舒屈项祝阙蓝闵季麻娄梅盛刁钟骆樊凌霍虞柯昝管缪应宗宣贲嵇邢滑裴荣翁荀羊於甄曲封芮羿储靳汲邴松井段富巫乌焦巴弓牧隗山谷车宓蓬"
+    "邬阮佟戚滕苗柏裘郁卞惠糜岑鲍蔺俞柳葛奚郎鲁昌凤酆费廉倪殷毕邬卜穆萧祁禹狄臧伏茅庞纪舒屈项祝阙蓝闵季麻娄梅盛刁钟骆樊凌霍虞柯昝管缪应宗宣贲嵇邢滑裴荣翁荀羊於甄曲封芮羿储靳汲邴松井常段富巫乌焦巴弓牧隗山谷车宓蓬"
 )
 #: Common family names that are mostly ordinary words, the last three function words: a name only in a context, see ``_ordinary``.
 ORDINARY = "周马高林许金石夏方白江万付于向"
+#: Words that are a family name of ORDINARY with a common given name; a longer name may begin like one.
+NOT_WHOLE = set("高明 高超 高强 高雅 高洁 高山 白雪 白云 白杨 金华 金山 石英 石林 石山 林海 林山 江山 江河 江海 方正 方平 马龙 万福 万国 夏阳 周正 许康".split())
 DOUBLE_SURNAMES = "司徒 慕容 上官 欧阳 诸葛 夏侯 司马 东方 皇甫 尉迟 公孙 轩辕 令狐 宇文 长孙 鲜于 闾丘 端木 南宫 独孤 百里 呼延 田中 佐藤 鈴木 铃木 高橋 高桥 渡辺 渡边 伊藤 山本 中村 小林 加藤 吉田 山田 松本 井上 木村 清水".split()
 #: What may stand directly before a Chinese name, and directly after one.
-NAME_BEFORE = "人者长是由找到名给了与和据有叫向请问被把同跟及工员师生任理授友事夫妻子父母兄弟姐妹"
+NAME_BEFORE = "人者长是由找到名给了与和据有叫向请问被把同跟及工员师生任理授友事夫妻子父母兄弟姐妹上"
 NAME_AFTER = (
     "说 均 当天 当晚 替班 拿 名下 现住 与 和 及 把 等 并非 代为 代签 回忆 早班 晚班 同微信 是 在 的 于 向 对 称 表示 没有 认为 已 未 不 给 被 将 要 从 曾 也 还 都 先生 女士 签收 签字 到场 转 就 让 去 来 "
     "昨天 昨日 今天 今日 明天 前天 上周 本周 上月 去年 今年 目前 曾经 已经 随后 当时 因 又 报道 介绍 指出 担任 出任 接受 离开 辞职 入职 离职 来到 负责 签名 签署 提交 提出 提供 收到 承认 否认 要求 申请 请假 出庭 作证 陈述 "
-    "告诉 写道 补充 解释 同意 拒绝 教授 律师 医生 经理 主任 老师 同志 师傅 小姐 太太 さん"
+    "告诉 写道 补充 解释 同意 拒绝 教授 律师 医生 经理 主任 老师 同志 师傅 小姐 太太 さん 住 共同 一起 以及 正在 曾 便 却 没 二人 两人 三人 到达 赶到 代领 代收 代办 代理 反对 回复"
 ).split()
+#: Characters that are common in given names.
+GIVEN = set("伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂香玲红梅燕鹏飞辉建国华文博婷雪琳志永春云莲雅凤洁翠珍莉倩婉颖瑶怡丹蓉琴薇梦岚婕馨欣宁宇浩轩然子涵晨阳俊峰龙海波斌彬凯旭东亮健康祥瑞林森松柏山川江河翔威武德贵福荣庆兴旺诚信义仁礼智忠孝廉正毅晓栋栩昊昕彤琪妍佳悦欢远征从")
 #: Words that look like a family name and a given name.
 NOT_NAMES = set("时间 金额 张贴 王记 陈述 陈列 应当 应补 余款 余额 程序 任何 任务 任意 范围 范本 管理 管道 毛病 钱款 钱数 田地 何时 何人 何地 曾经 曾任 许可 叶子 雷同 龙头 严重 严格 莫名 孔洞 史料 武器 单位 封面 封存 储存 段落 车间 车贴 山路 谷袋 牧场 井口 松开 富余 曲线 项目 项下 季度 盛放 管辖 应付 宣读 宣布 荣誉 纪要 纪律 祝贺 舒适 屈服 麻绳 蓝色 梅雨 钟表 凌晨 柳树 鲁莽 费用 顾客 顾问 戴帽 汤料 唐突 姚黄 卢布 丁方 程度 叶片 徐行 胡说 朱红 郭外 罗列 罗盘 梁柱 宋体 谢谢 韩语 邓某 曹某 肖像 董事 潘某 袁某 蒋某 杜绝 魏碑 苏打 贾某 傅某 邹某 秦某 侯选".split())
 #: Words that begin with one of ORDINARY.
@@ -99,7 +103,7 @@ ADDRESS_EN = re.compile(
     re.A,
 )
 _SUR = f"(?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}{ORDINARY}])"
-NAME_ZH = re.compile(rf"(?:(?<![{HAN}0-9])|(?<=[{NAME_BEFORE}]))({_SUR})( ?)([{HAN}]{{1,2}}?)(?=$|[^{HAN}]|{'|'.join(NAME_AFTER)})")
+NAME_ZH = re.compile(rf"(?:(?<![{HAN}0-9])|(?<=[{NAME_BEFORE}])|(?<=[原被]告))({_SUR})( ?)([{HAN}]{{1,2}}?)(?=$|[^{HAN}]|{'|'.join(NAME_AFTER)})")
 #: A capitalised word, with the letters of the western European alphabets.
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _W = rf"(?:O'|Mc|Mac|D')?[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
@@ -176,7 +180,7 @@ def _ordinary(m: re.Match, text: str) -> bool:
         if given[0] in SURNAMES + ORDINARY and not label:
             return False
         return bool(label or NAME_TITLE.match(text, after))
-    return bool(label or NAME_ROLE.search(before) or NAME_VERB.match(text, after))
+    return bool(label or NAME_ROLE.search(before) or NAME_VERB.match(text, after) or all(c in GIVEN for c in given))
 
 
 def mentions(text: str) -> list[tuple[int, int, str]]:
@@ -213,7 +217,7 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     while m := NAME_ZH.search(plain, at):
         at, given = m.end(), m.group(3)
         ordinary = m.group(1) in ORDINARY
-        if m.group(1)[0] + given[:1] in NOT_NAMES or m.group(1) + given in NOT_NAMES or any(c in GIVEN_STOP for c in given) or ordinary and not _ordinary(m, plain):
+        if m.group(1)[0] + given[:1] in NOT_NAMES or m.group(1) + given in NOT_NAMES or m.group(1) + given in NOT_WHOLE or any(c in GIVEN_STOP for c in given) or ordinary and not _ordinary(m, plain):
             if ordinary:
                 # The word may stand before a name.
                 at = m.start() + 1
