@@ -96,6 +96,32 @@ def strictest(rows: DataFrame, group: list[str], decision: str, priority: list[s
     return rows.groupBy(*group).agg(F.element_at(F.array(*[F.lit(p) for p in priority]), worst.cast("int")).alias(decision))
 
 
+def unresolved(rows: DataFrame, group: list[str], decision: str, agreed: list[str]) -> DataFrame:
+    """(group, unresolved): whether any decision of a group is none of those agreed; null is none."""
+    return rows.groupBy(*group).agg(F.bool_or(~F.coalesce(F.col(decision).isin(agreed), F.lit(False))).alias("unresolved"))
+
+
+def compared_sets(left: DataFrame, right: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, common, only_left, only_right, same): how the sets of values of each group compare; null values are none. Two
+    aggregations with map-side sums; a group's values are never gathered."""
+    tagged = left.select(*group, value, F.lit(True).alias("_l"), F.lit(False).alias("_r")).unionByName(right.select(*group, value, F.lit(False).alias("_l"), F.lit(True).alias("_r")))
+    once = tagged.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
+    count = lambda c: F.count_if(c)
+    out = once.groupBy(*group).agg(count(F.col("_l") & F.col("_r")).alias("common"), count(~F.col("_r")).alias("only_left"), count(~F.col("_l")).alias("only_right"))
+    return out.withColumn("same", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def chain_breaks(rows: DataFrame, steps: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """Rows with ``code``: that of the first step of a chain of lookups that fails. A step (code, target, key) looks its key up in a
+    target, where it occurs once, and adds the target's other columns, by which later steps go on; null keys fail."""
+    out, code = rows, None
+    for i, (name, target, key) in enumerate(steps):
+        out = out.join(target.withColumn(f"_found{i}", F.lit(True)), key, "left")
+        broken = F.col(f"_found{i}").isNull()
+        code = F.when(broken, name) if code is None else code.when(broken, name)
+    return out.withColumn("code", code).where(F.col("code").isNotNull()).select(*rows.columns, "code")
+
+
 def binding_breaks(bindings: DataFrame, targets: DataFrame, key: list[str], bound: list[str]) -> DataFrame:
     """Bindings with ``code``: TARGET_MISSING where no target has the key, BINDING_MISMATCH where the target's bound fields
     differ; null equals null. A binding holds only where key and fields agree. Each target key occurs once."""

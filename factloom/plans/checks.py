@@ -215,6 +215,47 @@ def check_errors(spark: SparkSession, d: str) -> DataFrame:
     return integrity.key_errors(e, known, "user_id", ["day"], unknown="LEGAL_MONITOR_CHECK_SOURCE_UNKNOWN", duplicate="LEGAL_MONITOR_CHECK_DUPLICATE")
 
 
+def unresolved_packages(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "facts").where(F.col("package_id").isNotNull())
+    return integrity.unresolved(f, ["package_id"], "status", ["EVIDENCE_LINKED", "USER_ASSERTED"])
+
+
+def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence that a package's facts name against the evidence it has."""
+    named = table(spark, d, "facts").select("package_id", F.explode("evidence_ids").alias("x")).select("package_id", normal_id(F.col("x")).alias("id"))
+    known = table(spark, d, "evidence").select("package_id", normal_id(F.col("evidence_id")).alias("id"))
+    return integrity.compared_sets(named.where("package_id IS NOT NULL"), known.where("package_id IS NOT NULL"), ["package_id"], "id")
+
+
+def unused_evidence(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "facts").select("package_id", F.explode("evidence_ids").alias("x")).select("package_id", normal_id(F.col("x")).alias("id"))
+    known = table(spark, d, "evidence").select("package_id", normal_id(F.col("evidence_id")).alias("id")).dropna().distinct()
+    return integrity.dangling(known, used, ["package_id", "id"])
+
+
+def anchor_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates whose first anchor is not in their parse, whose anchor has no hash, or whose hash is not that of their assertion."""
+    c = table(spark, d, "fact_candidate").select("fact_candidate_id", "parse_id", F.col("anchor_ids")[0].alias("anchor_id"), F.sha2(F.encode(F.coalesce("assertion_text", F.lit("")), "UTF-8"), 256).alias("assertion")).distinct()
+    a = table(spark, d, "anchors").groupBy("parse_id", "anchor_id").agg(F.max(F.lower("text_sha256")).alias("hash"))
+    hashes = a.where(F.col("hash").isNotNull()).select("parse_id", "anchor_id", "hash")
+    bound = hashes.select("parse_id", "anchor_id", F.col("hash").alias("assertion"))
+    steps = [("ANCHOR_MISSING", a.select("parse_id", "anchor_id"), ["parse_id", "anchor_id"]), ("ANCHOR_WITHOUT_HASH", hashes, ["parse_id", "anchor_id"]), ("ASSERTION_MISMATCH", bound, ["parse_id", "anchor_id", "assertion"])]
+    return integrity.chain_breaks(c, steps).select("fact_candidate_id", "code")
+
+
+def document_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose header is wrong, by the first field that is."""
+    rules = [("LANGUAGE_MISSING", F.col("lang").isNull()), ("LENGTH_MISMATCH", ~F.col("n_chars").eqNullSafe(F.length("text").cast("long"))), ("PACKAGE_MISSING", F.col("package_id").isNull()), ("TEXT_EMPTY", F.col("text") == "")]
+    return integrity.first_violation(table(spark, d, "documents"), rules).select("doc_id", "code")
+
+
+def parse_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors and characters of each parse, and how many kinds it has; a parse of one kind is of one format."""
+    a = table(spark, d, "anchors").where(F.col("parse_id").isNotNull()).select("parse_id", "anchor_id", "kind", "text").distinct()
+    per = a.groupBy("parse_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    return per.groupBy("parse_id").agg(F.sum("n").alias("anchors"), F.sum("chars").alias("characters"), F.count(F.lit(1)).alias("kinds"))
+
+
 # Files of every format, made of table rows.
 
 
@@ -308,7 +349,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         typed_graph_cycle, typed_edge_checks, media_mismatch, file_relationships, file_times, monitor_by_source, monitor_alert_ids, candidate_matrix, exact_anchor_text, predecessor_check,
-        allowlist_purposes, conflict_limit, report_exit_codes, text_diff_append, superseded_differences, selection_checks, raw_file_checks, object_paths, fact_findings, freshness_checks, check_errors, docx_anchors, xlsx_anchors, eml_anchors, zip_anchors, csv_anchors, jcs_orders,
+        allowlist_purposes, conflict_limit, report_exit_codes, text_diff_append, superseded_differences, selection_checks, raw_file_checks, object_paths, fact_findings, freshness_checks, check_errors, unresolved_packages, evidence_coverage, unused_evidence, anchor_chain, document_headers, parse_counts, docx_anchors, xlsx_anchors, eml_anchors, zip_anchors, csv_anchors, jcs_orders,
     )
 }
 from factloom.plans.checks_sql import SQL  # noqa: E402, F401

@@ -109,6 +109,19 @@ select raw_id, snapshot_no, case when h is null then 'OBSERVATION_MISSING' else
     "check_errors": """
 with e as (select strftime(ts, '%Y-%m-%d') as day, user_id, count(*) as n from events where event_type = 'error' group by all), k as (select distinct c_custkey from customer where c_acctbal > 0)
 select day, user_id, case when c_custkey is null then 'LEGAL_MONITOR_CHECK_SOURCE_UNKNOWN' else 'LEGAL_MONITOR_CHECK_DUPLICATE' end as code from e left join k on c_custkey = user_id where c_custkey is null or n > 1""",
+    "unresolved_packages": "select package_id, bool_or(coalesce(status not in ('EVIDENCE_LINKED', 'USER_ASSERTED'), true)) as unresolved from facts where package_id is not null group by all",
+    "evidence_coverage": f"""
+with n as (select distinct package_id, {_id('x')} as id from (select package_id, unnest(evidence_ids) as x from facts)), k as (select distinct package_id, {_id('evidence_id')} as id from evidence),
+j as (select coalesce(n.package_id, k.package_id) as package_id, n.id as l, k.id as r from (select * from n where id is not null and package_id is not null) n full join (select * from k where id is not null and package_id is not null) k on n.package_id = k.package_id and n.id = k.id)
+select package_id, count(*) filter (where l is not null and r is not null) as common, count(*) filter (where r is null) as only_left, count(*) filter (where l is null) as only_right, bool_and(l is not null and r is not null) as same from j group by all""",
+    "unused_evidence": f"""
+with n as (select distinct package_id, {_id('x')} as id from (select package_id, unnest(evidence_ids) as x from facts)), k as (select distinct package_id, {_id('evidence_id')} as id from evidence)
+select * from k where package_id is not null and id is not null and not exists (select 1 from n where n.package_id = k.package_id and n.id = k.id)""",
+    "anchor_chain": """
+with c as (select distinct fact_candidate_id, parse_id, anchor_ids[1] as anchor_id, sha256(coalesce(assertion_text, '')) as h from fact_candidate), a as (select parse_id, anchor_id, max(lower(text_sha256)) as h from anchors group by all)
+select fact_candidate_id, code from (select c.fact_candidate_id, case when a.anchor_id is null then 'ANCHOR_MISSING' when a.h is null then 'ANCHOR_WITHOUT_HASH' when a.h <> c.h then 'ASSERTION_MISMATCH' end as code from c left join a on a.parse_id = c.parse_id and a.anchor_id = c.anchor_id) where code is not null""",
+    "document_headers": "select doc_id, code from (select doc_id, case when lang is null then 'LANGUAGE_MISSING' when n_chars is distinct from length(text) then 'LENGTH_MISMATCH' when package_id is null then 'PACKAGE_MISSING' when text = '' then 'TEXT_EMPTY' end as code from documents) where code is not null",
+    "parse_counts": "select parse_id, count(*) as anchors, sum(coalesce(length(text), 0))::bigint as characters, count(distinct kind) as kinds from (select distinct parse_id, anchor_id, kind, text from anchors where parse_id is not null) group by all",
     "docx_anchors": " union all ".join(_HEAD.format("s_suppkey", "supplier", "DOCX", "'DOCX_PARAGRAPH'", f"'word/document.xml#paragraph:{k}'", t, "", "supplier") for k, t in ((1, "s_name || ' <&> ' || s_nationkey"), (2, "''"), (3, "'余额 ' || s_suppkey"))),
     "xlsx_anchors": " union all ".join(_HEAD.format("c_custkey", "customer", "XLSX", "'XLSX_CELL'", f"'sheet:S!{c}1'", t, "SPREADSHEET_FORMULA_PRESENT_NOT_EVALUATED", "customer") for c, t in (("A", "c_name"), ("B", "c_mktsegment"), ("Z", "'=A1'"))),
     "eml_anchors": " union all ".join(

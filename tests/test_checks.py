@@ -89,6 +89,18 @@ def test_lists_keys_and_first_violations(spark):
     assert {tuple(r) for r in errors.collect()} == {("x", "D"), ("y", "U"), ("z", "U")}
 
 
+def test_sets_chains_and_unresolved(spark):
+    a = spark.createDataFrame([("g", 1), ("g", 1), ("g", None), ("h", 2)], "g string, v int")
+    b = spark.createDataFrame([("g", 1), ("h", 3), ("i", 4)], "g string, v int")
+    assert {tuple(r) for r in integrity.compared_sets(a, b, ["g"], "v").collect()} == {("g", 1, 0, 0, True), ("h", 0, 1, 1, False), ("i", 0, 0, 1, False)}
+    assert {tuple(r) for r in integrity.unresolved(a, ["g"], "v", [1]).collect()} == {("g", True), ("h", True)}
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "i int, k string")
+    first = spark.createDataFrame([("x", 10), ("y", 20)], "k string, n int")
+    second = spark.createDataFrame([(10,)], "n int")
+    assert {(r.i, r.code) for r in integrity.chain_breaks(rows, [("A", first, ["k"]), ("B", second, ["n"])]).collect()} == {(2, "B"), (3, "A"), (4, "A")}
+    assert integrity.chain_breaks(rows.limit(0), [("A", first, ["k"])]).count() == 0
+
+
 def test_freeze_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("b", 2, "x"), (None, 3, "y")], "fetch_id string, n int, t string")
     for _ in range(2):
