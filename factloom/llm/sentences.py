@@ -234,7 +234,10 @@ def _item(text: str, start: int, levels: list[tuple[str, int]]) -> int:
     first = [k for k in kinds if k[1] == 1]
     if not first and not m["number"] and start and text[start - 1] not in LINE_ENDS:
         return start
-    levels.append((first or kinds)[0])
+    new = (first or kinds)[0]
+    # Another list of the same kind takes the place of the one before, so the stack holds each kind once.
+    at = next((k for k, (kind, _) in enumerate(levels) if kind == new[0]), len(levels))
+    levels[at:] = [new]
     return m.end()
 
 

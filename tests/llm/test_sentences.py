@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from factloom.llm.sentences import sentence_spans, sentences
@@ -66,6 +67,12 @@ def test_lists_and_scripts(marked):
     assert [text[a:b] for a, b in sentences(text)] == parts
 
 
+def test_linear_in_lists_that_never_go_on():
+    text = "7. One more item here.\n" * 60_000 + "1.1.1. Deep.\n" * 20_000
+    began = time.perf_counter()
+    assert len(sentences(text)) == 80_000 and time.perf_counter() - began < 20
+
+
 def test_every_character_once():
     rnd = random.Random(9)
     marks = "ab A.。！?…“”「」()（）\"\n\r 　ก 3,，:«»’1i)"
