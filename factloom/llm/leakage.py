@@ -231,21 +231,22 @@ def _supported(run: int, p: np.ndarray, diagonal: np.ndarray, length: np.ndarray
     return near[which] >= 2 * run
 
 
-def passages(run: int, q: np.ndarray, p: np.ndarray, length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The stretches (q, p, length) of an item and a document by passage, given all maximal ones of at least ``run`` letters.
+def passages(run: int, q: np.ndarray, p: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(q, p, length, head): an item's and a document's stretches that count, by passage, given all maximal ones of at least ``run``
+    letters; head: where each passage begins.
 
     q, p, length: where a stretch begins in item and document. One of 2 * run letters counts by itself, a shorter one among
     others in the same order. A passage of the document is where such stretches lie at most 4 * run letters apart.
     """
-    long = _supported(run, p, p - q, length)
-    q, p, length = q[long], p[long], length[long]
-    if not len(p):
-        return []
+    if len(p):
+        long = _supported(run, p, p - q, length)
+        q, p, length = q[long], p[long], length[long]
     order = np.argsort(p, kind="stable")
     q, p, length = q[order], p[order], length[order]
+    if not len(p):
+        return q, p, length, order
     reach = np.maximum.accumulate(p + length)
-    head = np.flatnonzero(np.concatenate(([True], p[1:] > reach[:-1] + 4 * run)))
-    return [(q[lo:hi], p[lo:hi], length[lo:hi]) for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(p)])]
+    return q, p, length, np.flatnonzero(np.concatenate(([True], p[1:] > reach[:-1] + 4 * run)))
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,21 +257,58 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[head], b[np.append(head[1:], len(a)) - 1] - a[head]
 
 
-def _inside(union: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> int:
-    """How many letters of disjoint stretches lie in [lo, hi)."""
-    a, n = union
-    return int(np.maximum(np.minimum(a + n, hi) - np.maximum(a, lo), 0).sum())
+class _Contest:
+    """The items of one document, given the letters of the document that each covers, as disjoint stretches."""
+
+    def __init__(self, unions: list[tuple[np.ndarray, np.ndarray]]):
+        begin, length = (np.concatenate(x) for x in zip(*unions))
+        owner = np.repeat(np.arange(len(unions)), [len(u[0]) for u in unions])
+        order = np.argsort(begin, kind="stable")
+        self.begin, self.end, self.owner = begin[order], (begin + length)[order], owner[order]
+        self.reach = np.maximum.accumulate(self.end)
+
+    def won(self, item: int, lo: int, hi: int) -> bool:
+        """Whether no other item covers more of [lo, hi). Only what overlaps it is looked at."""
+        near = slice(np.searchsorted(self.reach, lo, "right"), np.searchsorted(self.begin, hi, "left"))
+        n = np.maximum(np.minimum(self.end[near], hi) - np.maximum(self.begin[near], lo), 0)
+        items, which = np.unique(self.owner[near], return_inverse=True)
+        covers = np.bincount(which, n)
+        return covers[np.searchsorted(items, item)] == covers.max()
 
 
-def held(size: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Which of an item's letters a document holds in some passages: those in their stretches, and those changed between two
-    neighbouring stretches where both texts have at most SLACK letters, or the document SLACK more."""
-    out = np.zeros(size, bool)
-    for q, p, length in parts:
-        end, after = (q + length)[:-1], (p + length)[:-1]
-        gap, there = q[1:] - end, p[1:] - after
-        near = (gap > 0) & (gap <= SLACK) & (there >= 0) & (there <= gap + SLACK)
-        out |= _covered(size, np.append(q, end[near]), np.append(q + length, q[1:][near]))
+def _changed(q: np.ndarray, p: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What was changed between neighbouring stretches of a passage: the item's letters [a, b) where both texts have at most SLACK
+    letters, or the document SLACK more."""
+    end, after = (q + length)[:-1], (p + length)[:-1]
+    gap, there = q[1:] - end, p[1:] - after
+    near = (gap > 0) & (gap <= SLACK) & (there >= 0) & (there <= gap + SLACK)
+    return end[near], q[1:][near]
+
+
+def held(size: int, item: int, found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], contest: _Contest) -> np.ndarray:
+    """Which of an item's letters a document holds: those in the stretches of its passages, and those changed between two of them. A
+    passage of which another item covers more does not count.
+
+    Of passages that hold the same letters one is enough, so a phrase that stands in very many places is looked at until one of
+    them counts; the longest passages come first, and those that could add nothing are left out.
+    """
+    q, p, length, head = found
+    tail, out = np.append(head[1:], len(q)), np.zeros(size, bool)
+    first, last, total = np.minimum.reduceat(q, head), np.maximum.reduceat(q + length, head), np.add.reduceat(length, head)
+    lo, hi = p[head], np.maximum.reduceat(p + length, head)
+    shape = np.add.reduceat((p - np.repeat(lo, tail - head)) * (length + 1) + q * length, head)
+    kinds, which = np.unique(np.stack((-total, first, last, shape)), axis=1, return_inverse=True)
+    places = np.argsort(which, kind="stable")
+    begins = np.searchsorted(which[places], np.arange(kinds.shape[1] + 1))
+    for k in range(kinds.shape[1]):
+        if out[kinds[1, k] : kinds[2, k]].all():
+            continue
+        for at in places[begins[k] : begins[k + 1]].tolist():
+            if contest.won(item, int(lo[at]), int(hi[at])):
+                part = slice(head[at], tail[at])
+                a, b = _changed(q[part], p[part], length[part])
+                out |= _covered(size, np.append(q[part], a), np.append((q + length)[part], b))
+                break
     return out
 
 
@@ -377,19 +415,14 @@ def leaks(items: Items, docs: np.ndarray, texts: list[str], share: float) -> lis
         at += tail[h] - head[h]
         a, b, c = shard.stretches(q[mine], int(doc[head[h]]), int(run[h]))
         parts = passages(int(run[h]), a - items.start[item[h]], b, c)
-        if parts:
-            found.setdefault(int(doc[head[h]]), []).append((int(item[h]), n, place, parts, _union(*(np.concatenate(x) for x in zip(*((p, p + m) for _, p, m in parts))))))
+        if len(parts[0]):
+            found.setdefault(int(doc[head[h]]), []).append((int(item[h]), n, place, parts, _union(parts[1], parts[1] + parts[2])))
     out = []
     for d, pairs in found.items():
-        for i, n, place, parts, mine in pairs:
-            others = [theirs for j, *_, theirs in pairs if j != i]
-            kept = []
-            for part in parts:
-                lo, hi = int(part[1].min()), int((part[1] + part[2]).max())
-                if all(_inside(theirs, lo, hi) <= _inside(mine, lo, hi) for theirs in others):
-                    kept.append(part)
+        contest = _Contest([x[4] for x in pairs])
+        for k, (i, n, place, parts, _) in enumerate(pairs):
             size = int(items.size[i])
-            covered = int(held(size, kept).sum())
+            covered = int(held(size, k, parts, contest).sum())
             if covered >= share * size:
                 out.append((int(docs[d]), int(items.ids[i]), covered, size, n, int(shard.place[place]), int(shard.place[place + n - 1]) + 1))
     return out

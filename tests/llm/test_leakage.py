@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -130,6 +131,15 @@ def test_half_of_an_item_is_a_case_and_shared_phrases_are_not():
     assert {i for _, i, *_ in leaks(asked, np.arange(1), [own(9) + texts[0] + own(9)], 0.5)} == {1, 2}
 
 
+def test_a_document_that_holds_all_items():
+    rnd = random.Random(11)
+    texts = ["Around the fair the " + sentence(rnd, 12) + " and each new moon the " + sentence(rnd, 12) for _ in range(800)]
+    items = Items(list(range(800)), texts)
+    began = time.perf_counter()
+    found = leaks(items, np.arange(2), ["\n".join(texts), "Nothing of the kind stands here. " * 50], 0.5)
+    assert {(d, i) for d, i, *_ in found} == {(0, i) for i in range(800)} and time.perf_counter() - began < 60
+
+
 HAN = [chr(c) for c in range(0x4E00, 0x5000)]
 
 
