@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from factloom.scratch import cut
+from factloom.scratch import cut, release
 
 #: A time in microseconds falls into a slot of 2 ** SLOT (about 72 minutes); a crowded slot is cut into 2 ** (SLOT - FINE)
 #: ticks of about a second.
@@ -16,7 +16,7 @@ BLOCK_ROWS = 1 << 16
 SHARD = ["entity", "lane", "shard", "salt"]
 
 
-def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int = 32, lane_versions: int = 50_000) -> DataFrame:
+def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int | None = None, lane_versions: int = 50_000) -> DataFrame:
     """(event_id, version_id, revision_no): versions in force on an event's day as recorded by the event's time.
 
     events(event_id, entity, day, at); revisions(entity, version_id, revision_no, valid struct<first, last>, recorded).
@@ -24,8 +24,9 @@ def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int =
     numbers the one recorded last, then the one whose interval is greater); it is a case if ``valid`` is not null and
     holds ``day``. Nulls in any joined column make no case; repeated rows give one. Distinct rows.
 
-    Every entity's time is cut into shards of at most ``shard_rows`` rows, or of as many rows as it has versions if those are
-    more, so that carry-in never outweighs the rows themselves; there is no limit to the number of shards, and an entity
+    Every entity's time is cut into shards of at most ``shard_rows`` rows (four times what entities have on the mean, between 32
+    and 100,000, where not given), or of as many rows as it has versions if those are more, so that carry-in never outweighs the
+    rows themselves; there is no limit to the number of shards, and an entity
     of one shard takes the same path. Cuts come from counts by slots of time, and by ticks within crowded slots; events
     of a tick that is crowded itself are dealt over salts, each with all of the tick's revisions. A shard gets the best
     earlier revision of every version as carry-in, a running maximum over shards, so it is complete by itself. An entity with
@@ -40,7 +41,7 @@ def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int =
     )
     slot = F.shiftright("at", SLOT)
     rows = e.unionByName(r, allowMissingColumns=True).withColumn("slot", slot)
-    slots = cut(_slots(rows, shard_rows, lane_versions))
+    slots = _slots(rows, shard_rows, lane_versions)
 
     crowded = slots.where(F.col("tick") >= 0).select("entity", "slot", F.lit(True).alias("crowded")).distinct()
     tick = F.when(F.col("crowded"), _tick()).otherwise(-1)
@@ -71,14 +72,17 @@ def _tick() -> Column:
     return F.shiftright("at", FINE).bitwiseAND(F.lit((1 << (SLOT - FINE)) - 1)).cast("int")
 
 
-def _slots(rows: DataFrame, shard_rows: int, lane_versions: int) -> DataFrame:
-    """(entity, slot, tick, shard, shards, salts, lanes) of entities with more than one shard; tick is -1 but for crowded slots.
+def _slots(rows: DataFrame, shard_rows: int | None, lane_versions: int) -> DataFrame:
+    """(entity, slot, tick, shard, shards, salts, lanes) of entities with more than one shard, a kept table; tick is -1 but for
+    crowded slots.
 
     An entity's slots are at most those of its span of time, and a slot's ticks 4,096, whatever the number of rows.
     """
     n = F.count(F.lit(1))
+    sizes = cut(rows.groupBy("entity").agg(n.alias("n"), F.approx_count_distinct("version_id").alias("versions")), mean=F.avg("n"))
+    if shard_rows is None:
+        shard_rows = min(100_000, max(32, int(4 * (sizes.measured["mean"] or 0))))
     most = F.greatest(F.lit(shard_rows), F.least(F.col("versions"), F.lit(lane_versions)))
-    sizes = rows.groupBy("entity").agg(n.alias("n"), F.approx_count_distinct("version_id").alias("versions"))
     # Half a shard is the quantum: a shard holds the slots that begin within one, and the last of them may be as large again.
     large = sizes.where(F.col("n") > most).select("entity", F.ceil(most / 2).alias("quantum"), F.greatest(F.lit(1), F.ceil(F.col("versions") / lane_versions)).cast("int").alias("lanes"))
     counts = rows.join(large, "entity").groupBy("entity", "slot", "quantum", "lanes").agg(n.alias("n"))
@@ -100,7 +104,9 @@ def _slots(rows: DataFrame, shard_rows: int, lane_versions: int) -> DataFrame:
     numbered = fresh.select("entity", "slot", "lanes", "parts", (upto - F.coalesce("parts", F.lit(1))).cast("int").alias("base"), all_.cast("int").alias("shards"))
     light = numbered.where(F.col("parts").isNull()).select("entity", "slot", F.lit(-1).alias("tick"), F.col("base").alias("shard"), "shards", F.lit(1).alias("salts"), "lanes")
     heavy = numbered.where(F.col("parts").isNotNull()).join(ticks, ["entity", "slot"]).select("entity", "slot", "tick", (F.col("base") + F.col("part")).alias("shard"), "shards", "salts", "lanes")
-    return light.unionByName(heavy)
+    kept = cut(light.unionByName(heavy))
+    release(sizes)
+    return kept
 
 
 def _starts(batch: pa.Table) -> np.ndarray:
