@@ -7,17 +7,17 @@ from pyspark.sql import Column, functions as F
 
 # File signatures in the order they are tried, and value formats.
 SIGNATURES = (
-    ("255044462D", "application/pdf"),
-    ("89504E470D0A1A0A", "image/png"),
-    ("FFD8FF", "image/jpeg"),
-    ("474946383761", "image/gif"),
-    ("474946383961", "image/gif"),
-    ("504B0304", "application/zip"),
-    ("504B0506", "application/zip"),
-    ("504B0708", "application/zip"),
-    ("1F8B", "application/gzip"),
-    ("D0CF11E0A1B11AE1", "application/x-ole-storage"),
-    ("4D5A", "application/vnd.microsoft.portable-executable"),
+    (b"%PDF-", "application/pdf"),
+    (b"\x89PNG\r\n\x1a\n", "image/png"),
+    (b"\xff\xd8\xff", "image/jpeg"),
+    (b"GIF87a", "image/gif"),
+    (b"GIF89a", "image/gif"),
+    (b"PK\x03\x04", "application/zip"),
+    (b"PK\x05\x06", "application/zip"),
+    (b"PK\x07\x08", "application/zip"),
+    (b"\x1f\x8b", "application/gzip"),
+    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "application/x-ole-storage"),
+    (b"MZ", "application/vnd.microsoft.portable-executable"),
 )
 PREFIX_BYTES = 8192
 DECIMAL_TEXT = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?\z"
@@ -82,7 +82,7 @@ def is_portable_path(c: Column) -> Column:
 def raw_id(path: Column, sha256: Column) -> Column:
     """RAW- and the hash of the path's bytes, a zero byte and the content hash's 32 bytes; null where the hash is none."""
     digest = F.unhex(F.when(is_sha256(sha256), sha256))
-    return F.concat(F.lit("RAW-"), F.sha2(F.concat(F.encode(path, "UTF-8"), F.unhex(F.lit("00")), digest), 256))
+    return F.concat(F.lit("RAW-"), F.sha2(F.concat(F.encode(path, "UTF-8"), F.lit(b"\0"), digest), 256))
 
 
 def object_path(sha256: Column) -> Column:
@@ -101,9 +101,9 @@ def media_type(content: Column) -> Column:
     prefix = F.substring(content, 1, PREFIX_BYTES)
     found = None
     for signature, kind in SIGNATURES:
-        hit = F.startswith(prefix, F.unhex(F.lit(signature)))
+        hit = F.startswith(prefix, F.lit(signature))
         found = F.when(hit, kind) if found is None else found.when(hit, kind)
-    text = ~F.contains(prefix, F.unhex(F.lit("00"))) & F.is_valid_utf8(prefix.cast("string"))
+    text = ~F.contains(prefix, F.lit(b"\0")) & F.is_valid_utf8(prefix.cast("string"))
     return found.when(text, "text/plain").otherwise("application/octet-stream")
 
 

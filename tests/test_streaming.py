@@ -30,3 +30,13 @@ def test_monitor_refuses_late_runs(spark, tmp_path):
     want = folds.monitor_states(spark.createDataFrame([*first, second[1], second[2]], schema), **rule).select("key", "run_at", "execution", "technical", "next_due", "failures", "exhausted")
     late = [r for r in got if r[2] == "TIME_ROLLBACK_REFUSED"]
     assert [r[:2] for r in late] == [(1, 24)] and sorted(set(got) - set(late), key=repr) == sorted((tuple(r) for r in want.collect()), key=repr)
+
+
+def test_monitor_with_rules_of_each_source(spark, tmp_path):
+    schema = "key long, run_at long, technical string"
+    first, second = [(1, 0, folds.UNCHANGED), (2, 0, None), (3, 0, None)], [(1, 24, None), (2, 24, None), (3, 24, folds.UNCHANGED), (1, 48, None)]
+    rules = spark.createDataFrame([(1, 24, 12, 2, 1), (2, 48, None, 5, 0)], "key long, interval int, retry int, window int, budget int")
+    rule = {"interval": 48, "retry": 24, "window": 3, "budget": 1}
+    got = drain(spark, [first, second], tmp_path, lambda s: streaming.monitor_states(s, rules, **rule), schema, "n")
+    want = folds.monitor_states(spark.createDataFrame(first + second, schema), rules, **rule).select("key", "run_at", "execution", "technical", "next_due", "failures", "exhausted")
+    assert got == sorted((tuple(r) for r in want.collect()), key=repr)
