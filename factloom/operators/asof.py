@@ -25,8 +25,8 @@ def known_versions(events: DataFrame, revisions: DataFrame, *, shard_rows: int |
     holds ``day``. Nulls in any joined column make no case; repeated rows give one. Distinct rows.
 
     Every entity's time is cut into shards of at most ``shard_rows`` rows (four times what entities have on the mean, between 32
-    and 100,000, where not given), or of as many rows as it has versions if those are more, so that carry-in never outweighs the
-    rows themselves; there is no limit to the number of shards, and an entity
+    and 100,000, where not given), or of as many rows as it has versions or a 1,024th of its rows (up to 100,000) if those are
+    more, so that neither carry-in nor the number of shards outweighs the rows themselves; there is no limit to the number of shards, and an entity
     of one shard takes the same path. Cuts come from counts by slots of time, and by ticks within crowded slots; events
     of a tick that is crowded itself are dealt over salts, each with all of the tick's revisions. A shard gets the best
     earlier revision of every version as carry-in, a running maximum over shards, so it is complete by itself. An entity with
@@ -82,7 +82,7 @@ def _slots(rows: DataFrame, shard_rows: int | None, lane_versions: int) -> DataF
     sizes = cut(rows.groupBy("entity").agg(n.alias("n"), F.approx_count_distinct("version_id").alias("versions")), mean=F.avg("n"))
     if shard_rows is None:
         shard_rows = min(100_000, max(32, int(4 * (sizes.measured["mean"] or 0))))
-    most = F.greatest(F.lit(shard_rows), F.least(F.col("versions"), F.lit(lane_versions)))
+    most = F.greatest(F.lit(shard_rows), F.least(F.col("versions"), F.lit(lane_versions)), F.least(F.floor(F.col("n") / 1024), F.lit(100_000)))
     # Half a shard is the quantum: a shard holds the slots that begin within one, and the last of them may be as large again.
     large = sizes.where(F.col("n") > most).select("entity", F.ceil(most / 2).alias("quantum"), F.greatest(F.lit(1), F.ceil(F.col("versions") / lane_versions)).cast("int").alias("lanes"))
     counts = rows.join(large, "entity").groupBy("entity", "slot", "quantum", "lanes").agg(n.alias("n"))
